@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.llm import bpe, jaccard, licenses, mixing, pii, urlfilter
+from sluice.llm import ann, bpe, jaccard, licenses, mixing, pii, topk, urlfilter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -24,6 +25,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.searched(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_table(spark, sf_dir, "pages"), urlfilter.rules_frame(spark))
 
@@ -32,6 +37,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(_table(spark, sf_dir, "documents"))
 
 
+def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.searched(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(_table(spark, sf_dir, "documents"))
 
@@ -43,8 +52,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mix": op3_source_mix,
+    "op4_exact_topk": op4_exact_topk,
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
+    "op8_ivf_pq": op8_ivf_pq,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
