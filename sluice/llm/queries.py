@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bpe, jaccard, licenses, mixing, pii, topk, urlfilter
+from sluice.llm import ann, bpe, jaccard, licenses, mixing, pii, quality, topk, toxicity, urlfilter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.joined(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detected(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.searched(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -50,11 +58,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_source_mix": op3_source_mix,
     "op4_exact_topk": op4_exact_topk,
     "op5_url_filter": op5_url_filter,
     "op6_pii": op6_pii,
+    "op7_toxicity": op7_toxicity,
     "op8_ivf_pq": op8_ivf_pq,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
