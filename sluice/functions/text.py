@@ -52,20 +52,31 @@ def tokens_none(text: Column) -> Column:
     return F.filter(F.split(collapsed(text), " "), lambda t: t != "")
 
 
+#: The public tokenization rules "13a" and "international" of
+#: machine-translation scoring, as (pattern, replacement) in their order.
+RULES_13A = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+)
+RULES_INTERNATIONAL = ((r"(\P{N})(\p{P})", "$1 $2 "), (r"(\p{P})(\P{N})", " $1 $2"), (r"(\p{S})", " $1 "))
+
+
+def _ruled(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return tokens_none(text)
+
+
 def tokens_13a(text: Column) -> Column:
-    """Tokens with punctuation set off, as in common machine-translation scoring."""
-    out = F.concat(F.lit(" "), text, F.lit(" "))
-    out = F.regexp_replace(out, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 ")
-    out = F.regexp_replace(out, r"([^0-9])([\.,])", "$1 $2 ")
-    out = F.regexp_replace(out, r"([\.,])([^0-9])", " $1 $2")
-    return tokens_none(F.regexp_replace(out, r"([0-9])(-)", "$1 $2 "))
+    """Tokens with punctuation set off."""
+    return _ruled(F.concat(F.lit(" "), text, F.lit(" ")), RULES_13A)
 
 
 def tokens_international(text: Column) -> Column:
     """Tokens with Unicode punctuation and symbols set off, but not between digits."""
-    out = F.regexp_replace(text, r"(\P{N})(\p{P})", "$1 $2 ")
-    out = F.regexp_replace(out, r"(\p{P})(\P{N})", " $1 $2")
-    return tokens_none(F.regexp_replace(out, r"(\p{S})", " $1 "))
+    return _ruled(text, RULES_INTERNATIONAL)
 
 
 def tokens_han(text: Column) -> Column:
