@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sluice.operators import gates, profiles, reconcile, scores, series, splits  # noqa: F401
+from sluice.operators import gates, profiles, reconcile, scans, scores, series, splits  # noqa: F401
