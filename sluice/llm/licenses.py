@@ -16,7 +16,9 @@ the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,10 @@ TEMPLATES = {
 }
 
 
+#: Words that are poor anchors.
+COMMON = frozenset("0 1 2 3 4 a above all an and any as by copy fee following for free hereby http in is later may mit not of or other out permit person provided that the this to under use used whom with work www you your".split())
+
+
 def word_bigrams(text: str) -> set[str]:
     """The bigram set of a template; texts are cut the same way by :func:`_grams`."""
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -50,21 +56,20 @@ def word_bigrams(text: str) -> set[str]:
 
 
 def anchor_words(grams: set[str], threshold: float) -> list[str]:
-    """Words of which every unit that reaches the threshold has at least one."""
+    """Words of which every unit that reaches the threshold has at least one.
+
+    Common words are only taken when the others cannot cover enough bigrams.
+    """
     need = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
     covered, anchors = set(), []
     while len(covered) < len(grams) - need + 1:
-        words = {w for g in grams - covered for w in g.split()}
-        best = max(sorted(words), key=lambda w: (sum(w in g.split() for g in grams - covered) * min(len(w), 6), len(w)))
+        words = sorted({w for g in grams - covered for w in g.split()})
+        best = max(words, key=lambda w: (w not in COMMON, sum(w in g.split() for g in grams - covered) * min(len(w), 6), len(w)))
         anchors.append(best)
         covered |= {g for g in grams if best in g.split()}
     return anchors
 
 
-def _words(unit: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " ")), " ")
-
-
 def _grams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
@@ -77,13 +82,15 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
     bounds = {n: (math.ceil(low * len(g) - 1e-9), math.floor(high * len(g) + 1e-9)) for n, g in known.items()}
     least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    anchored = lambda c: F.greatest(*[F.contains(c, F.lit(w)) for w in anchors]) if len(anchors) > 1 else F.contains(c, F.lit(anchors[0]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.when(anchored(F.lower("text")), F.col("text")).alias("text"))
-    units = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n[\x20\t\r]*\n"), F.array("text")))
-    rows = rows.select("doc_id", F.filter(units, lambda u: anchored(F.lower(u)) & (F.length(u) >= 2 * least + 1)).alias("units"))
-    rows = rows.select("doc_id", F.transform("units", _words).alias("units"))
+    def anchored(text: Column, mark: str) -> Column:
+        return functools.reduce(operator.or_, [F.contains(text, F.lit(f"{mark}{w}{mark}")) for w in anchors])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    rows = rows.select("doc_id", F.when(anchored(F.col("text"), ""), F.regexp_replace("text", r"[^a-z0-9\n]+", " ")).alias("text"))
+    units = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\x20*\n"), F.array("text")))
+    rows = rows.select("doc_id", F.transform(units, lambda u: F.concat(F.lit(" "), F.regexp_replace(u, r"[\x20\n]+", " "), F.lit(" "))).alias("units"))
+    rows = rows.select("doc_id", F.filter("units", lambda u: (F.length(u) >= 2 * least + 1) & anchored(u, " ")).alias("units"))
+    rows = rows.select("doc_id", F.transform("units", lambda u: F.split(F.trim(u), " ")).alias("units"))
     rows = rows.select("doc_id", F.transform(F.filter("units", lambda w: F.size(w) > least), _grams).alias("units"))
     rows = rows.select("doc_id", F.filter("units", lambda g: F.size(g).between(least, most)).alias("units"))
 
