@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bpe, jaccard, licenses, mixing, pii, quality, topk, toxicity, urlfilter
+from sluice.llm import ann, bpe, jaccard, licenses, mixing, oracles, pii, quality, topk, toxicity, urlfilter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -38,7 +38,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detected(_table(spark, sf_dir, "documents"))
+    return pii.detected(_table(spark, sf_dir, "documents")).drop("max_score")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_source_mix": oracles.SOURCE_MIX,
+    "op4_exact_topk": oracles.EXACT_TOPK,
+    "op5_url_filter": oracles.URL_FILTER,
+    "op6_pii": oracles.PII,
+    "op9_license_scan": oracles.LICENSE_SCAN,
+}
