@@ -21,7 +21,6 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,10 @@ CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 1_024
 #: A boundary so near the end of a chunk may still depend on what follows.
 MARGIN_CHARS = 16
+#: Pre-tokens whose ids a Python worker keeps.
 CACHE_SIZE = 500_000
+SHORT_BYTES = 48
+_NONE = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +49,26 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the pair of the lowest rank merges, leftmost first."""
     if piece in ranks:
         return [ranks[piece]]
+    return _merge_short(piece, ranks) if len(piece) <= SHORT_BYTES else _merge_long(piece, ranks)
+
+
+def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Looks through all pairs for each merge: quickest for few bytes."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [ranks.get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < _NONE:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Keeps the pairs in a heap and the parts linked, for n log n steps."""
     n = len(piece)
     after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     alive = [True] * n
@@ -72,43 +94,57 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Known(dict):
-    """Pre-token to ids, filled as pre-tokens come up."""
+    """Pre-token to its ids' bytes (int32), filled as pre-tokens come up."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_SIZE:
             self.clear()
-        ids = merge(piece.encode(), self.ranks)
+        ids = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
 
+#: One vocabulary's ids, kept from task to task by a worker.
+_KEPT: dict[int, _Known] = {}
+
+
+def _known(vocabulary) -> _Known:
+    ranks = vocabulary.value
+    kept = _KEPT.get(len(ranks))
+    if kept is None or kept.ranks != ranks:
+        _KEPT.clear()
+        kept = _KEPT[len(ranks)] = _Known(ranks)
+    return kept
+
+
 def boundaries(text: str, start: int, begin: int, end: int, pattern: regex.Pattern) -> list[int]:
     """Pre-token starts of a chunk that lie in [begin, end), as document positions."""
     return [p for m in pattern.finditer(text) if begin <= (p := start + m.start()) < end]
 
 
-def _id_batches(rows: Iterator[tuple[tuple, list[int]]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _id_batches(rows: Iterator[tuple[tuple, bytes]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Batches of rows that end in a list of ids, of a bounded number of ids."""
-    keys, ids, sizes = [], [], [0]
+    keys, ids, size = [], [], 0
     for key, found in rows:
         keys.append(key)
-        ids.append(np.asarray(found, dtype=np.int32))
-        sizes.append(sizes[-1] + len(found))
-        if sizes[-1] > 2_000_000:
-            yield _id_batch(keys, ids, sizes, schema)
-            keys, ids, sizes = [], [], [0]
+        ids.append(found)
+        size += len(found)
+        if size > 4_000_000:
+            yield _id_batch(keys, ids, schema)
+            keys, ids, size = [], [], 0
     if keys:
-        yield _id_batch(keys, ids, sizes, schema)
+        yield _id_batch(keys, ids, schema)
 
 
-def _id_batch(keys: list[tuple], ids: list[np.ndarray], sizes: list[int], schema: pa.Schema) -> pa.RecordBatch:
+def _id_batch(keys: list[tuple], ids: list[bytes], schema: pa.Schema) -> pa.RecordBatch:
     columns = [pa.array(c, schema.field(i).type) for i, c in enumerate(zip(*keys))]
-    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids)))
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
     return pa.RecordBatch.from_arrays([*columns, lists], schema=schema)
 
 
@@ -121,7 +157,7 @@ def _encoder(vocabulary, pattern: str, keys: pa.Schema):
     schema = keys.append(pa.field("ids", pa.list_(pa.int32())))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = regex.compile(pattern).findall, _Known(vocabulary.value)
+        cut, known = regex.compile(pattern).findall, _known(vocabulary)
 
         def rows():
             for batch in batches:
@@ -130,7 +166,7 @@ def _encoder(vocabulary, pattern: str, keys: pa.Schema):
                     found = cut(text.as_py())
                     while beyond > 0:
                         beyond -= len(found.pop())
-                    yield tuple(c[i].as_py() for c in columns), list(chain.from_iterable(map(known.__getitem__, found)))
+                    yield tuple(c[i].as_py() for c in columns), b"".join(map(known.__getitem__, found))
 
         yield from _id_batches(rows(), schema)
 
@@ -220,18 +256,29 @@ def _pieces(chunks: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
     """``ids`` (doc_id, ids) with the bytes that the ids stand for, in column ``bytes``."""
-    table = [b""] * (max((ranks := read_ranks(path)).values()) + 1)
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
     tokens = ids.sparkSession.sparkContext.broadcast(table)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = tokens.value.__getitem__
+        every = np.frombuffer(b"".join(tokens.value), np.uint8)
+        lengths = np.array([len(t) for t in tokens.value], np.int64)
+        begins = np.cumsum(lengths) - lengths
         for batch in batches:
-            lists = batch.column("ids")
-            flat, offsets = lists.flatten().to_pylist(), lists.offsets.to_pylist()
-            whole = [b"".join(map(look, flat[a - offsets[0] : b - offsets[0]])) for a, b in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(whole, pa.binary())], names=["doc_id", "ids", "bytes"])
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                lists = some.column("ids")
+                flat = lists.flatten().to_numpy()
+                sizes = lengths[flat]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                if (sizes == 0).any():
+                    raise ValueError("an id is not in the vocabulary")
+                data = every[np.arange(ends[-1]) + np.repeat(begins[flat] - ends[:-1], sizes)]
+                bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
+                whole = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, whole], names=["doc_id", "ids", "bytes"])
 
     return ids.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, bytes binary")
 
