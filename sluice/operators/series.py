@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
@@ -15,10 +16,13 @@ RATE = 10.0
 GAUSS = [math.exp(-k * k / 2) for k in range(-4, 5)]
 GAUSS = [w / sum(GAUSS) for w in GAUSS]
 
-_BY_USER = W.partitionBy("user_id").orderBy("frame")
 _FRAMES = "SELECT user_id, event_id, ts, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events"
 
 
+def _by_user() -> WindowSpec:
+    return W.partitionBy("user_id").orderBy("frame")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames of their user's sequence."""
     order = W.partitionBy("user_id").orderBy("ts", "event_id")
@@ -28,14 +32,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH f AS ({_FRAMES}), v AS (SELECT user_id, frame, (lead(value) OVER (PARTITION BY user_id ORDER BY frame) - value) * 10 AS v FROM f) SELECT user_id, frame, round(v, 6) AS velocity FROM v WHERE v IS NOT NULL")
 def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next frame's difference times the rate; the last frame has none."""
-    v = (F.lead("value").over(_BY_USER) - F.col("value")) * RATE
+    v = (F.lead("value").over(_by_user()) - F.col("value")) * RATE
     return frames(spark, sf_dir).select("user_id", "frame", F.round(v, 6).alias("velocity")).where("velocity is not null")
 
 
 @query(f"WITH f AS ({_FRAMES}), d AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY frame)) AS d FROM f) SELECT round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS most, count(d) AS n FROM d")
 def motion_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame-to-frame motion, pooled over all sequences."""
-    moved = frames(spark, sf_dir).select(F.abs(F.col("value") - F.lag("value").over(_BY_USER)).alias("d"))
+    moved = frames(spark, sf_dir).select(F.abs(F.col("value") - F.lag("value").over(_by_user())).alias("d"))
     return moved.agg(F.round(F.percentile("d", 0.99), 6).alias("p99"), F.round(F.max("d"), 6).alias("most"), F.count("d").alias("n"))
 
 
@@ -101,7 +105,7 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(spark, sf_dir)
     n = F.col("n")
     sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
-    ahead = rows.withColumn("next", F.coalesce(F.lead("value").over(_BY_USER), F.col("value"))).join(sizes, "user_id")
+    ahead = rows.withColumn("next", F.coalesce(F.lead("value").over(_by_user()), F.col("value"))).join(sizes, "user_id")
     grid = sizes.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), 2 * n - 1)).alias("i"), (F.col("i") * (n - 1) / (2.0 * n - 1)).alias("x"))
     spots = grid.withColumn("frame", F.floor("x"))
     met = spots.join(ahead.select("user_id", "frame", "value", "next"), ["user_id", "frame"])
@@ -113,7 +117,7 @@ WITH f AS ({_FRAMES}), a AS (SELECT user_id, list(value ORDER BY frame) AS s, co
 SELECT user_id, frame, round(list_sum([CASE WHEN frame + k BETWEEN 0 AND n - 1 THEN s[1 + frame + k] ELSE 0 END FOR k IN [-2, -1, 0, 1, 2]]), 6) AS total, least(frame, 2) + least(n - 1 - frame, 2) + 1 AS real FROM f JOIN a USING (user_id)""")
 def centred_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of five frames around each, zeros past the ends, and how many are real."""
-    around = _BY_USER.rowsBetween(-2, 2)
+    around = _by_user().rowsBetween(-2, 2)
     return frames(spark, sf_dir).select("user_id", "frame", F.round(F.sum("value").over(around), 6).alias("total"), F.count("value").over(around).alias("real"))
 
 
