@@ -1,0 +1,176 @@
+"""Searches, URL filter, personal data and licences against brute force."""
+
+import hashlib
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from oracle import assert_equal, connected
+from pyspark.sql import functions as F
+
+from sluice.llm import ann, licenses, pii, queries, topk, urlfilter
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+QUERY = lambda: F.col("vec_id") % 20 == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, small, name):
+    assert_equal(queries.QUERIES[name](spark, small), connected(small), queries.ORACLES[name])
+
+
+def vectors(n=700, dim=12, seed=1):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    x[n // 2 :] = x[0]
+    return x.astype(np.float32)
+
+
+def brute(x, k=20):
+    out = []
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        order = [j for j in np.lexsort((np.arange(len(x)), -scores)) if j != q][:k]
+        out += [(q, r + 1, int(j), scores[j]) for r, j in enumerate(order)]
+    return out
+
+
+def test_exact_search(spark):
+    x = vectors()
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows + [(701, None, 0), (702, [], 0), (703, [None] * 12, 0), (704, [float("nan")] * 12, 0), (705, [float("inf")] + [0.0] * 11, 0), (None, [9.0] * 12, 0), (710, [9.0] * 5, 0)] + rows[:30], VECTORS)
+    got = sorted(tuple(r) for r in topk.searched(table.selectExpr("*", "1 as part", "2 as vector"), QUERY(), block_rows=90).collect())
+    assert got == [(q, r, j, int(s)) for q, r, j, s in brute(np.floor(64 * x.astype(float)))]
+
+
+def test_exact_search_edges(spark):
+    assert topk.searched(spark.createDataFrame([], VECTORS), QUERY()).count() == 0
+    assert topk.searched(spark.createDataFrame([(0, [1.0], 0)], VECTORS), QUERY()).count() == 0
+    few = spark.createDataFrame([(0, [1.0], 0), (1, [2.0], 0), (2, [3e38], 0)], VECTORS)
+    assert [(r["vec_id"], r["score"]) for r in topk.searched(few, QUERY()).orderBy("rank").collect()] == [(2, 2**63 - 1), (1, 64 * 128)]
+
+
+def test_approximate_search(spark):
+    x = vectors(2000, 16)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows + [(5000, [0.0] * 16, 0), (5001, None, 0), (5020, [1.0, None] * 8, 0)], VECTORS)
+    got = ann.searched(table.selectExpr("*", "1 as part", "2 as dim"), QUERY()).collect()
+    exact = x.astype(float)
+    want = brute(exact)
+    assert len(got) == len(want) and all(r["score"] == pytest.approx(float(exact[r["query_id"]] @ exact[r["vec_id"]]), abs=1e-12) for r in got)
+    floor = {}
+    for q, _, _, s in want:
+        floor[q] = min(s, floor.get(q, math.inf))
+    assert np.mean([r["score"] >= floor[r["query_id"]] - 1e-12 for r in got]) >= 0.9
+    assert all(r["query_id"] != r["vec_id"] for r in got)
+
+
+def test_approximate_search_edges(spark):
+    assert ann.searched(spark.createDataFrame([], VECTORS), QUERY()).count() == 0
+    assert ann.searched(spark.createDataFrame([(0, [1.0, 2.0], 0)], VECTORS), QUERY()).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0], 0) for i in range(60)], VECTORS)
+    got = ann.searched(same, QUERY()).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got[:20]] == list(range(1, 21)) and len(got) == 60
+
+
+def test_recall_on_a_table(spark, small):
+    table = spark.read.parquet(f"{small}/embeddings.parquet")
+    frame = table.toPandas().sort_values("vec_id")
+    x, ids = np.stack(frame["embedding"]).astype(float), frame["vec_id"].to_numpy()
+    got = {(r["query_id"], r["vec_id"]) for r in ann.searched(table, QUERY()).collect()}
+    want = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        want |= {(ids[i], ids[j]) for j in np.lexsort((ids, -scores))[:20]}
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_urls(spark):
+    urls = ["HTTP://WWW.Example.COM/en/x?q#f", "http://com/", "http://com", "http://a.com?x/", "x://example.com/en/", "x://badexample.com/en/", "no scheme", "", None, "a://b.net/fr/../es/", "a://net/es/", "a://x.net/es", "z://é.com/Ä", "a://b://c", "http://a..com//en/"]
+    pages = spark.createDataFrame(list(enumerate(urls)) + [(1, urls[1]), (None, urls[1])], "page_id long, url string").selectExpr("*", "1 as host", "2 as rule", "3 as digest")
+    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judged(pages, urlfilter.rules_frame(spark)).collect()}
+
+    def judge(page, url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (page, host, path, *(max(fits)[1:] if fits else (None, "allow")))
+
+    assert got == {judge(p, u) for p, u in [*enumerate(urls), (None, urls[1])]}
+    assert urlfilter.judged(pages, urlfilter.rules_frame(spark)).count() == len(urls) + 2
+    assert urlfilter.judged(pages.limit(0), urlfilter.rules_frame(spark)).count() == 0
+    rules = urlfilter.rules_frame(spark, (("block", "a.com", "/x/y"), ("allow", "a.com", "/x/y"), ("allow", "com", "/")))
+    part = spark.createDataFrame([(1, "h://q.a.com/x/yz"), (2, "h://q.a.com/x/")], "page_id long, url string")
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in urlfilter.judged(part, rules).collect()} == {(1, "a.com/x/y", "block"), (2, "com/", "allow")}
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, digits[::-1]))) % 10 == 0
+
+
+def base_spans(text):
+    spans = []
+    for n, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                spans.append((m.start(), n, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(spans)]
+
+
+PIECES = ["a@b.c", "a.b@c-d.e.f", "_d@e.f", "@", ".", "1.2.3.4", "256.1.1.1", "001.002.3.000255", "4539 1488 0343 6467", "4539148803436467", "+1 (017) 555-7713", "+", "-", " ", "  ", "\n", "9", "日本", "😀", "x", "(", "IBAN GB82 WEST 1234 5698 7654 32 ", "1.1.1.1.1.1.1.1.1", "5105-1051-0510-5100"]
+
+
+def test_personal_data(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 40))) for _ in range(400)]
+    texts += [None, "", "9" * 60_000, "a" * 60_000 + "@b.c", "1." * 30_000, "a@b.c " * 3000, "é" * 50 + " 10.0.0.1 "]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (None, "a@b.c")], "doc_id long, text string").selectExpr("*", "1 as n_email", "2 as pii_spans")
+    rows = pii.detected(docs).collect()
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        text = "a@b.c" if r["doc_id"] is None else texts[r["doc_id"]]
+        want = base_spans(text)
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), text
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("iban")] == want
+        assert r["n_email"] == sum(s.startswith("email") for s in want)
+    assert any(r["n_iban"] for r in rows) and pii.detected(docs.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    text = "é IBAN GB82 WEST 1234 5698 7654 32, write me.x@y.org or +1 (017) 555-7713; 4539 1488 0343 6467, 10.0.0.1 end"
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, None, None, None), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert rows[1]["text"] == "é IBAN [IBAN], write [EMAIL] or [PHONE]; [CARD], [IP] end" and rows[1]["n_chars"] == len(rows[1]["text"])
+    assert rows[2]["text"] is None and rows[2]["n_chars"] is None and rows[3]["text"] == "clean"
+
+
+def test_licences(spark):
+    mit = licenses.TEMPLATES["mit-text"]
+    texts = ["x\nReleased under the MIT License.\ny", "LICENSED UNDER the apache license version 2 0", mit.replace(" ", "\n"), "a\n\n" + mit.replace(". ", ".\n") + "\n\nb", mit.replace("software", "thing", 1), "the license of the word " * 50, None, "", "Released under the MIT License.\nLicensed under CC BY-NC 4.0."]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string").selectExpr("*", "1 as units", "2 as license")
+    rows = licenses.scanned(docs).collect()
+    got = {r["doc_id"]: (r["license"], r["matches"]) for r in rows}
+    assert len(rows) == len(texts) + 1
+    assert got[0] == ("mit", "mit") and got[1][0] == "apache-2.0" and got[2][0] == got[3][0] == got[4][0] == "mit-text"
+    assert got[5] == got[6] == got[7] == (None, "") and got[8] == ("cc-by-nc-4.0", "cc-by-nc-4.0,mit")
+    assert licenses.scanned(docs.limit(0)).count() == 0
+
+
+def test_anchors_drop_nothing():
+    for name, text in licenses.TEMPLATES.items():
+        grams = licenses.word_bigrams(text)
+        anchors = licenses.anchor_words(grams, licenses.THRESHOLD)
+        left = [g for g in grams if not set(g.split()) & set(anchors)]
+        assert 2 * len(left) / (len(left) + len(grams)) < licenses.THRESHOLD, name
