@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sluice.operators import gates, kernels, profiles, reconcile, scans, scores, series, splits, streams  # noqa: F401
+from sluice.operators import gates, kernels, profiles, reconcile, records, scans, scores, series, splits, streams  # noqa: F401
