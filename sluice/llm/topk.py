@@ -4,7 +4,7 @@ Vectors are cut into equal segments, few and long at first, then more and
 shorter. Mean and deviation of the segments bound the distance of two vectors
 from below (and so their inner product from above: it is half of both squared
 lengths less the squared distance). In each block, the best by the coarse
-bound give a query its first k exact scores; whatever cannot reach the k-th is
+bound give a query its first exact scores; whatever cannot reach the k-th is
 dropped, coarse to fine, and the survivors are scored exactly.
 
 Candidates are dealt to blocks of bounded size; the stated queries visit every
@@ -30,6 +30,8 @@ K = 20
 SCALE = 64.0
 BLOCK_ROWS = 8_192
 SEGMENTS = (4, 16)
+#: Candidates by the coarse bound that give a query its first k-th score, as a multiple of k.
+SEEDS = 8
 #: Of a chunk's pairs that are left, the share from which all are multiplied.
 DENSE = 0.15
 _EXACT = 2.0**53
@@ -68,12 +70,12 @@ def _searcher(k: int):
         slack = 1e-9 * (np.abs(mine).sum(axis=1).max(initial=0) * np.abs(features[0]).max(initial=0)) + 1e-6
         own = query_ids[:, None] == ids[None, :]
         bound[own] = -np.inf
-        few = min(k, len(ids))
+        few = min(SEEDS * k, len(ids))
         first = np.argpartition(-bound, few - 1, axis=1)[:, :few]
         rows = np.repeat(np.arange(len(q)), few)
         seed = _exact(q, x, rows, first.ravel()).reshape(len(q), few).astype(float)
         seed[np.take_along_axis(own, first, axis=1)] = -np.inf
-        need = seed.min(axis=1) if few == k else np.full(len(q), -np.inf)
+        need = -np.partition(-seed, k - 1, axis=1)[:, k - 1] if few >= k else np.full(len(q), -np.inf)
         rows, cols = np.nonzero((bound >= need[:, None] - slack) & ~own)
         for s, theirs in zip(SEGMENTS[1:], features[1:]):
             if len(rows) > DENSE * len(q) * len(x):
@@ -82,7 +84,15 @@ def _searcher(k: int):
                 mine = segment_features(q, s)
                 left = np.concatenate([np.einsum("ij,ij->i", mine[rows[a : a + 65_536]], theirs[cols[a : a + 65_536]]) for a in range(0, len(rows), 65_536)] or [np.zeros(0)]) >= need[rows] - slack
             rows, cols = rows[left], cols[left]
-        return best(query_ids[rows], ids[cols], _exact(q, x, rows, cols), k)
+        scores = _exact(q, x, rows, cols)
+        left = scores >= need[rows]
+        rows, cols, scores = rows[left], cols[left], scores[left]
+        if len(ids) > k:
+            table = np.full(bound.shape, -np.inf)
+            table[rows, cols] = scores
+            left = scores >= -np.partition(-table, k - 1, axis=1)[rows, k - 1]
+            rows, cols, scores = rows[left], cols[left], scores[left]
+        return best(query_ids[rows], ids[cols], scores, k)
 
     return search
 
