@@ -25,16 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: A boundary so near the end of a chunk may still depend on what follows.
 MARGIN_CHARS = 16
 #: Pre-tokens whose ids a Python worker keeps.
-CACHE_SIZE = 500_000
+CACHE_SIZE = 200_000
 SHORT_BYTES = 48
 _NONE = 1 << 62
 
@@ -173,17 +173,20 @@ def _encoder(vocabulary, pattern: str, keys: pa.Schema):
     return encode
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """doc_id and ids (array of int) of every row of ``docs``.
+def encoded(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, decode: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of every row of ``docs``; with ``decode`` also the ids' bytes.
 
     ``path`` is read by the driver; the vocabulary, of bounded size, is broadcast.
     """
     spark = docs.sparkSession
-    vocabulary = spark.sparkContext.broadcast(read_ranks(path))
+    ranks = read_ranks(path)
+    vocabulary = spark.sparkContext.broadcast(ranks)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     longest = chunk_chars + overlap_chars
     short = texts.where(F.length("text") <= longest)
-    whole = short.withColumn("beyond", F.lit(0)).mapInArrow(_encoder(vocabulary, pattern, pa.schema([("doc_id", pa.int64())])), "doc_id long, ids array<int>")
+    encode, back = _encoder(vocabulary, pattern, pa.schema([("doc_id", pa.int64())])), _decoder(spark, ranks) if decode else None
+    # one pass of a Python worker does both
+    whole = short.withColumn("beyond", F.lit(0)).mapInArrow((lambda batches: back(encode(batches))) if decode else encode, "doc_id long, ids array<int>" + ", bytes binary" * decode)
 
     long = texts.where(F.length("text") > longest).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     chunks = _chunks(long, chunk_chars, overlap_chars)
@@ -192,7 +195,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_C
     parts = pieces.mapInArrow(_encoder(vocabulary, pattern, keys), "row long, doc_id long, piece long, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("piece", "ids")))
     stitched = parts.groupBy("row", "doc_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids")).select("doc_id", "ids")
-    return whole.unionByName(stitched)
+    return whole.unionByName(stitched.mapInArrow(back, "doc_id long, ids array<int>, bytes binary") if decode else stitched)
 
 
 def _chunks(long: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
@@ -254,13 +257,12 @@ def _pieces(chunks: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
     return joined.agg(text.alias("text"), F.max("beyond").alias("beyond"))
 
 
-def decoded(ids: DataFrame, path: str) -> DataFrame:
-    """``ids`` (doc_id, ids) with the bytes that the ids stand for, in column ``bytes``."""
-    ranks = read_ranks(path)
+def _decoder(spark: SparkSession, ranks: dict[bytes, int]):
+    """A function of Arrow batches (doc_id, ids) that adds the ids' bytes."""
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
-    tokens = ids.sparkSession.sparkContext.broadcast(table)
+    tokens = spark.sparkContext.broadcast(table)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = np.frombuffer(b"".join(tokens.value), np.uint8)
@@ -280,11 +282,16 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
                 whole = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), lists, whole], names=["doc_id", "ids", "bytes"])
 
-    return ids.select("doc_id", "ids").mapInArrow(decode, "doc_id long, ids array<int>, bytes binary")
+    return decode
+
+
+def decoded(ids: DataFrame, path: str) -> DataFrame:
+    """``ids`` (doc_id, ids) with the bytes that the ids stand for, in column ``bytes``."""
+    return ids.select("doc_id", "ids").mapInArrow(_decoder(ids.sparkSession, read_ranks(path)), "doc_id long, ids array<int>, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``."""
-    rows = decoded(encoded(docs, path, pattern), path)
+    rows = encoded(docs, path, pattern, decode=True)
     written = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

@@ -41,7 +41,8 @@ BLOCK = 256
 SEED = 20_261
 #: Bytes of a shingle's hash that verification goes by.
 SHINGLE_BYTES = 6
-_WORDS_KEPT = 1_000_000
+#: Words whose hashes a Python worker keeps.
+WORDS_KEPT = 200_000
 
 
 def bands_for(threshold: float, recall: float, rows: int = ROWS) -> int:
@@ -58,7 +59,7 @@ class _WordHashes(dict):
     """Word to 64-bit hash, filled as words come up."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _WORDS_KEPT:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value

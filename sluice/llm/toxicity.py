@@ -42,6 +42,8 @@ PRECISION = 0.97
 COVER = 4
 PREFIXES = (4, 5, 6, 7)
 CANDIDATES = 4_000
+#: Words whose symbols a Python worker keeps.
+WORDS_KEPT = 200_000
 
 INSULTS = frozenset(
     "arschloch asshole bastard bitch clown connard conne cretin creep depp disgusting dumb dumbass dummkopf dumm estupido estúpido fool freak "
@@ -144,7 +146,7 @@ class _Symbols(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= 1_000_000:
+        if len(self) >= WORDS_KEPT:
             self.clear()
         value = self[word] = self.lexicon.symbol(word)
         return value
