@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from sluice.operators.registry import query, table
 
 RATE = 10.0
+#: Keeps values that lie between two roundings on one side.
+NUDGE = 1e-9
 #: Weights of a Gaussian of deviation 1, cut at four deviations.
 GAUSS = [math.exp(-k * k / 2) for k in range(-4, 5)]
 GAUSS = [w / sum(GAUSS) for w in GAUSS]
@@ -71,12 +73,12 @@ def filled(df: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
     return known.select(*[c for c in df.columns if c != value], new.alias(value), F.col(value).isNull().alias("imputed"))
 
 
-@query(f"WITH f AS ({_FRAMES}) SELECT user_id, frame, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS centred FROM f")
+@query(f"WITH f AS ({_FRAMES}) SELECT user_id, frame, round(value - avg(value) OVER (PARTITION BY user_id) + 1e-9, 6) AS centred FROM f")
 def centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values less their sequence's mean: the means are aggregated, then joined."""
     rows = frames(spark, sf_dir)
     means = rows.groupBy("user_id").agg(F.avg("value").alias("mean"))
-    return rows.join(means, "user_id").select("user_id", "frame", F.round(F.col("value") - F.col("mean"), 6).alias("centred"))
+    return rows.join(means, "user_id").select("user_id", "frame", F.round(F.col("value") - F.col("mean") + NUDGE, 6).alias("centred"))
 
 
 _TERMS = " + ".join(f"{w!r} * s[1 + least(greatest(CASE WHEN frame + {k} < 0 THEN -(frame + {k}) - 1 WHEN frame + {k} > n - 1 THEN 2 * n - 1 - (frame + {k}) ELSE frame + {k} END, 0), n - 1)]" for k, w in zip(range(-4, 5), GAUSS))
