@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ OVERLAP_CHARS = 1_024
 #: A boundary so near the end of a chunk may still depend on what follows.
 MARGIN_CHARS = 16
 #: Pre-tokens whose ids a Python worker keeps.
-CACHE_SIZE = 200_000
+CACHE_SIZE = 300_000
 SHORT_BYTES = 48
 _NONE = 1 << 62
 
@@ -45,26 +46,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the pair of the lowest rank merges, leftmost first."""
-    if piece in ranks:
-        return [ranks[piece]]
-    return _merge_short(piece, ranks) if len(piece) <= SHORT_BYTES else _merge_long(piece, ranks)
+class Merges:
+    """A vocabulary's merges, with the ranks of single bytes and pairs at hand."""
 
-
-def _merge_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Looks through all pairs for each merge: quickest for few bytes."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
-    pairs = [ranks.get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
-    while pairs and (least := min(pairs)) < _NONE:
-        i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
-    return [ranks[p] for p in parts]
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.singles = [ranks.get(bytes((b,)), _NONE) for b in range(256)]
+        self.pairs = [[ranks.get(bytes((a, b)), _NONE) for b in range(256)] for a in range(256)]
+
+    def __call__(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token: the pair of the lowest rank merges, leftmost first."""
+        if piece in self.ranks:
+            return [self.ranks[piece]]
+        return self.short(piece) if len(piece) <= SHORT_BYTES else _merge_long(piece, self.ranks)
+
+    def short(self, piece: bytes) -> list[int]:
+        """Looks through all pairs for each merge: quickest for few bytes."""
+        get, starts = self.ranks.get, list(range(len(piece) + 1))
+        ids, pairs = [self.singles[b] for b in piece], [self.pairs[a][b] for a, b in zip(piece, piece[1:])]
+        while (least := min(pairs, default=_NONE)) != _NONE:
+            i = pairs.index(least)
+            ids[i] = least
+            del starts[i + 1], pairs[i], ids[i + 1]
+            if i < len(pairs):
+                pairs[i] = get(piece[starts[i] : starts[i + 2]], _NONE)
+            if i:
+                pairs[i - 1] = get(piece[starts[i - 1] : starts[i + 1]], _NONE)
+        return ids
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -98,12 +106,12 @@ class _Known(dict):
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.merges = ranks, Merges(ranks)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_SIZE:
             self.clear()
-        ids = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
+        ids = array("i", self.merges(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids

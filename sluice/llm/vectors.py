@@ -33,7 +33,7 @@ def probed(search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, obj
     """A function of sorted Arrow batches: (key columns..., role, vec_id, vector).
 
     Rows of a key come with those to search in first; they are held (a block,
-    of bounded size), prepared once, and the queries stream past. Of a query's
+    of bounded size, by id), prepared once, and the queries stream past. Of a query's
     hits from all blocks of a task the best ``keep`` go on.
     """
 
@@ -55,7 +55,8 @@ def probed(search: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, obj
                     parts.append(block)
                 elif ids:
                     if ready is None:
-                        ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                        order = np.argsort(joined := np.concatenate(ids), kind="stable")
+                        ids, parts = [joined[order]], [np.concatenate(parts)[order]]
                         ready = prepare(parts[0])
                     for k in range(a, b, 256):
                         stop = min(k + 256, b)

@@ -156,6 +156,7 @@ def test_tokens_of_nothing(spark):
 
 def test_long_merges_equal_short_ones():
     ranks, rng = bpe.read_ranks(PATH), random.Random(9)
+    merges = bpe.Merges(ranks)
     for _ in range(200):
         piece = "".join(rng.choice("abcdeé'1 ") for _ in range(rng.randrange(1, 48))).encode()
-        assert bpe._merge_long(piece, ranks) == bpe._merge_short(piece, ranks)
+        assert bpe._merge_long(piece, ranks) == merges.short(piece) if piece not in ranks else merges(piece) == [ranks[piece]]
