@@ -303,9 +303,10 @@ def deduplicated(docs: DataFrame, **params) -> DataFrame:
     by_text = durable(classes(docs, **params))
     winners = by_text.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("w"))
     keep = winners.select(F.col("w.doc_id").alias("keep_id"), F.col("w.key").alias("keep_key"))
-    keyed = docs.withColumn("keep_key", text_key(docs["text"])).withColumn("keep_id", docs["doc_id"].cast("long"))
-    words = F.coalesce(F.length(F.regexp_replace(F.col("text"), r"[\s\x1C-\x1F\x85\p{Z}]+", "")), F.lit(0)) > 0
-    wordless = keyed.where(~words).select(*docs.columns)
-    rows = keyed.where(words).dropDuplicates(["keep_key", "keep_id"])
-    met = (rows["keep_key"] == keep["keep_key"]) & rows["keep_id"].eqNullSafe(keep["keep_id"])
-    return rows.join(keep, met, "left_semi").select(*docs.columns).unionByName(wordless)
+    words = F.coalesce(F.length(F.regexp_replace(docs["text"].cast("string"), r"[\s\x1C-\x1F\x85\p{Z}]+", "")), F.lit(0)) > 0
+    # the row goes along as one column, so that no name of it can clash
+    keyed = docs.select(F.struct("*").alias("row"), text_key(docs["text"]).alias("key"), docs["doc_id"].cast("long").alias("id"), words.alias("worded"))
+    wordless = keyed.where(~F.col("worded")).select("row.*")
+    rows = keyed.where("worded").dropDuplicates(["key", "id"])
+    met = (rows["key"] == keep["keep_key"]) & rows["id"].eqNullSafe(keep["keep_id"])
+    return rows.join(keep, met, "left_semi").select("row.*").unionByName(wordless)

@@ -149,15 +149,16 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "taken")
     taken = taken.withColumn("t_nth", F.row_number().over(same))
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
-    rows = docs.withColumn("t_words", size)
-    alike = W.partitionBy("doc_id", "source", "t_words").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = rows.withColumn("t_row", F.row_number().over(alike))
-    met = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("t_words") == F.col("t_size")) & (F.col("t_row") == F.col("t_nth"))
+    # the row goes along as one column, so that no name of it can clash
+    rows = docs.select(F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("id"), docs["source"].cast("string").alias("source"), size.alias("words"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("digest"))
+    alike = W.partitionBy("id", "source", "words").orderBy("digest")
+    rows = rows.withColumn("nth", F.row_number().over(alike))
+    met = F.col("id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("words") == F.col("t_size")) & (F.col("nth") == F.col("t_nth"))
     part = F.expr("taken % t_size")
     parts = F.concat(F.array_repeat(F.col("t_size"), F.expr("taken div t_size").cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = rows.join(taken, met).withColumn("t_words", F.explode(parts))
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    excerpt = F.array_join(F.slice(words, F.lit(1), F.col("t_words").cast("int")), "")
-    text = F.when(F.col("t_words") == F.col("t_size"), F.col("text")).otherwise(excerpt)
+    out = rows.join(taken, met).select("row", "t_size", F.explode(parts).alias("part"))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
+    excerpt = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
+    text = F.when(F.col("part") == F.col("t_size"), F.col("row.text")).otherwise(excerpt)
     made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

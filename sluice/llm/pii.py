@@ -136,7 +136,7 @@ def redacted(docs: DataFrame, threshold: float = REDACT_FROM) -> DataFrame:
     Spans that overlap become one mark, of the first one's kind. n_chars
     follows the text; a null text stays null.
     """
-    found = with_spans(docs, name="_pii")
+    found = with_spans(docs.select(F.struct("*").alias("row"), docs["text"].alias("text")), name="_pii")
     due = F.filter("_pii", lambda s: s["score"] >= threshold)
 
     def step(acc: Column, s: Column) -> Column:
@@ -152,5 +152,5 @@ def redacted(docs: DataFrame, threshold: float = REDACT_FROM) -> DataFrame:
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.concat(F.array_join("_cut.out", ""), F.substring(F.col("text"), F.col("_cut.upto") + 1, F.length("text"))))
     made = {"text": text}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return found.select(*[made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        made["n_chars"] = F.when(F.col("_cut").isNull(), F.col("row.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

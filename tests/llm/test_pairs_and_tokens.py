@@ -83,17 +83,17 @@ def test_jaccard_blocks_cover_a_large_bucket(spark):
 def test_jaccard_edges(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jaccard.joined(empty).count() == 0 and jaccard.deduplicated(empty).count() == 0
-    docs = documents(spark, ["same text here now ok"] * 3, ids=[None, 7, 7]).selectExpr("*", "1 as key", "2 as class_id", "3 as copies")
+    docs = documents(spark, ["same text here now ok"] * 3, ids=[None, 7, 7]).selectExpr("*", "1 as key", "2 as class_id", "3 as copies", "4 as keep_key", "5 as keep_id", "6 as row")
     assert sorted(tuple(r)[1:] for r in jaccard.joined(docs).collect()) == [(7, 2)] * 3
     kept = jaccard.deduplicated(docs)
-    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [7]
+    assert kept.columns == docs.columns and [tuple(r)[5:] for r in kept.collect() if r["doc_id"] == 7] == [(1, 2, 3, 4, 5, 6)] and kept.count() == 1
 
 
 def test_mix(spark):
     rng = random.Random(3)
     texts = ["w " * rng.randrange(0, 300) for _ in range(400)] + [None, "", " "]
     sources = [rng.choice(["a", "a", "a", "b", "c", "d", None]) for _ in texts]
-    docs = documents(spark, texts, sources=sources).selectExpr("*", "1 as size", "2 as blocks")
+    docs = documents(spark, texts, sources=sources).selectExpr("*", "1 as size", "2 as blocks", "3 as taken", "4 as t_words", "5 as row")
     rows = mixing.mix(docs).toPandas()
     assert len(rows) == len(texts) and (rows["taken"] <= 3 * rows["size"]).all() and rows["size"].sum() == sum(len((t or "").split()) for t in texts)
     sizes = Counter()
@@ -116,6 +116,7 @@ def test_mix(spark):
     mixed = mixing.mixed_documents(docs)
     words = [len(r["text"].split()) for r in mixed.collect()]
     assert mixed.columns == docs.columns and sum(words) == rows["taken"].sum()
+    assert {tuple(r)[5:] for r in mixed.collect()} == {(1, 2, 3, 4, 5)}
 
 
 def test_mix_edges(spark):

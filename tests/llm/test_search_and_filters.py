@@ -150,8 +150,9 @@ def test_personal_data(spark):
 
 def test_redaction(spark):
     text = "é IBAN GB82 WEST 1234 5698 7654 32, write me.x@y.org or +1 (017) 555-7713; 4539 1488 0343 6467, 10.0.0.1 end"
-    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, None, None, None), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, None, None, None, None), (3, "clean", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as _pii", "2 as row", "3 as _cut")
     rows = {r["doc_id"]: r for r in pii.redacted(docs).collect()}
+    assert pii.redacted(docs).columns == docs.columns and all(tuple(r)[5:] == (1, 2, 3) for r in rows.values())
     assert rows[1]["text"] == "é IBAN [IBAN], write [EMAIL] or [PHONE]; [CARD], [IP] end" and rows[1]["n_chars"] == len(rows[1]["text"])
     assert rows[2]["text"] is None and rows[2]["n_chars"] is None and rows[3]["text"] == "clean"
 
