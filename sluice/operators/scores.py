@@ -27,11 +27,22 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT trim(hyp) AS hyp, trim(ref) AS ref FROM ({_PAIRS}) WHERE regexp_matches(hyp || ref, '^[\\x00-\\x7F]*$'))
 SELECT count(*) AS n, round(avg((hyp = ref)::INT), 6) AS exact, sum(levenshtein(hyp, ref))::BIGINT AS edits, sum(length(ref))::BIGINT AS characters, round(sum(levenshtein(hyp, ref)) / sum(length(ref)), 6) AS cer FROM p""")
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches and character error rate of ASCII pairs, micro-averaged."""
+    """Exact matches and character error rate of ASCII pairs: those that the SQL, whose edit distance is on bytes, can score."""
     ascii_only = F.concat("hyp", "ref").rlike(r"^[\x00-\x7F]*$")
-    rows = pairs(spark, sf_dir).where(ascii_only).select(F.trim("hyp").alias("hyp"), F.trim("ref").alias("ref"))
+    return language_totals(pairs(spark, sf_dir).where(ascii_only))
+
+
+@query()
+def language_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches and character error rate of all pairs of texts, in code points."""
+    return language_totals(pairs(spark, sf_dir).where("hyp is not null and ref is not null"))
+
+
+def language_totals(rows: DataFrame) -> DataFrame:
+    """n, exact, edits, characters and cer of ``hyp`` and ``ref``, micro-averaged."""
+    rows = rows.select(F.trim("hyp").alias("hyp"), F.trim("ref").alias("ref"))
     edits = F.sum(F.levenshtein("hyp", "ref")).cast("long")
-    return rows.agg(F.count("*").alias("n"), F.round(F.avg((F.col("hyp") == F.col("ref")).cast("int")), 6).alias("exact"), edits.alias("edits"), F.sum(F.length("ref")).alias("characters"), F.round(edits / F.sum(F.length("ref")), 6).alias("cer"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg((F.col("hyp") == F.col("ref")).cast("int")), 6).alias("exact"), edits.alias("edits"), F.sum(F.length("ref")).alias("characters"), F.round(F.try_divide(edits, F.sum(F.length("ref"))), 6).alias("cer"))
 
 
 def matches(rows: DataFrame, hyp: Column, ref: Column, keys: list[str], order: int) -> DataFrame:
