@@ -7,8 +7,11 @@ unlabelled documents that it is sure of, and gives them to the other view as
 training rows. At the end the calibrated views are combined, again on held-out
 labels, and all documents are scored.
 
-Fitting uses bounded samples, the rows of the least id hashes: at most
-LABELLED_ROWS labelled and POOL_ROWS unlabelled documents. Scoring covers all.
+The labelled sample is bounded: at most LABELLED_ROWS rows, of the least id
+hashes. All other documents, with or without label, are the pool: every round
+scores all of it and takes the at most GIVEN surest of each kind. Without any
+others, as all labelled rows are in the sample, there is nothing to exchange.
+Features count all words of a text. Scoring covers all.
 
 Defined cases: null and empty texts are scored by their metadata and empty
 words; null language, source or length count as a value of their own; labels
@@ -19,7 +22,8 @@ document the lower one holds; without labels of both kinds all documents score
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.plans.lineage import durable
+
 LABELLED_ROWS = 12_000
-POOL_ROWS = 6_000
 ROUNDS = 3
 #: A view labels a pooled document if its calibrated probability is so sure.
 SURE = 0.97
@@ -52,8 +57,8 @@ def text_features(text: str) -> np.ndarray:
     mixed = sum(1 for w in words if not w.strip(".,;:!?\"'()").replace("-", "").isalpha()) / n
     same = sum(1 for a, b in zip(words, words[1:]) if a == b) / n
     shapes = np.zeros(SHAPES)
-    for w in words[:: max(1, len(words) // 400)]:
-        shapes[xxhash.xxh32_intdigest(w[-3:].lower() if w.isalpha() else "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w[-3:])) % SHAPES] += 1
+    for w, times in Counter(words).items():
+        shapes[xxhash.xxh32_intdigest(w[-3:].lower() if w.isalpha() else "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w[-3:])) % SHAPES] += times
     base = [upper, digits, dots, signs, codes[124], codes[33], loud, mixed, same, len(set(words)) / n, np.log1p(len(words)) / 10, sum(map(len, words)) / n / 10]
     return np.concatenate([base, shapes / max(shapes.sum(), 1)])
 
@@ -138,48 +143,126 @@ def _view(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray)
     return View(mean, scale, weights, calibration if calibration[0] > 0 else np.array([0.0, calibration[1]]))
 
 
-def co_trained(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
+#: From both views and the ids given to each so far: for each view that gives, the ids, kinds and other view's rows.
+Picks = Callable[[list[View], list[np.ndarray]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def co_trained(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, pick: Picks, rounds: int = ROUNDS) -> Model:
     """A model of both views. ``held`` marks the labelled rows for calibration."""
     train = [v[~held] for v in labelled]
     tests = [v[held] for v in labelled]
     given_x, given_y = [[], []], [[], []]
-    free = np.ones((2, len(pool[0])), bool)
+    given_ids = [np.array([], np.int64)] * 2
     views: list[View] = []
     for turn in range(rounds + 1):
         views = [_view(np.concatenate([train[v], *given_x[v]]), np.concatenate([y[~held], *given_y[v]]), tests[v], y[held]) for v in (0, 1)]
-        if turn == rounds or not len(pool[0]):
+        if turn == rounds:
+            break
+        found = pick(views, given_ids)
+        for v, (ids, kinds, rows) in enumerate(found):
+            given_ids[1 - v] = np.concatenate([given_ids[1 - v], ids])
+            given_x[1 - v].append(rows.reshape(len(ids), train[1 - v].shape[1]))
+            given_y[1 - v].append(kinds)
+        if not any(len(ids) for ids, _, _ in found):
             break
-        for v in (0, 1):
-            p = _sigmoid(views[v].logit(pool[v]))
-            for kind, sure in ((1.0, p), (0.0, 1 - p)):
-                ranked = np.argsort(-sure, kind="stable")
-                ranked = ranked[(sure[ranked] >= SURE) & free[1 - v][ranked]][:GIVEN]
-                free[1 - v][ranked] = False
-                given_x[1 - v].append(pool[1 - v][ranked])
-                given_y[1 - v].append(np.full(len(ranked), kind))
     both = np.stack([views[v].logit(tests[v]) for v in (0, 1)], axis=1)
     return Model(views[0], views[1], fit_logistic(both, y[held], ridge=0.1))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> Model | None:
-    """A model from bounded samples of ``docs`` with and without label."""
+def _surest(ids: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Places of the GIVEN surest ids, each once; of equal ones the lower id."""
+    ranked = np.lexsort((ids, -sure))
+    first = np.sort(np.unique(ids[ranked], return_index=True)[1])
+    return ranked[first[:GIVEN]]
+
+
+GIVES = "view int, kind double, l_id long, sure double, row array<float>"
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0), np.float32)
+
+
+def _candidates(views: list[View], given_ids: list[np.ndarray]):
+    """A partition's surest rows of the pool, by view that gives and kind."""
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, float], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("l_id").to_numpy()
+            x = [_matrix(batch.column(c), batch.num_rows) for c in ("words", "meta")]
+            for v in (0, 1):
+                p = np.round(_sigmoid(views[v].logit(x[v].astype(float))), 9)
+                free = ~np.isin(ids, given_ids[1 - v])
+                for kind, sure in ((1.0, p), (0.0, 1 - p)):
+                    at = np.flatnonzero((sure >= SURE) & free)
+                    parts = [(ids[at], sure[at], x[1 - v][at]), *([best[v, kind]] if (v, kind) in best else [])]
+                    merged = [np.concatenate(c) for c in zip(*parts)]
+                    kept = _surest(merged[0], merged[1])
+                    best[v, kind] = tuple(c[kept] for c in merged)
+        yield from _as_batches(best)
+
+    return candidates
+
+
+def _as_batches(best: dict[tuple[int, float], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for (v, kind), (ids, sure, rows) in best.items():
+        columns = [pa.array(np.full(len(ids), v, np.int32)), pa.array(np.full(len(ids), kind)), pa.array(ids), pa.array(sure), pa.array(list(rows), pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["view", "kind", "l_id", "sure", "row"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The surest rows of several partitions' surest rows."""
+    best: dict[tuple[int, float], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        view, kinds, ids, sure = (batch.column(c).to_numpy() for c in ("view", "kind", "l_id", "sure"))
+        for v, kind in {*zip(view.tolist(), kinds.tolist())}:
+            at = np.flatnonzero((view == v) & (kinds == kind))
+            rows = _matrix(batch.column("row").take(pa.array(at)), len(at))
+            parts = [(ids[at], sure[at], rows), *([best[v, kind]] if (v, kind) in best else [])]
+            merged = [np.concatenate(c) for c in zip(*parts)]
+            kept = _surest(merged[0], merged[1])
+            best[v, kind] = tuple(c[kept] for c in merged)
+    yield from _as_batches(best)
+
+
+def picks(pool: DataFrame) -> Picks:
+    """Picks the surest of all rows of ``pool`` (l_id and both views), on Spark."""
+
+    def pick(views: list[View], given_ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        # at most GIVEN rows of each view and kind leave a partition, and each of the few that merge them
+        found = pool.mapInArrow(_candidates(views, given_ids), GIVES).repartition(4, "l_id").mapInArrow(_merged, GIVES).toArrow()
+        best = {(r["view"][0].as_py(), r["kind"][0].as_py()): r for r in _merged(iter(found.to_batches())) if r.num_rows}
+        out = []
+        for v in (0, 1):
+            sides = [best[v, kind] for kind in (1.0, 0.0) if (v, kind) in best]
+            columns = [[r.column(c).to_numpy() for r in sides] for c in ("l_id", "kind")]
+            rows = [_matrix(r.column("row"), r.num_rows).astype(float) for r in sides]
+            out.append(tuple(np.concatenate(c) if c else np.array([], t) for c, t in zip([*columns, rows], (np.int64, float, float))))
+        return out
+
+    return pick
+
+
+def fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model | None:
+    """A model from a bounded sample of labelled ``docs`` and all the others."""
     told = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality")).where("l_id is not null and quality in (0, 1)").groupBy("l_id").agg(F.min("quality").alias("quality"))
     ids = docs.select(F.col("doc_id").cast("long").alias("l_id")).where("l_id is not null").distinct()
-    order = [F.xxhash64("l_id"), F.col("l_id")]
-    with_label = told.join(ids, "l_id", "left_semi").orderBy(*order).limit(labelled_rows)
-    without = ids.join(told, "l_id", "left_anti").orderBy(*order).limit(pool_rows).withColumn("quality", F.lit(None).cast("int"))
-    wanted = with_label.unionByName(without).select("l_id", "quality")
-    # at most labelled_rows + pool_rows ids
+    # at most labelled_rows ids
+    wanted = told.join(ids, "l_id", "left_semi").orderBy(F.xxhash64("l_id"), F.col("l_id")).limit(labelled_rows)
     rows = _rows(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("l_id", "quality", "text", "lang", "source", "n_chars")
     schema = "l_id long, quality int, words array<float>, meta array<float>"
     found = rows.mapInArrow(_sampled, schema).dropDuplicates(["l_id"]).toPandas().sort_values("l_id")
-    has = found["quality"].notna().to_numpy()
-    y = found.loc[has, "quality"].to_numpy(float)
-    held = np.array([xxhash.xxh32_intdigest(str(i)) % 4 == 0 for i in found.loc[has, "l_id"]], bool)
+    y = found["quality"].to_numpy(float)
+    held = np.array([xxhash.xxh32_intdigest(str(i)) % 4 == 0 for i in found["l_id"]], bool)
     if not all(len(set(part)) == 2 for part in (y[held], y[~held])):
         return None
     views = [np.array(found[c].to_list(), float) for c in ("words", "meta")]
-    return co_trained((views[0][has], views[1][has]), y, held, (views[0][~has], views[1][~has]))
+    others = _rows(docs).where("doc_id is not null").select(F.col("doc_id").alias("l_id"), F.lit(None).cast("int").alias("quality"), "text", "lang", "source", "n_chars")
+    pool = durable(others.mapInArrow(_outside(found["l_id"].to_numpy()), schema).drop("quality"))
+    return co_trained((views[0], views[1]), y, held, picks(pool))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -192,6 +275,18 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("quality"), *views], names=["l_id", "quality", "words", "meta"])
 
 
+def _outside(sample: np.ndarray):
+    """Both views of the rows whose id is not in ``sample``."""
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~np.isin(batch.column("l_id").to_numpy(), sample)))
+            if rest.num_rows:
+                yield from _sampled(iter([rest]))
+
+    return outside
+
+
 def _judge(model: Model | None, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if model is None or not batch.num_rows:
         return (np.full(batch.num_rows, 0.5),) * 3

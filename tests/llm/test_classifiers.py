@@ -53,6 +53,38 @@ def test_quality_edges(spark, corpus):
     assert quality.kept(mixed, wrong).columns == mixed.columns
 
 
+def test_word_shapes_count_all_words():
+    words = ["plain", "Words!", "x1"] * 400 + ["rare-é7"] * 3 + ["odd"]
+    slot = lambda w: quality.text_features(w)[-quality.SHAPES :].argmax()
+    want = [0.0] * quality.SHAPES
+    for w in words:
+        want[slot(w)] += 1 / len(words)
+    assert quality.text_features(" ".join(words))[-quality.SHAPES :].tolist() == pytest.approx(want)
+
+
+def test_pseudo_labels_come_from_all_other_rows(spark, corpus, monkeypatch):
+    docs, labels, rows = corpus
+    told, given, pools = {r["doc_id"] for r in labels.collect()}, [], []
+
+    def seen(pool, picks=quality.picks):
+        pools.append({r["l_id"] for r in pool.select("l_id").collect()})
+
+        def pick(views, ids, real=picks(pool)):
+            given.append(real(views, ids))
+            return given[-1]
+
+        return pick
+
+    monkeypatch.setattr(quality, "picks", seen)
+    monkeypatch.setattr(quality, "GIVEN", 40)
+    every = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i, *_ in rows], LABELS)
+    for known, labelled in ((labels, told), (every, {i for i, *_ in rows})):
+        assert quality.fitted(docs.union(docs.limit(100)), known, labelled_rows=300) and len(pools[-1]) == len(rows) - 300
+        assert {i for i, *_ in rows} - labelled <= pools[-1] and len(pools[-1] & labelled) == len(labelled) - 300
+    assert all(set(ids.tolist()) <= pools[0] | pools[1] and len(set(ids.tolist())) == len(ids) for turn in given for ids, _, _ in turn)
+    assert len(given[0][0][0]) == 80 and not set(given[0][0][0].tolist()) & set(given[1][0][0].tolist())
+
+
 def test_toxicity_on_the_held_out_fold(spark, corpus):
     docs, labels, _ = corpus
     rows = toxicity.scored(docs, labels).collect()
