@@ -3,7 +3,11 @@
 A document's units (its lines, its paragraphs, the whole text) are normalised
 to lower-case words and compared to licence templates by the Dice coefficient
 of their word-bigram sets. A template is only compared to units whose number
-of bigrams could reach the threshold. All of it is expressions on the row.
+of bigrams could reach the threshold. So that notices within longer lines or
+paragraphs are found, it is also compared to the windows of the whole text's
+words, of at most so many bigrams, that begin and end with one of its bigrams:
+cutting other bigrams off the ends raises the coefficient. All of it is
+expressions on the row.
 
 Units need an anchor word to be looked at: each template's anchors are words
 that cover so many of its bigrams that no unit without any of them can reach
@@ -88,19 +92,47 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     rows = rows.select("doc_id", F.when(anchored(F.col("text"), ""), F.regexp_replace("text", r"[^a-z0-9\n]+", " ")).alias("text"))
     units = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\x20*\n"), F.array("text")))
-    rows = rows.select("doc_id", F.transform(units, lambda u: F.concat(F.lit(" "), F.regexp_replace(u, r"[\x20\n]+", " "), F.lit(" "))).alias("units"))
-    rows = rows.select("doc_id", F.filter("units", lambda u: (F.length(u) >= 2 * least + 1) & anchored(u, " ")).alias("units"))
-    rows = rows.select("doc_id", F.transform("units", lambda u: F.split(F.trim(u), " ")).alias("units"))
-    rows = rows.select("doc_id", F.transform(F.filter("units", lambda w: F.size(w) > least), _grams).alias("units"))
-    rows = rows.select("doc_id", F.filter("units", lambda g: F.size(g).between(least, most)).alias("units"))
+    plain = F.concat(F.lit(" "), F.regexp_replace("text", r"[\x20\n]+", " "), F.lit(" "))
+    rows = rows.select("doc_id", plain.alias("plain"), F.transform(units, lambda u: F.concat(F.lit(" "), F.regexp_replace(u, r"[\x20\n]+", " "), F.lit(" "))).alias("units"))
+    rows = rows.select("doc_id", "plain", F.filter("units", lambda u: (F.length(u) >= 2 * least + 1) & anchored(u, " ")).alias("units"))
+    rows = rows.select("doc_id", "plain", F.transform("units", lambda u: F.split(F.trim(u), " ")).alias("units"))
+    rows = rows.select("doc_id", "plain", F.transform(F.filter("units", lambda w: F.size(w) > least), _grams).alias("units"))
+    rows = rows.select("doc_id", "plain", F.filter("units", lambda g: F.size(g).between(least, most)).alias("units"))
+
+    def begun(name: str) -> Column:
+        """The places of a template's bigrams, of texts that have an anchor and enough of them."""
+        own = functools.reduce(operator.or_, [F.contains(F.col("plain"), F.lit(f" {w} ")) for w in anchor_words(known[name], threshold)])
+        grams = F.array(*[F.lit(g) for g in sorted(known[name])])
+        return F.when(own, F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains(grams, F.element_at("grams", i))))
+
+    names = sorted(known)
+    words = F.when(anchored(F.col("plain"), " "), F.split(F.trim("plain"), " "))
+    rows = rows.select("doc_id", "plain", "units", words.alias("words")).withColumn("words", F.when(F.size("words") > least, F.col("words")))
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
+    rows = rows.select("doc_id", "plain", "units", pairs.alias("grams"))
+    rows = rows.select("doc_id", "units", "grams", *[begun(n).alias(f"at_{k}") for k, n in enumerate(names)])
+
+    def in_windows(name: str) -> Column:
+        at, (few, many) = F.col(f"at_{names.index(name)}"), bounds[name]
+        grams = F.array(*[F.lit(g) for g in sorted(known[name])])
+
+        def coefficient(a: Column, b: Column) -> Column:
+            window = F.array_distinct(F.slice("grams", F.element_at(at, a), F.element_at(at, b) - F.element_at(at, a) + 1))
+            found = F.lit(2.0) * F.size(F.array_intersect(window, grams)) / (F.size(window) + len(known[name]))
+            return F.when(F.element_at(at, b) - F.element_at(at, a) < many, found)
+
+        # a window that reaches the threshold has as many of the template's bigrams as its least size
+        ends = lambda a: F.sequence(a + (few - 1), F.least(a + (many - 1), F.size(at)))
+        best = F.transform(F.sequence(F.lit(1), F.size(at) - (few - 1)), lambda a: F.array_max(F.transform(ends(a), lambda b: coefficient(a, b))))
+        return F.when(F.size(at) >= few, F.array_max(best))
 
     def dice(name: str) -> Column:
         grams = F.array(*[F.lit(g) for g in sorted(known[name])])
         fit = F.filter("units", lambda g: F.size(g).between(*bounds[name]))
         best = F.array_max(F.transform(fit, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, grams)) / (F.size(g) + len(known[name]))))
-        return F.struct((-best).alias("order"), F.lit(name).alias("name"))
+        return F.struct((-F.greatest(best, in_windows(name))).alias("order"), F.lit(name).alias("name"))
 
-    scored = F.when(F.size("units") > 0, F.array_sort(F.filter(F.array(*[dice(n) for n in sorted(known)]), lambda s: -s["order"] >= threshold)))
+    scored = F.when((F.size("units") > 0) | F.col("grams").isNotNull(), F.array_sort(F.filter(F.array(*[dice(n) for n in names]), lambda s: -s["order"] >= threshold)))
     rows = rows.select("doc_id", scored.alias("hits"))
     return rows.select(
         "doc_id", F.get("hits", F.lit(0))["name"].alias("license"), F.coalesce(F.round(-F.get("hits", F.lit(0))["order"], 6), F.lit(0.0)).alias("dice"),

@@ -169,6 +169,15 @@ def test_licences(spark):
     assert licenses.scanned(docs.limit(0)).count() == 0
 
 
+def test_licences_within_lines_and_paragraphs(spark):
+    wrapped = "some words of a longer paragraph that goes on for a while, and\nthen this work is licensed under the GNU\nGeneral Public License, version 3. More words follow it here, and\nstill more."
+    mit = licenses.TEMPLATES["mit-text"]
+    texts = ["Copyright (c) 2024 Acme. Released under the MIT License.", wrapped, "word " * 300 + mit + " word" * 300, "see the mit page, released on friday under the sun " * 3, "mit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license"], r["dice"]) for r in licenses.scanned(docs).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("gpl-3.0", 1.0), 2: ("mit-text", 1.0), 3: (None, 0.0), 4: (None, 0.0)}
+
+
 def test_anchors_drop_nothing():
     for name, text in licenses.TEMPLATES.items():
         grams = licenses.word_bigrams(text)
