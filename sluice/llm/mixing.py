@@ -25,8 +25,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-#: The mix is dealt in about so many blocks, whatever its size.
+#: The mix is dealt in about so many blocks, and more if sources need them.
 SLOTS = 1 << 17
+#: Blocks of a source and slots of its target, at least; or one block per word.
+LEAST_BLOCKS = 512
 #: Cells of the unit interval by which points meet the sources' intervals.
 CELLS = 1024
 #: Rows for which one task keeps running sums.
@@ -60,7 +62,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     open_level = F.max(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.col("level"))).over(every)
     target = F.least("cap", F.coalesce(open_level, F.lit(0.0)) * F.col("weight"))
     block_words = F.greatest(F.lit(1.0), F.sum("source_size").over(every) / F.lit(float(slots)))
-    blocks = F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / block_words))).otherwise(0).cast("long")
+    least = F.least(F.col("source_size").cast("double"), F.ceil(F.lit(float(LEAST_BLOCKS)) * F.greatest(F.lit(1.0), F.try_divide(F.col("source_size"), target))).cast("double"))
+    blocks = F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.round(F.col("source_size") / block_words), least)).otherwise(0).cast("long")
     out = level.select("source", "source_size", target.alias("target"), blocks.alias("blocks"))
     need = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
     out = out.withColumn("need", need)
@@ -78,9 +81,9 @@ def slot_schedule(targets: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
     """slot, source, rank, block and epoch of every slot of the mix.
 
     Points meet intervals by an equi-join on cells of the unit interval. The
-    number of slots is bounded by the parameter of :func:`source_targets`.
+    number of slots grows with the number of sources, LEAST_BLOCKS for each.
     """
-    slots = targets.agg(F.max("slots").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)))).alias("slot"), "n").where(F.col("slot") < F.col("n"))
+    slots = targets.sparkSession.range(targets.agg(F.max("slots")).first()[0] or 0).select(F.col("id").alias("slot"))
     step = F.col("slot").cast("double") * F.lit(GOLDEN)
     points = slots.select("slot", (step - F.floor(step)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     spans = targets.where("upper > lower").select("*", F.explode(F.sequence(F.floor(F.col("lower") * CELLS).cast("int"), F.floor(F.col("upper") * CELLS).cast("int"))).alias("cell"))

@@ -119,6 +119,12 @@ def test_mix(spark):
     assert {tuple(r)[5:] for r in mixed.collect()} == {(1, 2, 3, 4, 5)}
 
 
+def test_mix_of_small_sources_comes_near_their_targets(spark):
+    texts, sources = ["w " * 1000] * 90 + ["w " * 300] * 600, ["s000"] * 90 + [f"s{1 + i % 60:03}" for i in range(600)]
+    rows = mixing.mix(documents(spark, texts, sources=sources), slots=1 << 10).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(rows) == 61 and all(abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.02 for r in rows), rows
+
+
 def test_mix_edges(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(documents(spark, [None, ""])).selectExpr("sum(taken) t", "sum(target) g").first() == (0, 0.0)
