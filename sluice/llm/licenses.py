@@ -6,15 +6,17 @@ of their word-bigram sets. A template is only compared to units whose number
 of bigrams could reach the threshold. So that notices within longer lines or
 paragraphs are found, it is also compared to the windows of the whole text's
 words, of at most so many bigrams, that begin and end with one of its bigrams:
-cutting other bigrams off the ends raises the coefficient. All of it is
-expressions on the row.
+cutting other bigrams off the ends raises the coefficient. Versions and clauses
+must agree: a unit has the bigrams that tell a template from its relatives, and
+none that deny it. All of it is expressions on the row.
 
 Units need an anchor word to be looked at: each template's anchors are words
 that cover so many of its bigrams that no unit without any of them can reach
 the threshold. This drops no match.
 
-Defined cases: null and empty texts have no licence; of equal coefficients the
-template first by name wins; repeated rows are scanned each; other columns of
+Defined cases: null, empty and wordless texts have no licence; whole texts are
+searched, however long; of equal coefficients the longer template wins, then the
+first by name; repeated rows are scanned each; other columns of
 the input are ignored.
 """
 
@@ -34,27 +36,77 @@ TEMPLATES = {
     "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "cc-by-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-4.0-short": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-text": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-3.0-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    "cc-by-sa-4.0-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-1.0": "This work is released into the public domain under CC0 1.0 Universal.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
 
+#: Bigrams that tell a template from its relatives: versions and clauses that a unit must have.
+REQUIRED = {
+    "agpl-3.0": ("affero general", "version 3"),
+    "apache-2.0": ("apache license", "version 2"),
+    "apache-2.0-header": ("apache license", "version 2"),
+    "bsd-2-clause": ("following conditions",),
+    "bsd-3-clause": ("neither the",),
+    "cc-by-3.0": ("attribution 3",),
+    "cc-by-4.0": ("attribution 4",),
+    "cc-by-4.0-short": ("by 4",),
+    "cc-by-nc-4.0": ("by nc", "nc 4"),
+    "cc-by-nc-4.0-text": ("attribution noncommercial", "noncommercial 4"),
+    "cc-by-sa-3.0-text": ("attribution sharealike", "sharealike 3"),
+    "cc-by-sa-4.0": ("by sa", "sa 4"),
+    "cc-by-sa-4.0-text": ("attribution sharealike", "sharealike 4"),
+    "cc0-1.0": ("cc0 1",),
+    "gpl-2.0": ("gnu general", "version 2"),
+    "gpl-2.0-header": ("gnu general", "version 2"),
+    "gpl-3.0": ("gnu general", "version 3"),
+    "gpl-3.0-header": ("gnu general", "version 3"),
+    "lgpl-2.1-header": ("lesser general", "2 1"),
+    "lgpl-3.0-header": ("lesser general", "version 3"),
+    "mit": ("mit license",),
+    "mpl-2.0": ("mozilla public", "2 0"),
+}
+#: Bigrams that a template's unit, or a window and its surroundings, may not have: other clauses and denials.
+FORBIDDEN = {"bsd": ("neither the",), "bsd-2-clause": ("neither the",)}
+DENIED = ("granted", "licensed", "permitted", "released")
+#: Bigrams before and after a window in which a denial or another clause counts.
+DENIAL_REACH = 6
+#: Templates that are a part of others, and are not listed beside them.
+WITHIN = {"apache-2.0": ("apache-2.0-header",), "bsd": ("bsd-2-clause", "bsd-3-clause"), "bsd-2-clause": ("bsd-3-clause",)}
+
+
+def forbidden(name: str, grams: set[str]) -> tuple[str, ...]:
+    """Bigrams that speak against a template: those stated and denials of its verbs."""
+    words = {w for g in grams for w in g.split()}
+    return (*FORBIDDEN.get(name, ()), *(f"{no} {verb}" for verb in DENIED if verb in words for no in ("never", "not")))
+
+
 #: Words that are poor anchors.
 COMMON = frozenset("0 1 2 3 4 a above all an and any as by copy fee following for free hereby http in is later may mit not of or other out permit person provided that the this to under use used whom with work www you your".split())
 
 
 def word_bigrams(text: str) -> set[str]:
-    """The bigram set of a template; texts are cut the same way by :func:`_grams`."""
+    """The bigram set of a template; texts are cut the same way by :func:`_pairs`."""
     words = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
@@ -74,17 +126,60 @@ def anchor_words(grams: set[str], threshold: float) -> list[str]:
     return anchors
 
 
-def _grams(words: Column) -> Column:
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _known(templates: dict[str, str], threshold: float) -> Column:
+    """The templates as one array: name, bigrams, least and most bigrams of a unit, what it needs and what bars it."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    texts = lambda items: F.array(*map(F.lit, items)).cast("array<string>")
+    found = []
+    for name, text in sorted(templates.items()):
+        grams = word_bigrams(text)
+        few, many = math.ceil(low * len(grams) - 1e-9), math.floor(high * len(grams) + 1e-9)
+        within = WITHIN.get(name, ())
+        found.append(F.struct(F.lit(name).alias("name"), texts(sorted(grams)).alias("grams"), F.lit(few).alias("few"), F.lit(many).alias("many"), texts(REQUIRED.get(name, ())).alias("needs"), texts(forbidden(name, grams)).alias("bars"), texts(within).alias("within")))
+    return F.array(*found)
+
+
+def _agrees(t: Column, grams: Column, near: Column) -> Column:
+    """A unit has all that the template needs, and nothing in or near it speaks against it."""
+    return (F.size(F.array_except(t["needs"], grams)) == 0) & ~F.arrays_overlap(near, t["bars"])
+
+
+def _dice(t: Column, grams: Column) -> Column:
+    return F.lit(2.0) * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + F.size(t["grams"]))
+
+
+def _in_windows(t: Column, grams: Column) -> Column:
+    """The best coefficient of a text's windows that begin and end with a bigram of the template."""
+    at = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(t["grams"], F.element_at(grams, i)))
+
+    def coefficient(a: Column, b: Column) -> Column:
+        window = F.array_distinct(F.slice(grams, a, b - a + 1))
+        begin = F.greatest(a - DENIAL_REACH, F.lit(1))
+        near = F.slice(grams, begin, b - begin + 1 + DENIAL_REACH)
+        return F.when((b - a < t["many"]) & _agrees(t, window, near), _dice(t, window))
+
+    def best(places: Column) -> Column:
+        # a window that reaches the threshold has at least the template's least number of its bigrams
+        ends = lambda k: F.slice(places, k + t["few"], t["many"])
+        begins = F.sequence(F.lit(0), F.size(places) - t["few"])
+        of_begin = lambda k: F.array_max(F.transform(ends(k), lambda b: coefficient(F.get(places, k), b)))
+        return F.when(F.size(places) >= t["few"], F.array_max(F.transform(begins, of_begin)))
+
+    # the places are worked out once
+    return F.get(F.transform(F.array(at), best), F.lit(0))
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice and matches (every template that reached ``threshold``)."""
-    known = {name: word_bigrams(text) for name, text in (templates or TEMPLATES).items()}
-    anchors = sorted({w for g in known.values() for w in anchor_words(g, threshold)})
+    given = templates or TEMPLATES
+    sets = [word_bigrams(text) for text in given.values()]
+    anchors = sorted({w for g in sets for w in anchor_words(g, threshold)})
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    bounds = {n: (math.ceil(low * len(g) - 1e-9), math.floor(high * len(g) + 1e-9)) for n, g in known.items()}
-    least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
+    least, most = min(math.ceil(low * len(g) - 1e-9) for g in sets), max(math.floor(high * len(g) + 1e-9) for g in sets)
 
     def anchored(text: Column, mark: str) -> Column:
         return functools.reduce(operator.or_, [F.contains(text, F.lit(f"{mark}{w}{mark}")) for w in anchors])
@@ -94,47 +189,23 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
     units = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\x20*\n"), F.array("text")))
     plain = F.concat(F.lit(" "), F.regexp_replace("text", r"[\x20\n]+", " "), F.lit(" "))
     rows = rows.select("doc_id", plain.alias("plain"), F.transform(units, lambda u: F.concat(F.lit(" "), F.regexp_replace(u, r"[\x20\n]+", " "), F.lit(" "))).alias("units"))
-    rows = rows.select("doc_id", "plain", F.filter("units", lambda u: (F.length(u) >= 2 * least + 1) & anchored(u, " ")).alias("units"))
-    rows = rows.select("doc_id", "plain", F.transform("units", lambda u: F.split(F.trim(u), " ")).alias("units"))
-    rows = rows.select("doc_id", "plain", F.transform(F.filter("units", lambda w: F.size(w) > least), _grams).alias("units"))
-    rows = rows.select("doc_id", "plain", F.filter("units", lambda g: F.size(g).between(least, most)).alias("units"))
-
-    def begun(name: str) -> Column:
-        """The places of a template's bigrams, of texts that have an anchor and enough of them."""
-        own = functools.reduce(operator.or_, [F.contains(F.col("plain"), F.lit(f" {w} ")) for w in anchor_words(known[name], threshold)])
-        grams = F.array(*[F.lit(g) for g in sorted(known[name])])
-        return F.when(own, F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains(grams, F.element_at("grams", i))))
-
-    names = sorted(known)
-    words = F.when(anchored(F.col("plain"), " "), F.split(F.trim("plain"), " "))
-    rows = rows.select("doc_id", "plain", "units", words.alias("words")).withColumn("words", F.when(F.size("words") > least, F.col("words")))
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select("doc_id", "plain", "units", pairs.alias("grams"))
-    rows = rows.select("doc_id", "units", "grams", *[begun(n).alias(f"at_{k}") for k, n in enumerate(names)])
-
-    def in_windows(name: str) -> Column:
-        at, (few, many) = F.col(f"at_{names.index(name)}"), bounds[name]
-        grams = F.array(*[F.lit(g) for g in sorted(known[name])])
-
-        def coefficient(a: Column, b: Column) -> Column:
-            window = F.array_distinct(F.slice("grams", F.element_at(at, a), F.element_at(at, b) - F.element_at(at, a) + 1))
-            found = F.lit(2.0) * F.size(F.array_intersect(window, grams)) / (F.size(window) + len(known[name]))
-            return F.when(F.element_at(at, b) - F.element_at(at, a) < many, found)
-
-        # a window that reaches the threshold has as many of the template's bigrams as its least size
-        ends = lambda a: F.sequence(a + (few - 1), F.least(a + (many - 1), F.size(at)))
-        best = F.transform(F.sequence(F.lit(1), F.size(at) - (few - 1)), lambda a: F.array_max(F.transform(ends(a), lambda b: coefficient(a, b))))
-        return F.when(F.size(at) >= few, F.array_max(best))
-
-    def dice(name: str) -> Column:
-        grams = F.array(*[F.lit(g) for g in sorted(known[name])])
-        fit = F.filter("units", lambda g: F.size(g).between(*bounds[name]))
-        best = F.array_max(F.transform(fit, lambda g: F.lit(2.0) * F.size(F.array_intersect(g, grams)) / (F.size(g) + len(known[name]))))
-        return F.struct((-F.greatest(best, in_windows(name))).alias("order"), F.lit(name).alias("name"))
-
-    scored = F.when((F.size("units") > 0) | F.col("grams").isNotNull(), F.array_sort(F.filter(F.array(*[dice(n) for n in names]), lambda s: -s["order"] >= threshold)))
-    rows = rows.select("doc_id", scored.alias("hits"))
+    rows = rows.select("doc_id", F.when(anchored(F.col("plain"), " "), F.split(F.trim("plain"), " ")).alias("words"), F.filter("units", lambda u: (F.length(u) >= 2 * least + 1) & anchored(u, " ")).alias("units"))
+    rows = rows.select("doc_id", F.when(F.size("words") > least, _pairs(F.col("words"))).alias("grams"), F.transform("units", lambda u: F.split(F.trim(u), " ")).alias("units"))
+    # only templates that the whole text has enough of are compared at all
+    enough = F.filter(_known(given, threshold), lambda t: F.size(F.array_intersect("grams", t["grams"])) >= t["few"])
+    rows = rows.select("doc_id", "grams", "units", F.when(F.col("grams").isNotNull(), enough).alias("known"))
+    rows = rows.select("doc_id", "grams", "known", F.when(F.size("known") > 0, F.transform(F.filter("units", lambda w: F.size(w) > least), lambda w: F.array_distinct(_pairs(w)))).alias("units"))
+    rows = rows.select("doc_id", "grams", "known", F.filter("units", lambda g: F.size(g).between(least, most)).alias("units"))
+
+    def hit(t: Column) -> Column:
+        fit = F.filter("units", lambda g: F.size(g).between(t["few"], t["many"]) & _agrees(t, g, g))
+        best = F.greatest(F.array_max(F.transform(fit, lambda g: _dice(t, g))), _in_windows(t, F.col("grams")))
+        return F.struct((-best).alias("order"), (-F.size(t["grams"])).alias("size"), t["name"].alias("name"), t["within"].alias("within"))
+
+    hits = F.array_sort(F.filter(F.transform("known", hit), lambda h: -h["order"] >= threshold))
+    rows = rows.select("doc_id", F.when(F.size("known") > 0, hits).alias("hits"))
+    rows = rows.select("doc_id", F.filter("hits", lambda h: ~F.exists("hits", lambda o: F.array_contains(h["within"], o["name"]))).alias("hits"))
     return rows.select(
         "doc_id", F.get("hits", F.lit(0))["name"].alias("license"), F.coalesce(F.round(-F.get("hits", F.lit(0))["order"], 6), F.lit(0.0)).alias("dice"),
-        F.coalesce(F.array_join(F.transform("hits", lambda s: s["name"]), ","), F.lit("")).alias("matches"),
+        F.coalesce(F.array_join(F.transform("hits", lambda h: h["name"]), ","), F.lit("")).alias("matches"),
     )

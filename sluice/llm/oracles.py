@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from sluice.llm.licenses import TEMPLATES, THRESHOLD
+from sluice.llm.licenses import REQUIRED, TEMPLATES, THRESHOLD, WITHIN, forbidden, word_bigrams
 from sluice.llm.mixing import GOLDEN, SLOTS
+from sluice.llm.pii import CAPITALS, CONTEXT_CHARS, COUNT_FROM, LOWER, RAISE, SCORES, SMALL, SPEAKS_AGAINST, SPEAKS_FOR, context_pattern
 
 EXACT_TOPK = """
 WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -35,15 +36,17 @@ SELECT doc_id, size, s AS source_size, target, CASE WHEN size = 0 THEN 0 ELSE co
 FROM m JOIN a ON m.source IS NOT DISTINCT FROM a.source LEFT JOIN h ON h.source IS NOT DISTINCT FROM a.source"""
 
 _WORDS = "string_split(trim(regexp_replace({u}, '[^a-z0-9]+', ' ', 'g')), ' ')"
-_KNOWN = ", ".join(f"('{n}', '{t.lower().replace(chr(39), chr(39) * 2)}')" for n, t in TEMPLATES.items())
+_LIST = lambda items: f"{list(items)}::VARCHAR[]"
+_KNOWN = ", ".join(f"('{n}', '{t.lower().replace(chr(39), chr(39) * 2)}', {_LIST(REQUIRED.get(n, ()))}, {_LIST(forbidden(n, word_bigrams(t)))}, {_LIST(WITHIN.get(n, ()))})" for n, t in TEMPLATES.items())
 
 LICENSE_SCAN = f"""
-WITH k AS (SELECT name, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM (SELECT name, {_WORDS.format(u="body")} AS w FROM (VALUES {_KNOWN}) t(name, body))),
+WITH k AS (SELECT name, needs, bars, wide, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM (SELECT name, needs, bars, wide, {_WORDS.format(u="body")} AS w FROM (VALUES {_KNOWN}) t(name, body, needs, bars, wide))),
 d AS (SELECT row_number() OVER () AS i, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
 u AS (SELECT i, unnest(list_distinct(string_split(t, chr(10)) || string_split_regex(t, '\\n *\\n') || [t])) AS u FROM d), s AS (SELECT i, {_WORDS.format(u="u")} AS w FROM u),
 b AS (SELECT DISTINCT i, list_distinct([w[j] || ' ' || w[j + 1] FOR j IN range(1, len(w))]) AS g FROM s WHERE len(w) BETWEEN 3 AND 400),
-h AS (SELECT i, name, max(2.0 * len(list_intersect(b.g, k.g)) / (len(b.g) + len(k.g))) AS dice FROM b, k WHERE len(b.g) BETWEEN 0.6 * len(k.g) AND 1.7 * len(k.g) GROUP BY i, name),
-a AS (SELECT i, list(name ORDER BY dice DESC, name) AS names, max(dice) AS dice FROM h WHERE dice >= {THRESHOLD} GROUP BY i)
+h AS (SELECT i, name, any_value(wide) AS wide, any_value(len(k.g)) AS long, max(2.0 * len(list_intersect(b.g, k.g)) / (len(b.g) + len(k.g))) AS dice FROM b, k WHERE len(b.g) BETWEEN 0.6 * len(k.g) AND 1.7 * len(k.g) AND list_has_all(b.g, needs) AND NOT list_has_any(b.g, bars) GROUP BY i, name),
+o AS (SELECT *, list(name) OVER (PARTITION BY i) AS beside FROM h WHERE dice >= {THRESHOLD}),
+a AS (SELECT i, list(name ORDER BY dice DESC, long DESC, name) AS names, arg_max(dice, [dice, long]) AS dice FROM o WHERE NOT list_has_any(beside, wide) GROUP BY i)
 SELECT doc_id, names[1] AS license, coalesce(round(dice, 6), 0)::DOUBLE AS dice, coalesce(array_to_string(names, ','), '') AS matches FROM d LEFT JOIN a USING (i)"""
 
 _PII = {
@@ -52,18 +55,30 @@ _PII = {
     "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "secret": r"\b(?:AKIA[A-Z0-9]{16}|(?:password|passwd|secret|token|api_key)=[A-Za-z0-9]{8,64})\b",
 }
 _PROPOSED = " UNION ALL ".join(f"SELECT i, {n} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM d" for n, (kind, p) in enumerate(_PII.items()))
 _COUNTS = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _PII)
+_BASE_SCORE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in SCORES.items()) + " END"
 
+
+def _by_kind(words: dict[str, tuple[str, ...]], step: int) -> str:
+    return "CASE " + " ".join(f"WHEN kind = '{k}' AND regexp_matches(near, '{context_pattern(w)}') THEN {step}" for k, w in words.items()) + " ELSE 0 END"
+
+
+_BASE = "kind IN ('email', 'ip', 'card', 'phone')"
+_WRITTEN = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k)"
 PII = f"""
 WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t FROM documents), x AS ({_PROPOSED}),
 y AS (SELECT i, k, kind, m, g, unnest(range(1, len(m) + 1)) AS j FROM x WHERE len(m) > 0),
-z AS (SELECT i, k, kind, m[j] AS v, regexp_replace(m[j], '[^0-9]', '', 'g') AS digits, regexp_replace(m[j], '\\x20', '', 'g') AS plain, (list_sum([length(a) FOR a IN g[1:j]]) + coalesce(list_sum([length(a) FOR a IN m[1:j - 1]]), 0))::BIGINT AS s FROM y),
-f AS (SELECT i, k, kind, s, s + length(v) AS e FROM z WHERE CASE kind WHEN 'email' THEN true
+z AS (SELECT i, k, kind, m[j] AS v, translate(right(g[j], {CONTEXT_CHARS}) || ' ' || left(g[j + 1], {CONTEXT_CHARS}), '{CAPITALS}', '{SMALL}') AS near, regexp_replace(m[j], '[^0-9]', '', 'g') AS digits, regexp_replace(m[j], '\\x20', '', 'g') AS plain, (list_sum([length(a) FOR a IN g[1:j]]) + coalesce(list_sum([length(a) FOR a IN m[1:j - 1]]), 0))::BIGINT AS s FROM y),
+f AS (SELECT i, k, kind, s, s + length(v) AS e, least(10, {_BASE_SCORE} + {_by_kind(SPEAKS_FOR, RAISE)} + {_by_kind(SPEAKS_AGAINST, -LOWER)}) AS score FROM z WHERE CASE kind WHEN 'email' THEN true WHEN 'secret' THEN true
   WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0
   WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum([CASE WHEN (length(digits) - q) % 2 = 0 THEN digits[q]::INT ELSE digits[q]::INT * 2 - CASE WHEN digits[q]::INT > 4 THEN 9 ELSE 0 END END FOR q IN range(1, length(digits) + 1)]) % 10 = 0
   WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+  WHEN 'ssn' THEN NOT regexp_matches(v, '^(?:000|666|9)|-00-|-0000$')
   ELSE length(plain) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0::BIGINT, [CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE unicode(c)::BIGINT - 55 END FOR c IN string_split(plain[5:] || plain[:4], '')]), lambda a, c: CASE WHEN c < 10 THEN (a * 10 + c) % 97 ELSE (a * 100 + c) % 97 END) = 1 END),
-a AS (SELECT i, {_COUNTS}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind <> 'iban') AS base FROM f GROUP BY i)
-SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (i)"""
+c AS (SELECT * FROM f WHERE {_BASE} OR score >= {COUNT_FROM}),
+a AS (SELECT i, {_COUNTS}, {_WRITTEN} AS spans, string_agg(score::VARCHAR, ',' ORDER BY s, k) AS scores, {_WRITTEN} FILTER ({_BASE}) AS base FROM c GROUP BY i)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN a USING (i)"""
