@@ -1,27 +1,33 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Two classifiers see a document: one its words and characters, the other its
-metadata and layout (source, language, lengths, lines). Each starts from the
-labelled sample. In every round each view, calibrated on held-out labels, picks
-unlabelled documents that it is sure of, and gives them to the other view as
-training rows. At the end the calibrated views are combined, again on held-out
-labels, and all documents are scored.
-
-The labelled sample is bounded: at most LABELLED_ROWS rows, of the least id
-hashes. All other documents, with or without label, are the pool: every round
-scores all of it and takes the at most GIVEN surest of each kind. Without any
-others, as all labelled rows are in the sample, there is nothing to exchange.
-Features count all words of a text. Scoring covers all.
+Two classifiers see a document: one its words and characters, the other what is
+known about it (source, language, stated length, host of its url), nothing of
+which is in the text. Each starts from the labelled sample. In every round each
+view, calibrated on held-out labels, labels for the other view the share of all
+other documents that it is surest of, of both kinds: its highest and its lowest
+quantile, in the kinds' proportions. A pseudo-label weighs as much as the
+calibrated probability goes beyond the kind's base rate, so a view that knows
+little teaches little. At the end the calibrated views are combined, again on
+held-out labels, and all documents are scored.
+
+A view is a linear discriminant. It needs only counts, sums and products of the
+rows of each kind, so pseudo-labelled rows are summed up where they lie and
+their number has no bound: together they weigh as much as the labelled rows.
+Only the labelled sample is bounded: at most LABELLED_ROWS rows, of the least id
+hashes. All other documents, with or without label, are the pool. Features count
+all words of a text.
 
 Defined cases: null and empty texts are scored by their metadata and empty
-words; null language, source or length count as a value of their own; labels
-that are null or name no document are ignored, and of labels that disagree on a
-document the lower one holds; without labels of both kinds all documents score
-0.5 and are kept; repeated rows are scored each.
+words; null or missing language, source, url or length count as a value of
+their own; labels that are null or name no document are ignored, and of labels
+that disagree on a document the lower one holds; without labels of both kinds
+all documents score 0.5 and are kept; repeated rows are scored each; rows
+without id are scored and not learned from; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,57 +38,66 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.sampling import hash_sample
 from sluice.plans.lineage import durable
 
 LABELLED_ROWS = 12_000
 ROUNDS = 3
-#: A view labels a pooled document if its calibrated probability is so sure.
-SURE = 0.97
-#: Documents that a view labels for the other in a round, of each kind, at most.
-GIVEN = 1_000
+#: Share of the pool's rows of a kind that a view labels for the other in the first round; it grows by as much each round.
+SHARE = 0.1
+#: Bins of a view's logit, between -LOGIT and LOGIT, by which its quantiles are found.
+BINS = 4_096
+LOGIT = 30.0
+RIDGE = 0.01
 KEEP_FROM = 0.5
 SHAPES = 32
-METADATA = 32
+HASHED = {"lang": 16, "source": 32, "host": 32}
+#: Powers of two from which a stated length counts once more.
+LENGTH_STEPS = tuple(range(4, 18, 2))
 
 
 def text_features(text: str) -> np.ndarray:
     """The text view: shares of characters and words by kind, repetition, word shapes."""
     words = text.split()
     n = max(len(words), 1)
-    codes = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256) / max(len(text), 1)
+    codes = np.bincount(np.frombuffer(text.encode(errors="replace"), np.uint8), minlength=256) / max(len(text), 1)
     upper, digits = codes[65:91].sum(), codes[48:58].sum()
     dots = codes[[33, 46, 63]].sum()
     signs = codes[33:48].sum() + codes[58:65].sum() + codes[91:97].sum() + codes[123:127].sum()
-    loud = sum(1 for w in words if len(w) > 1 and w.isupper()) / n
-    mixed = sum(1 for w in words if not w.strip(".,;:!?\"'()").replace("-", "").isalpha()) / n
-    same = sum(1 for a, b in zip(words, words[1:]) if a == b) / n
+    times = Counter(words)
+    loud = mixed = letters = 0
     shapes = np.zeros(SHAPES)
-    for w, times in Counter(words).items():
-        shapes[xxhash.xxh32_intdigest(w[-3:].lower() if w.isalpha() else "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w[-3:])) % SHAPES] += times
-    base = [upper, digits, dots, signs, codes[124], codes[33], loud, mixed, same, len(set(words)) / n, np.log1p(len(words)) / 10, sum(map(len, words)) / n / 10]
+    for w, t in times.items():
+        letters += t * len(w)
+        loud += t * (len(w) > 1 and w.isupper())
+        mixed += t * (not w.strip(".,;:!?\"'()").replace("-", "").isalpha())
+        shapes[xxhash.xxh32_intdigest(w[-3:].lower() if w.isalpha() else "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w[-3:])) % SHAPES] += t
+    same = sum(map(str.__eq__, words, words[1:])) / n
+    lines = text.count("\n") + 1
+    base = [upper, digits, dots, signs, codes[124], codes[33], loud / n, mixed / n, same, len(times) / n, np.log1p(len(words)) / 10, letters / n / 10, np.log1p(lines) / 5, lines / n, text.count("\n\n") / lines]
     return np.concatenate([base, shapes / max(shapes.sum(), 1)])
 
 
-def metadata_features(lang: str | None, source: str | None, n_chars: float | None, text: str) -> np.ndarray:
-    """The metadata view: language, source, lengths and layout, without the words."""
-    hashed = np.zeros(METADATA)
-    hashed[xxhash.xxh32_intdigest(f"lang={lang}") % METADATA] = 1
-    hashed[xxhash.xxh32_intdigest(f"source={source}") % METADATA] += 1
+def metadata_features(lang: str | None, source: str | None, n_chars: float | None, url: str | None = None) -> np.ndarray:
+    """The metadata view: language, source, host and stated length; it does not see the text."""
+    found = re.search(r"://([^/?#]*)", url or "")
+    parts = []
+    for name, value in (("lang", lang), ("source", source), ("host", found and found[1].lower())):
+        hashed = np.zeros(HASHED[name])
+        hashed[xxhash.xxh32_intdigest(f"{name}={value}") % HASHED[name]] = 1
+        parts.append(hashed)
     known = n_chars is not None and n_chars == n_chars
-    lines = text.count("\n") + 1
-    size = float(n_chars) if known else 0.0
-    blank = 1.0 - len(text) / max(len(text) + text.count("\n\n"), 1)
-    return np.concatenate([[float(known), np.log1p(max(size, 0.0)) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 10, blank, float(size < 200)], hashed])
+    size = np.log2(max(float(n_chars), 0.0) + 1) if known else 0.0
+    return np.concatenate([[float(known), size / 20, *(max(0.0, size - s) / 20 for s in LENGTH_STEPS)], *parts])
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch, a few rows' texts at a time."""
     words, meta = [], []
     for k in range(0, batch.num_rows, 256):
-        rows = [batch.column(c).slice(k, 256).to_pylist() for c in ("text", "lang", "source", "n_chars")]
-        texts = ["" if t is None else t for t in rows[0]]
-        words += [text_features(t) for t in texts]
-        meta += [metadata_features(lang, source, size, t) for t, lang, source, size in zip(texts, *rows[1:])]
+        columns = [batch.column(c).slice(k, 256).to_pylist() if c in batch.schema.names else [None] * 256 for c in ("text", "lang", "source", "n_chars", "url")]
+        words += [text_features(t or "") for t in columns[0]]
+        meta += [metadata_features(*m) for _, m in zip(columns[0], zip(*columns[1:]))]
     return np.array(words).reshape(batch.num_rows, -1), np.array(meta).reshape(batch.num_rows, -1)
 
 
@@ -92,7 +107,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     weights, penalty = np.zeros(wide.shape[1]), ridge * np.eye(wide.shape[1])
     penalty[-1, -1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(wide @ weights, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(wide @ weights, -LOGIT, LOGIT)))
         step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + penalty, wide.T @ (y - p) - penalty @ weights)
         weights = weights + step
         if np.abs(step).max() < 1e-6:
@@ -100,26 +115,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return weights
 
 
-def _logit(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    return np.clip(x @ weights[:-1] + weights[-1], -30, 30)
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-z))
 
 
 @dataclass
 class View:
-    """A view's scaling, weights and calibration (slope, constant)."""
+    """A view's direction and calibration (slope, constant)."""
 
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
+    direction: np.ndarray
     calibration: np.ndarray
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        raw = _logit((x - self.mean) / self.scale, self.weights)
-        return np.clip(raw * self.calibration[0] + self.calibration[1], -30, 30)
+        return np.clip((x @ self.direction) * self.calibration[0] + self.calibration[1], -LOGIT, LOGIT)
 
 
 @dataclass
@@ -132,188 +140,258 @@ class Model:
 
     def score(self, words: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.text.logit(words), self.metadata.logit(meta)
-        return _sigmoid(a), _sigmoid(b), _sigmoid(_logit(np.stack([a, b], axis=1), self.weights))
+        both = np.clip(a * self.weights[0] + b * self.weights[1] + self.weights[2], -LOGIT, LOGIT)
+        return _sigmoid(a), _sigmoid(b), _sigmoid(both)
 
 
-def _view(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> View:
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    weights = fit_logistic((x - mean) / scale, y)
-    raw = _logit((held_x - mean) / scale, weights)
-    calibration = fit_logistic(raw[:, None], held_y, ridge=0.01)
-    return View(mean, scale, weights, calibration if calibration[0] > 0 else np.array([0.0, calibration[1]]))
+class Sums:
+    """Weights, sums and products of the rows of both kinds (bad, good)."""
 
+    def __init__(self, width: int):
+        self.mass, self.first, self.second = np.zeros(2), np.zeros((2, width)), np.zeros((2, width, width))
 
-#: From both views and the ids given to each so far: for each view that gives, the ids, kinds and other view's rows.
-Picks = Callable[[list[View], list[np.ndarray]], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    def add(self, kind: int, x: np.ndarray, weight: np.ndarray) -> None:
+        self.mass[kind] += weight.sum()
+        self.first[kind] += weight @ x
+        self.second[kind] += (x * weight[:, None]).T @ x
 
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.mass, self.first.ravel(), self.second.ravel()])
 
-def co_trained(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, pick: Picks, rounds: int = ROUNDS) -> Model:
-    """A model of both views. ``held`` marks the labelled rows for calibration."""
-    train = [v[~held] for v in labelled]
-    tests = [v[held] for v in labelled]
-    given_x, given_y = [[], []], [[], []]
-    given_ids = [np.array([], np.int64)] * 2
-    views: list[View] = []
-    for turn in range(rounds + 1):
-        views = [_view(np.concatenate([train[v], *given_x[v]]), np.concatenate([y[~held], *given_y[v]]), tests[v], y[held]) for v in (0, 1)]
-        if turn == rounds:
-            break
-        found = pick(views, given_ids)
-        for v, (ids, kinds, rows) in enumerate(found):
-            given_ids[1 - v] = np.concatenate([given_ids[1 - v], ids])
-            given_x[1 - v].append(rows.reshape(len(ids), train[1 - v].shape[1]))
-            given_y[1 - v].append(kinds)
-        if not any(len(ids) for ids, _, _ in found):
-            break
-    both = np.stack([views[v].logit(tests[v]) for v in (0, 1)], axis=1)
-    return Model(views[0], views[1], fit_logistic(both, y[held], ridge=0.1))
+    @classmethod
+    def of(cls, flat: np.ndarray, width: int) -> Sums:
+        out = cls(width)
+        out.mass, out.first, out.second = flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, width, width)
+        return out
+
+    def scaled(self, most: np.ndarray) -> Sums:
+        """These sums with at most the mass ``most`` of each kind."""
+        share = np.minimum(1.0, most / np.maximum(self.mass, 1e-300))
+        out = Sums(self.first.shape[1])
+        out.mass, out.first, out.second = self.mass * share, self.first * share[:, None], self.second * share[:, None, None]
+        return out
+
+    def __add__(self, other: Sums) -> Sums:
+        return Sums.of(self.flat() + other.flat(), self.first.shape[1])
+
+
+def discriminant(sums: Sums) -> np.ndarray:
+    """The direction that tells the kinds apart best for the spread within them."""
+    means = sums.first / np.maximum(sums.mass, 1e-12)[:, None]
+    within = (sums.second - sums.mass[:, None, None] * means[:, :, None] * means[:, None, :]).sum(axis=0) / max(sums.mass.sum(), 1e-12)
+    scale = np.sqrt(np.maximum(np.diag(within), 0)) + 1e-6
+    even = within / scale[:, None] / scale[None, :] + RIDGE * np.eye(len(scale))
+    return np.linalg.solve(even, (means[1] - means[0]) / scale) / scale
 
 
-def _surest(ids: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Places of the GIVEN surest ids, each once; of equal ones the lower id."""
-    ranked = np.lexsort((ids, -sure))
-    first = np.sort(np.unique(ids[ranked], return_index=True)[1])
-    return ranked[first[:GIVEN]]
+def _view(sums: Sums, held_x: np.ndarray, held_y: np.ndarray) -> View:
+    direction = discriminant(sums)
+    calibration = fit_logistic((held_x @ direction)[:, None], held_y, ridge=0.01)
+    if calibration[0] <= 0:
+        calibration = np.array([0.0, np.log(held_y.mean() / (1 - held_y.mean()))])
+    return View(direction, calibration)
 
 
-GIVES = "view int, kind double, l_id long, sure double, row array<float>"
+#: From both views and the round: for each view the sums of what the other labels for it.
+Teach = Callable[[list[View], int], list[Sums]]
+
+
+def co_trained(labelled: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, teach: Teach, rounds: int = ROUNDS) -> Model:
+    """A model of both views. ``held`` marks the labelled rows for calibration."""
+    base, tests = [], [v[held] for v in labelled]
+    for v in labelled:
+        sums = Sums(v.shape[1])
+        for kind in (0, 1):
+            sums.add(kind, v[~held & (y == kind)], np.ones(int((~held & (y == kind)).sum())))
+        base.append(sums)
+    views = [_view(s, t, y[held]) for s, t in zip(base, tests)]
+    for turn in range(rounds):
+        taught = teach(views, turn)
+        views = [_view(s + more.scaled(s.mass), t, y[held]) for s, more, t in zip(base, taught, tests)]
+    both = np.stack([v.logit(t) for v, t in zip(views, tests)], axis=1)
+    weights = fit_logistic(both, y[held], ridge=0.1)
+    for place in (0, 1):
+        # a view that would count against itself does not count
+        if weights[place] < 0:
+            rest = fit_logistic(both[:, [1 - place]], y[held], ridge=0.1)
+            weights = np.insert(rest, place, 0.0)
+    return Model(views[0], views[1], weights)
+
+
+def _bin(logit: np.ndarray) -> np.ndarray:
+    return np.clip(((logit + LOGIT) * (BINS / (2 * LOGIT))).astype(np.int64), 0, BINS - 1)
+
+
+def cuts(counts: np.ndarray, good: float, share: float) -> tuple[int, int]:
+    """The bins up to which a view says bad, and from which it says good.
+
+    Each takes its kind's share of the rows, in whole bins, and at least its
+    outermost bin with rows; the two never meet.
+    """
+    total, upto = counts.sum(), np.cumsum(counts)
+    filled = np.flatnonzero(counts)
+    if len(filled) < 2:
+        return -1, BINS
+    low = max(int(filled[0]), int(np.searchsorted(upto, share * (1 - good) * total, side="right")) - 1)
+    high = min(int(filled[-1]), BINS - int(np.searchsorted(np.cumsum(counts[::-1]), share * good * total, side="right")))
+    return (low, high) if low < high else (int(filled[0]), int(filled[-1]))
+
+
+def pseudo_weight(p: np.ndarray, kind: int, good: float) -> np.ndarray:
+    """How far a calibrated probability goes beyond the kind's base rate, from 0 to 1."""
+    return np.clip((p - good) / (1 - good) if kind else (good - p) / good, 0.0, 1.0)
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0), np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(float)
+
+
+def _logit_bins(views: list[View]):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                for v, name in enumerate(("words", "meta")):
+                    found[v] += np.bincount(_bin(views[v].logit(_matrix(batch.column(name), batch.num_rows))), minlength=BINS)
+        view, bins = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(bins.astype(np.int32)), pa.array(found[view, bins])], names=["view", "bin", "n"])
+
+    return count
 
 
-def _candidates(views: list[View], given_ids: list[np.ndarray]):
-    """A partition's surest rows of the pool, by view that gives and kind."""
+def _lessons(views: list[View], limits: list[tuple[int, int]], good: float, widths: tuple[int, int]):
+    """What each view teaches the other with the rows of a partition, as sums."""
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, float], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [Sums(w) for w in widths]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("l_id").to_numpy()
             x = [_matrix(batch.column(c), batch.num_rows) for c in ("words", "meta")]
             for v in (0, 1):
-                p = np.round(_sigmoid(views[v].logit(x[v].astype(float))), 9)
-                free = ~np.isin(ids, given_ids[1 - v])
-                for kind, sure in ((1.0, p), (0.0, 1 - p)):
-                    at = np.flatnonzero((sure >= SURE) & free)
-                    parts = [(ids[at], sure[at], x[1 - v][at]), *([best[v, kind]] if (v, kind) in best else [])]
-                    merged = [np.concatenate(c) for c in zip(*parts)]
-                    kept = _surest(merged[0], merged[1])
-                    best[v, kind] = tuple(c[kept] for c in merged)
-        yield from _as_batches(best)
-
-    return candidates
-
-
-def _as_batches(best: dict[tuple[int, float], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    for (v, kind), (ids, sure, rows) in best.items():
-        columns = [pa.array(np.full(len(ids), v, np.int32)), pa.array(np.full(len(ids), kind)), pa.array(ids), pa.array(sure), pa.array(list(rows), pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["view", "kind", "l_id", "sure", "row"])
-
-
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The surest rows of several partitions' surest rows."""
-    best: dict[tuple[int, float], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        view, kinds, ids, sure = (batch.column(c).to_numpy() for c in ("view", "kind", "l_id", "sure"))
-        for v, kind in {*zip(view.tolist(), kinds.tolist())}:
-            at = np.flatnonzero((view == v) & (kinds == kind))
-            rows = _matrix(batch.column("row").take(pa.array(at)), len(at))
-            parts = [(ids[at], sure[at], rows), *([best[v, kind]] if (v, kind) in best else [])]
-            merged = [np.concatenate(c) for c in zip(*parts)]
-            kept = _surest(merged[0], merged[1])
-            best[v, kind] = tuple(c[kept] for c in merged)
-    yield from _as_batches(best)
-
-
-def picks(pool: DataFrame) -> Picks:
-    """Picks the surest of all rows of ``pool`` (l_id and both views), on Spark."""
-
-    def pick(views: list[View], given_ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        # at most GIVEN rows of each view and kind leave a partition, and each of the few that merge them
-        found = pool.mapInArrow(_candidates(views, given_ids), GIVES).repartition(4, "l_id").mapInArrow(_merged, GIVES).toArrow()
-        best = {(r["view"][0].as_py(), r["kind"][0].as_py()): r for r in _merged(iter(found.to_batches())) if r.num_rows}
-        out = []
-        for v in (0, 1):
-            sides = [best[v, kind] for kind in (1.0, 0.0) if (v, kind) in best]
-            columns = [[r.column(c).to_numpy() for r in sides] for c in ("l_id", "kind")]
-            rows = [_matrix(r.column("row"), r.num_rows).astype(float) for r in sides]
-            out.append(tuple(np.concatenate(c) if c else np.array([], t) for c, t in zip([*columns, rows], (np.int64, float, float))))
-        return out
+                logit = views[v].logit(x[v])
+                place, p = _bin(logit), _sigmoid(logit)
+                for kind, at in ((0, place <= limits[v][0]), (1, place >= limits[v][1])):
+                    sums[1 - v].add(kind, x[1 - v][at], pseudo_weight(p[at], kind, good))
+        yield _sum_rows(sums)
+
+    return gather
+
+
+def _sum_rows(sums: list[Sums]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([s.flat() for s in sums], pa.list_(pa.float64()))], names=["view", "sums"])
+
+
+def _merged(widths: tuple[int, int]):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [Sums(w) for w in widths]
+        for batch in batches:
+            for v, flat in zip(batch.column("view").to_pylist(), batch.column("sums")):
+                sums[v] = sums[v] + Sums.of(flat.values.to_numpy(), widths[v])
+        yield _sum_rows(sums)
 
-    return pick
+    return merge
 
 
-def fitted(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS) -> Model | None:
-    """A model from a bounded sample of labelled ``docs`` and all the others."""
+def teacher(pool: DataFrame, good: float, widths: tuple[int, int]) -> Teach:
+    """Labels all rows of ``pool`` (both views) that a view is surest of, on Spark."""
+
+    def teach(views: list[View], turn: int) -> list[Sums]:
+        counts = np.zeros((2, BINS), np.int64)
+        # at most BINS rows for each view
+        for r in pool.mapInArrow(_logit_bins(views), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+            counts[r["view"], r["bin"]] = r["n"]
+        limits = [cuts(c, good, SHARE * (turn + 1)) for c in counts]
+        # two rows leave a partition; a few tasks add them up before the driver does
+        found = pool.mapInArrow(_lessons(views, limits, good, widths), "view int, sums array<double>").repartition(8).mapInArrow(_merged(widths), "view int, sums array<double>")
+        sums = [Sums(w) for w in widths]
+        for r in found.collect():
+            sums[r["view"]] = sums[r["view"]] + Sums.of(np.array(r["sums"]), widths[r["view"]])
+        return sums
+
+    return teach
+
+
+SEEN = ("text", "lang", "source", "n_chars", "url")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id and what the views read; columns that are missing are null."""
+    kinds = {"n_chars": "double"}
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in SEEN])
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and both views of every row of ``docs``."""
+
+    def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = [pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in _features(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *views], names=["doc_id", "words", "meta"])
+
+    return _rows(docs).mapInArrow(see, "doc_id long, words array<float>, meta array<float>")
+
+
+def fitted(features: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> Model | None:
+    """A model from a bounded sample of the labelled rows of ``features`` and all other rows."""
     told = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality")).where("l_id is not null and quality in (0, 1)").groupBy("l_id").agg(F.min("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("l_id")).where("l_id is not null").distinct()
+    ids = features.select(F.col("doc_id").alias("l_id")).where("l_id is not null").distinct()
+    known = durable(told.join(ids, "l_id", "left_semi"))
     # at most labelled_rows ids
-    wanted = told.join(ids, "l_id", "left_semi").orderBy(F.xxhash64("l_id"), F.col("l_id")).limit(labelled_rows)
-    rows = _rows(docs).join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("l_id", "quality", "text", "lang", "source", "n_chars")
-    schema = "l_id long, quality int, words array<float>, meta array<float>"
-    found = rows.mapInArrow(_sampled, schema).dropDuplicates(["l_id"]).toPandas().sort_values("l_id")
+    wanted = hash_sample(known, "l_id", labelled_rows)
+    rows = features.join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("l_id", "quality", "words", "meta")
+    found = rows.groupBy("l_id").agg(*[F.any_value(c).alias(c) for c in ("quality", "words", "meta")]).toPandas().sort_values("l_id")
     y = found["quality"].to_numpy(float)
     held = np.array([xxhash.xxh32_intdigest(str(i)) % 4 == 0 for i in found["l_id"]], bool)
     if not all(len(set(part)) == 2 for part in (y[held], y[~held])):
         return None
     views = [np.array(found[c].to_list(), float) for c in ("words", "meta")]
-    others = _rows(docs).where("doc_id is not null").select(F.col("doc_id").alias("l_id"), F.lit(None).cast("int").alias("quality"), "text", "lang", "source", "n_chars")
-    pool = durable(others.mapInArrow(_outside(found["l_id"].to_numpy()), schema).drop("quality"))
-    return co_trained((views[0], views[1]), y, held, picks(pool))
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        views = [pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in _features(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("quality"), *views], names=["l_id", "quality", "words", "meta"])
+    pool = features.where("doc_id is not null").mapInArrow(_outside(found["l_id"].to_numpy()), features.schema)
+    return co_trained((views[0], views[1]), y, held, teacher(pool, float(y.mean()), (views[0].shape[1], views[1].shape[1])), rounds)
 
 
 def _outside(sample: np.ndarray):
-    """Both views of the rows whose id is not in ``sample``."""
+    """The rows whose id is not in ``sample``."""
 
     def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rest = batch.filter(pa.array(~np.isin(batch.column("l_id").to_numpy(), sample)))
-            if rest.num_rows:
-                yield from _sampled(iter([rest]))
+            yield batch.filter(pa.array(~np.isin(batch.column("doc_id").to_numpy(), sample)))
 
     return outside
 
 
-def _judge(model: Model | None, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if model is None or not batch.num_rows:
-        return (np.full(batch.num_rows, 0.5),) * 3
-    return model.score(*_features(batch))
+def _scores(model: Model | None, rows: int, views: Callable[[], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (np.full(rows, 0.5),) * 3 if model is None or not rows else model.score(*views())
+
 
+def scored(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
+    """doc_id, the scores of both views, score and keep of every row of ``docs``."""
+    features = durable(featured(docs))
+    model = fitted(features, labels, **params)
 
-def _scorer(model: Model | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, _judge(model, batch))], names=["doc_id", "text_score", "metadata_score", "score"])
-
-    return score
+            found = _scores(model, batch.num_rows, lambda b=batch: tuple(_matrix(b.column(c), b.num_rows) for c in ("words", "meta")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=["doc_id", "text_score", "metadata_score", "score"])
 
-
-def scored(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """doc_id, the scores of both views, score and keep of every row of ``docs``."""
-    model = fitted(docs, labels, **params)
-    out = _rows(docs).mapInArrow(_scorer(model), "doc_id long, text_score double, metadata_score double, score double")
+    out = features.mapInArrow(score, "doc_id long, text_score double, metadata_score double, score double")
     return out.withColumn("keep", F.col("score") >= KEEP_FROM)
 
 
 def kept(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    model = fitted(docs, labels, **params)
+    model = fitted(durable(featured(docs)), labels, **params)
+    seen = _rows(docs).columns[1:]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_judge(model, batch)[2] >= KEEP_FROM))
+            views = pa.RecordBatch.from_struct_array(batch.column("_seen"))
+            marks = pa.array(_scores(model, batch.num_rows, lambda v=views: tuple(m.astype(np.float32).astype(float) for m in _features(v)))[2] >= KEEP_FROM)
+            yield pa.RecordBatch.from_struct_array(batch.column("_row").filter(marks))
+
+    rows = docs.select(F.struct("*").alias("_row"), F.struct(*[_seen(docs, c) for c in seen]).alias("_seen"))
+    return rows.mapInArrow(keep, docs.schema)
+
 
-    return docs.mapInArrow(keep, docs.schema)
+def _seen(docs: DataFrame, name: str):
+    return (F.col(name) if name in docs.columns else F.lit(None)).cast("double" if name == "n_chars" else "string").alias(name)
