@@ -1,29 +1,35 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, reported speech) and
-clauses strings of symbols. Small transducers, composed one after the other,
-read a clause and write what it holds: an insult or threat, bare or aimed at
-someone, and then whether it is negated or only reported. A document's score
-adds up the weights of its clauses, not of words.
+Words become symbols (insult, harm, intent, target, negation, report, and the
+words of phrases) and a text a string of symbols in which clause ends are
+symbols too. Four small transducers (phrases of insult and threat; negation;
+reported speech; targets) are composed once into one machine, whose arcs carry
+the weights of what they write: an insult or threat, bare or aimed at someone,
+negated or only reported. A text's score adds up the weights along its path, so
+clauses count and not words: a clause writes each kind once.
 
 The lexicon of insults is a stated list and terms learned from labels: words
 and word beginnings that cover the toxic training documents and next to no
-other, found greedily, most coverage first. The weights start from stated ones
-and are fitted to labels. Only labels of rows outside the held-out fifth (by
-crc32 of the id) are read, of at most TOXIC_ROWS toxic and CLEAN_ROWS other
-documents, those of the least id hashes.
+other, found greedily, most coverage first, until nothing more is covered. The
+weights start from stated ones and are fitted to labels, in order: aimed counts
+at least as much as bare, bare as reported, reported as negated, and nothing
+less than none. Only labels of rows outside the held-out fifth (by crc32 of the
+id) are read, of at most TOXIC_ROWS toxic and CLEAN_ROWS other documents, those
+of the least id hashes; of a repeated id one text, the least, is read.
 
 Defined cases: null and empty texts hold no clause and get the constant's
 score; null ids count as an empty text for the fold; labels that are null or
 name no document are ignored, of labels that disagree the higher one holds;
-repeated rows are scored each; other columns are ignored.
+repeated rows are scored each; other columns are ignored; an empty table gives
+no rows, and without labels the stated weights hold.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,17 +37,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.sampling import hash_sample
+from sluice.plans.lineage import durable
+
 TOXIC_ROWS = 4_000
 CLEAN_ROWS = 8_000
 FOLDS = 5
-#: Learned terms: most of them, least support, and least share of toxic among their documents.
-TERMS = 400
+#: Learned terms: least support, and least share of toxic among their documents.
 SUPPORT = 2
 PRECISION = 0.97
 #: Learned terms that a toxic training document has before it counts as covered.
 COVER = 4
 PREFIXES = (4, 5, 6, 7)
-CANDIDATES = 4_000
 #: Words whose symbols a Python worker keeps.
 WORDS_KEPT = 200_000
 
@@ -50,65 +57,164 @@ INSULTS = frozenset(
     "garbage gilipollas hideous idiot idiota idiote idioten imbecile imbécile jerk loser losers moron morons pathetic pendejo pig pigs repulsive "
     "rubbish salaud scum scumbag stupid trash ugly useless vermin wichser worthless wretched".split()
 )
-THREATS = frozenset("annihilate beat burn crush destroy hang harm hunt hurt kill murder punish shoot slaughter slit smash stab strangle töten tuer matar umbringen".split())
-TARGETS = frozenset("you your yours yourself he she they them him her these those everyone people du dich dir ihr euch tu te toi vous tú usted ustedes ellos".split())
-NEGATIONS = frozenset("not no never nobody none isn't aren't wasn't don't doesn't didn't nicht kein keine nie pas jamais no nunca ni".split())
-REPORTS = frozenset("said says say called calls quoted wrote writes claimed claims reported alleged according sagte dit dijo".split())
+#: Other symbols and their words, the first that has a word decides.
+SYMBOLS = {
+    "harm": "annihilate beat burn crush destroy erschlagen hang harm hunt hurt kill matar murder punish shoot slaughter slit smash stab strangle töten tuer umbringen verletzen".split(),
+    "die": "die dies sterben mourir morir".split(),
+    "intent": "will gonna going shall i'll we'll werde werden vais va voy vamos".split(),
+    "wish": "hope wish deserve deserves should hoffe espère espero".split(),
+    "target": "you your yours yourself he she they him her these those everyone people du dich dir ihr euch tu te toi vous tú usted ustedes ellos".split(),
+    "negation": "not no never nobody none isn't aren't wasn't don't doesn't didn't won't nicht kein keine nie pas jamais nunca ni".split(),
+    "report": "said says say called calls quoted wrote writes claimed claims reported alleged according sagte dit dijo".split(),
+    "piece": "piece waste".split(), "of": ["of"], "space": "space air shit crap".split(), "shut": ["shut"], "up": ["up"],
+}
 #: What a clause can hold, and the weights before fitting.
-PRIOR = {"insult": 2.5, "insult_aimed": 3.5, "insult_negated": 1.0, "insult_reported": 1.5, "threat": 0.5, "threat_aimed": 3.0, "threat_negated": 0.0, "threat_reported": 0.3}
+PRIOR = {"insult": 2.5, "insult_aimed": 3.5, "insult_negated": 1.0, "insult_reported": 1.5, "threat": 1.0, "threat_aimed": 3.5, "threat_negated": 0.0, "threat_reported": 0.5}
 HOLDS = tuple(PRIOR)
+#: From least to most.
+ORDER = ("negated", "reported", "", "aimed")
 PRIOR_CONSTANT = -3.0
-#: Clauses of a kind beyond these add nothing.
-MOST = 3
 RIDGE = 0.3
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-CLAUSE_END = re.compile(r"[.!?;:\n|]+")
+#: A word, or a clause's end.
+TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[.!?;:\n|]+")
+END = "end"
+OTHER = "other"
+ALPHABET = ("insult", *SYMBOLS, OTHER, END)
+
+State = tuple | str
+Arcs = dict[tuple[State, str], tuple[State, tuple[str, ...]]]
 
 
 class Transducer:
-    """A finite-state machine: (state, symbol) to (state, symbol written)."""
+    """A finite-state machine: (state, symbol) to (state, symbols written).
+
+    Without an arc for a symbol the machine stays in its state and writes the
+    symbol; ``forget`` names states that it leaves then.
+    """
 
-    def __init__(self, arcs: dict[tuple[str, str], tuple[str, str]]):
-        self.arcs = arcs
+    def __init__(self, arcs: Arcs, forget: Iterable[State] = (), start: State = "start"):
+        self.arcs, self.forget, self.start = arcs, frozenset(forget), start
 
-    def __call__(self, symbols: list[str]) -> list[str]:
-        state, out = "start", []
+    def step(self, state: State, symbol: str) -> tuple[State, tuple[str, ...]]:
+        return self.arcs.get((state, symbol)) or ((self.start if state in self.forget else state), (symbol,))
+
+    def __call__(self, symbols: Iterable[str]) -> list[str]:
+        state, out = self.start, []
         for symbol in symbols:
-            state, written = self.arcs.get((state, symbol), (state, symbol))
-            if written:
-                out.append(written)
+            state, written = self.step(state, symbol)
+            out += written
         return out
 
 
-def _aim() -> Transducer:
-    """Targets aim the insults and threats around them, and are not written."""
-    arcs = {("start", "target"): ("aimed", ""), ("aimed", "target"): ("aimed", "")}
-    for kind in ("insult", "threat"):
-        arcs[("aimed", kind)] = ("aimed", f"{kind}_aimed")
+def composed(first: Transducer, second: Transducer, alphabet: Iterable[str]) -> Transducer:
+    """One machine that does what ``second`` does with all that ``first`` writes."""
+    start = (first.start, second.start)
+    arcs, seen, due = {}, {start}, [start]
+    while due:
+        a, b = due.pop()
+        for symbol in alphabet:
+            to, written = first.step(a, symbol)
+            then, out = b, ()
+            for s in written:
+                then, more = second.step(then, s)
+                out += more
+            arcs[(a, b), symbol] = ((to, then), out)
+            if (to, then) not in seen:
+                seen.add((to, then))
+                due.append((to, then))
+    return Transducer(arcs, start=start)
+
+
+def phrases() -> Transducer:
+    """Insults and threats: harm or death that someone intends or wishes, and phrases of several words."""
+    arcs: Arcs = {}
+    for state in ("start", "intended", "wished"):
+        arcs[state, "intent"] = ("intended", ())
+        arcs[state, "wish"] = ("wished", ())
+    for state in ("intended", "wished"):
+        for verb in ("harm", "die"):
+            arcs[state, verb] = (state, ("threat",))
+    # a phrase, once begun, is one of an insult or is dropped
+    for state in ("start", "intended", "wished"):
+        arcs[state, "piece"], arcs[state, "shut"] = (("piece", state), ()), (("shut", state), ())
+        arcs[("piece", state), "of"] = (("of", state), ())
+        for word in ("space", "insult"):
+            arcs[("of", state), word] = (state, ("insult",))
+        arcs[("shut", state), "up"] = (state, ("insult",))
+    begun = [(k, s) for k in ("piece", "of", "shut") for s in ("start", "intended", "wished")]
+    for state in begun:
+        for symbol in ALPHABET:
+            if (state, symbol) not in arcs:
+                arcs[state, symbol] = arcs.get((state[1], symbol)) or (state[1], (symbol,))
+    for state in ("start", "intended", "wished", *begun):
+        arcs[state, END] = ("start", (END,))
     return Transducer(arcs)
 
 
-def _change(marker: str, made: str) -> Transducer:
+def changed(marker: str, made: str) -> Transducer:
     """From the marker to the clause's end insults and threats become ``made``."""
-    arcs = {("start", marker): (made, ""), (made, marker): (made, "")}
+    arcs: Arcs = {("start", marker): (made, ()), (made, marker): (made, ()), (made, END): ("start", (END,))}
     for kind in ("insult", "threat"):
-        for suffix in ("", "_aimed"):
-            arcs[(made, kind + suffix)] = (made, f"{kind}_{made}")
+        for before in (kind, f"{kind}_negated"):
+            arcs[made, before] = (made, (f"{kind}_{made}",))
+    return Transducer(arcs)
+
+
+def aimed() -> Transducer:
+    """Targets aim the bare insults and threats of their clause, before or after; each kind is written once a clause.
+
+    A state is what the clause has: a target, and kinds written or waiting.
+    """
+    kinds = ("insult", "threat")
+    said = tuple(h for h in HOLDS if h.endswith(("_negated", "_reported")))
+    arcs: Arcs = {}
+    states, due = {"start"}, ["start"]
+    while due:
+        state = due.pop()
+        has = frozenset() if state == "start" else frozenset(state)
+        for symbol in ("target", *kinds, *said, END):
+            to, out = has, ()
+            if symbol == END:
+                to, out = frozenset(), (*(k for k in kinds if k in has and "target" not in has), END)
+            elif symbol == "target":
+                to, out = has | {"target"}, tuple(f"{k}_aimed" for k in kinds if k in has and "target" not in has)
+            elif symbol in kinds:
+                to, out = has | {symbol}, (f"{symbol}_aimed",) if "target" in has and symbol not in has else ()
+            else:
+                to, out = has | {symbol}, () if symbol in has else (symbol,)
+            name: State = tuple(sorted(to)) or "start"
+            arcs[state, symbol] = (name, out)
+            if name not in states:
+                states.add(name)
+                due.append(name)
     return Transducer(arcs)
 
 
-AIM, NEGATE, REPORT = _aim(), _change("negation", "negated"), _change("report", "reported")
+PARTS = (phrases(), changed("negation", "negated"), changed("report", "reported"), aimed())
+#: All parts as one machine.
+GRAMMAR = composed(composed(composed(PARTS[0], PARTS[1], ALPHABET), PARTS[2], ALPHABET), PARTS[3], ALPHABET)
 
 
-def held(symbols: list[str]) -> list[str]:
-    """What a clause holds: its symbols through the composed transducers.
+class Weighted:
+    """A machine by numbers: each arc has its weight and what it writes."""
 
-    Aiming is read both ways, as a target may follow the insult.
-    """
-    aimed = AIM(symbols)
-    if "target" in symbols and not any(s.endswith("_aimed") for s in aimed):
-        aimed = AIM(symbols[::-1])[::-1]
-    return [s for s in REPORT(NEGATE(aimed)) if s in PRIOR]
+    def __init__(self, machine: Transducer, weights: dict[str, float]):
+        states = {s: i for i, s in enumerate(dict.fromkeys([machine.start, *(s for s, _ in machine.arcs)]))}
+        self.arcs: list[dict[str, tuple[int, float, tuple[int, ...]]]] = [{} for _ in states]
+        for (state, symbol), (to, out) in machine.arcs.items():
+            held = [h for h in out if h in PRIOR]
+            self.arcs[states[state]][symbol] = (states[to], sum(weights.get(h, 0.0) for h in held), tuple(HOLDS.index(h) for h in held))
+
+    def read(self, symbols: Iterable[str]) -> tuple[float, np.ndarray]:
+        """The path's weight, and how many clauses hold each kind."""
+        state, total, held = 0, 0.0, np.zeros(len(HOLDS))
+        for symbol in symbols:
+            state, weight, out = self.arcs[state][symbol]
+            total += weight
+            for h in out:
+                held[h] += 1
+        return total, held
 
 
 @dataclass
@@ -121,23 +227,10 @@ class Lexicon:
     def symbol(self, word: str) -> str:
         if word in self.words or any(word[:k] in self.beginnings for k in PREFIXES if len(word) >= k):
             return "insult"
-        for kind, words in (("threat", THREATS), ("negation", NEGATIONS), ("report", REPORTS), ("target", TARGETS)):
-            if word in words:
-                return kind
-        return ""
+        return KNOWN.get(word, OTHER if WORD.match(word) else END)
 
 
-def counted(text: str, lexicon: Lexicon, known: dict[str, str]) -> np.ndarray:
-    """How many clauses of a text hold each kind, at most MOST."""
-    out, low = Counter(), text.lower()
-    symbols = {w: known[w] for w in set(WORD.findall(low))}
-    if {"insult", "threat"}.isdisjoint(symbols.values()):
-        return np.zeros(len(HOLDS))
-    for clause in CLAUSE_END.split(low):
-        found = [s for w in WORD.findall(clause) if (s := symbols.get(w) or known[w])]
-        if "insult" in found or "threat" in found:
-            out.update(set(held(found)))
-    return np.array([min(out[h], MOST) for h in HOLDS], float)
+KNOWN = {w: symbol for symbol, words in reversed(SYMBOLS.items()) for w in words}
 
 
 class _Symbols(dict):
@@ -152,6 +245,14 @@ class _Symbols(dict):
         return value
 
 
+def read(text: str, machine: Weighted, known: dict[str, str]) -> tuple[float, np.ndarray]:
+    """The weight of a text's path and the kinds that its clauses hold."""
+    symbols = [known[w] for w in TOKEN.findall(text.lower().replace("’", "'"))]
+    if {"insult", "harm", "die", "piece", "shut"}.isdisjoint(symbols):
+        return 0.0, np.zeros(len(HOLDS))
+    return machine.read([*symbols, END])
+
+
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
     """crc32 of the id as text, modulo the folds; 0 is held out."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -163,10 +264,8 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             (toxic if mark else other).update(terms(text or ""))
-    names = list(toxic)
-    yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "toxic": pa.array([toxic[t] for t in names], pa.int64()), "other": pa.array([other[t] for t in names], pa.int64())})
-    names = [t for t in other if t not in toxic]
-    yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "toxic": pa.array([0] * len(names), pa.int64()), "other": pa.array([other[t] for t in names], pa.int64())})
+    for names in (list(toxic), [t for t in other if t not in toxic]):
+        yield pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "toxic": pa.array([toxic[t] for t in names], pa.int64()), "other": pa.array([other[t] for t in names], pa.int64())})
 
 
 def terms(text: str) -> set[str]:
@@ -175,11 +274,42 @@ def terms(text: str) -> set[str]:
     return {w for w in words if len(w) > 2} | {w[:k] + "*" for w in words for k in PREFIXES if len(w) >= k}
 
 
+def covering(hits: list[list[int]], names: list[str], cover: int = COVER, support: int = SUPPORT) -> list[str]:
+    """Terms that cover the documents (lists of their terms), greedily.
+
+    Each time the term in most documents that still lack terms is taken; of
+    equal ones the longer, as it reaches fewer other words, then the first.
+    """
+    of_term, need, gain = defaultdict(list), [cover] * len(hits), Counter()
+    for d, found in enumerate(hits):
+        for t in found:
+            of_term[t].append(d)
+            gain[t] += 1
+    heap = [(-n, -len(names[t]), t) for t, n in gain.items()]
+    heapq.heapify(heap)
+    taken = []
+    while heap:
+        n, length, t = heapq.heappop(heap)
+        if gain[t] < support:
+            continue
+        if -n != gain[t]:
+            heapq.heappush(heap, (-gain[t], length, t))
+            continue
+        taken.append(names[t])
+        for d in of_term[t]:
+            if need[d]:
+                need[d] -= 1
+                if not need[d]:
+                    gain.subtract(hits[d])
+        gain[t] = 0
+    return taken
+
+
 def _learned(rows: DataFrame) -> Lexicon:
     """Terms that cover the toxic rows, the most coverage first."""
     counts = rows.mapInArrow(_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    good = counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("other"))))
-    names = [r["term"] for r in good.orderBy(F.desc(F.col("toxic") - 2 * F.col("other")), "term").limit(CANDIDATES).select("term").collect()]
+    # terms of at most TOXIC_ROWS texts
+    names = sorted(r["term"] for r in counts.where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("other")))).select("term").collect())
     place = {t: i for i, t in enumerate(names)}
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,18 +319,8 @@ def _learned(rows: DataFrame) -> Lexicon:
 
     # at most TOXIC_ROWS rows of small arrays
     hits = [list(r["hits"]) for r in rows.where("toxic = 1").select("text").mapInArrow(incidence, "hits array<int>").collect()]
-    taken: list[str] = []
-    left = [(set(h), COVER) for h in hits if h]
-    while left and len(taken) < TERMS:
-        gain = Counter(t for h, _ in left for t in h)
-        # of equal coverage the longer beginning: it reaches fewer other words
-        top = max(gain, key=lambda t: (gain[t], len(names[t]), -t))
-        if gain[top] < SUPPORT:
-            break
-        taken.append(names[top])
-        left = [(h - {top}, need - (top in h)) for h, need in left if need > (top in h) and len(h) > (top in h)]
-    beginnings = frozenset(t[:-1] for t in taken if t.endswith("*"))
-    return Lexicon(INSULTS | {t for t in taken if not t.endswith("*")}, beginnings)
+    taken = covering(hits, names)
+    return Lexicon(INSULTS | {t for t in taken if not t.endswith("*")}, frozenset(t[:-1] for t in taken if t.endswith("*")))
 
 
 @dataclass
@@ -211,28 +331,60 @@ class Model:
     weights: np.ndarray
 
 
-def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights, drawn to the stated ones, by Newton steps."""
-    prior = np.array([*PRIOR.values(), PRIOR_CONSTANT])
-    weights, wide = prior.copy(), np.hstack([x, np.ones((len(x), 1))])
+def _newton(x: np.ndarray, y: np.ndarray, weights: np.ndarray, prior: np.ndarray) -> np.ndarray:
     for _ in range(25 if len(x) else 0):
-        p = 1 / (1 + np.exp(-np.clip(wide @ weights, -30, 30)))
-        step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + RIDGE * np.eye(len(prior)), wide.T @ (y - p) - RIDGE * (weights - prior))
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(prior)), x.T @ (y - p) - RIDGE * (weights - prior))
         weights = weights + step
         if np.abs(step).max() < 1e-6:
             break
-    # kinds that no training row holds keep their stated ratio to bare insults
-    unseen = ~(x > 0).any(axis=0) if len(x) else np.zeros(len(HOLDS), bool)
-    weights[:-1][unseen] = prior[:-1][unseen] * max(1.0, weights[0] / prior[0])
     return weights
 
 
-def _counter(lexicon: Lexicon, keep: tuple[str, ...]):
+def in_order(values: list[float], mass: list[float]) -> list[float]:
+    """The nearest values (by mass) that do not fall and are not below 0: pooled neighbours."""
+    pools: list[list[float]] = []
+    for v, m in zip(values, mass):
+        pools.append([v, m, 1])
+        while len(pools) > 1 and pools[-2][0] > pools[-1][0]:
+            (a, m1, n1), (b, m2, n2) = pools[-2:]
+            pools[-2:] = [[(a * m1 + b * m2) / (m1 + m2), m1 + m2, n1 + n2]]
+    return [max(v, 0.0) for v, _, n in pools for _ in range(int(n))]
+
+
+def _constant(total: np.ndarray, y: np.ndarray, constant: float) -> float:
+    """The constant that goes with given sums of weights."""
+    for _ in range(25 if len(y) else 0):
+        p = 1 / (1 + np.exp(-np.clip(total + constant, -30, 30)))
+        constant += float(np.clip(((y - p).sum() - RIDGE * (constant - PRIOR_CONSTANT)) / ((p * (1 - p)).sum() + RIDGE), -2, 2))
+    return constant
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights, drawn to the stated ones and put in order, and the constant that goes with them.
+
+    Kinds that no training row holds keep their stated odds.
+    """
+    prior = np.array([*PRIOR.values(), PRIOR_CONSTANT])
+    weights = _newton(np.hstack([x, np.ones((len(x), 1))]), y, prior, prior)
+    seen = (x > 0).sum(axis=0)
+    for _ in range(2):
+        unseen = np.flatnonzero(seen == 0)
+        weights[unseen] = np.maximum(prior[unseen] + PRIOR_CONSTANT - weights[-1], 0.0)
+        for kind in ("insult", "threat"):
+            places = [HOLDS.index(f"{kind}_{o}" if o else kind) for o in ORDER]
+            weights[places] = in_order(weights[places].tolist(), [float(seen[p]) + 0.1 for p in places])
+        weights[-1] = _constant(x @ weights[:-1], y, weights[-1])
+    return weights
+
+
+def _reader(model: Model, keep: tuple[str, ...]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Symbols(lexicon)
+        known, machine = _Symbols(model.lexicon), Weighted(GRAMMAR, dict(zip(HOLDS, model.weights.tolist())))
         for batch in batches:
-            found = [counted(t or "", lexicon, known).tolist() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "holds"])
+            found = [read(t or "", machine, known) for t in batch.column("text").to_pylist()]
+            totals, holds = pa.array([f[0] for f in found], pa.float64()), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), totals, holds], names=[*keep, "total", "holds"])
 
     return count
 
@@ -240,23 +392,21 @@ def _counter(lexicon: Lexicon, keep: tuple[str, ...]):
 def fitted(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Model:
     """Lexicon and weights from labels outside the held-out fold."""
     told = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("l_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold(F.col("l_id")) != 0))
-    told = told.groupBy("l_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("l_id"), F.col("l_id")]
-    wanted = told.where("toxic = 1").orderBy(*order).limit(toxic_rows).unionByName(told.where("toxic = 0").orderBy(*order).limit(clean_rows))
+    told = durable(told.groupBy("l_id").agg(F.max("toxic").alias("toxic")))
+    wanted = hash_sample(told.where("toxic = 1"), "l_id", toxic_rows).unionByName(hash_sample(told.where("toxic = 0"), "l_id", clean_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("l_id"), F.col("text").cast("string").alias("text"))
-    # at most toxic_rows + clean_rows ids
-    rows = texts.join(F.broadcast(wanted), "l_id").dropDuplicates(["text", "toxic"])
-    lexicon = _learned(rows)
-    found = rows.select("text", "toxic").mapInArrow(_counter(lexicon, ("toxic",)), "toxic int, holds array<double>").toPandas()
-    return Model(lexicon, _weights(np.array(found["holds"].to_list(), float).reshape(-1, len(HOLDS)), found["toxic"].to_numpy(float)))
+    # at most toxic_rows + clean_rows ids, and one text of each
+    rows = texts.join(F.broadcast(wanted), "l_id").groupBy("l_id", "toxic").agg(F.min("text").alias("text"))
+    rows = durable(rows.dropDuplicates(["text", "toxic"]))
+    prior = Model(_learned(rows), np.array([*PRIOR.values(), PRIOR_CONSTANT]))
+    found = rows.select("text", "toxic").mapInArrow(_reader(prior, ("toxic",)), "toxic int, total double, holds array<double>").toPandas()
+    return Model(prior.lexicon, fit_weights(np.array(found["holds"].to_list(), float).reshape(-1, len(HOLDS)), found["toxic"].to_numpy(float)))
 
 
 def scored(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """doc_id, held_out, score, predicted and holds of every row of ``docs``."""
+    """doc_id, held_out, score, predicted and holds (clauses by kind, as in HOLDS) of every row of ``docs``."""
     model = fitted(docs, labels, **params)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(_counter(model.lexicon, ("doc_id", "held_out")), "doc_id long, held_out boolean, holds array<double>")
-    weights = [float(w) for w in model.weights]
-    total = sum((F.element_at("holds", i + 1) * w for i, w in enumerate(weights[:-1])), F.lit(weights[-1]))
-    out = found.withColumn("score", 1 / (1 + F.exp(-total)))
+    found = rows.mapInArrow(_reader(model, ("doc_id", "held_out")), "doc_id long, held_out boolean, total double, holds array<double>")
+    out = found.withColumn("score", 1 / (1 + F.exp(-(F.col("total") + float(model.weights[-1])))))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "holds")
