@@ -39,8 +39,6 @@ ROWS = 5
 #: Texts of a bucket that a task compares with each other or with as many more.
 BLOCK = 256
 SEED = 20_261
-#: Bytes of a shingle's hash that verification goes by.
-SHINGLE_BYTES = 6
 #: Words whose hashes a Python worker keeps.
 WORDS_KEPT = 200_000
 
@@ -75,7 +73,7 @@ def shingles(text: str, hashes: dict[str, int], words: int = WORDS) -> np.ndarra
     runs = np.zeros(len(codes) - span + 1, np.uint64)
     for k in range(span):
         runs = runs * np.uint64(0x100000001B3) + codes[k : k + len(runs)]
-    return np.unique(_mixed(runs + np.uint64(span)) >> np.uint64(8 * (8 - SHINGLE_BYTES)))
+    return np.unique(_mixed(runs + np.uint64(span)))
 
 
 def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +167,7 @@ def _linked(bucket: int, left: int, right: int, rows: list[tuple], threshold: fl
     block = np.array([r[0] for r in rows])
     copies = np.array([r[2] for r in rows])
     bands = np.frombuffer(b"".join(r[3] for r in rows), ">i8").reshape(n, -1).astype(np.int64)
-    sets = [np.frombuffer(r[4], np.uint8).reshape(-1, SHINGLE_BYTES) for r in rows]
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
     sizes = np.array([len(s) for s in sets])
     # a pair belongs to the first kept bucket that it shares, so it counts once
     mine = np.triu(np.ones((n, n), bool), 1) if left == right else (block[:, None] == left) & (block[None, :] == right)
@@ -201,9 +199,7 @@ def _linked(bucket: int, left: int, right: int, rows: list[tuple], threshold: fl
 def _intersections(sets: list[np.ndarray], mine: np.ndarray) -> np.ndarray:
     """Sizes of the pairwise intersections, where they are asked for."""
     n = len(sets)
-    wide = np.zeros((sum(map(len, sets)), 8), np.uint8)
-    wide[:, :SHINGLE_BYTES] = np.concatenate(sets)
-    codes, owners = wide.view(np.uint64).ravel(), np.repeat(np.arange(n), [len(s) for s in sets])
+    codes, owners = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
     _, codes, counts = np.unique(codes, return_inverse=True, return_counts=True)
     often = counts > 1
     renumbered = np.cumsum(often) - 1
@@ -225,7 +221,7 @@ def _shingler(words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
-            sets = [shingles(t.as_py() or "", hashes, words).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes() for t in batch.column("text")]
+            sets = [shingles(t.as_py() or "", hashes, words).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
     return cut
@@ -235,11 +231,12 @@ def links(docs: DataFrame, texts: DataFrame, words: int = WORDS, bands: int = 24
     """key, links and lead of every text and block with links."""
     found = durable(buckets(texts))
     asked = texts.join(found.select("key").distinct(), "key", "left_semi").select("key", "copies", "bands")
-    whole = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    # copies become one before they are moved, so a large group sends one text from each partition
+    whole = docs.select(text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).groupBy("key").agg(F.any_value("text").alias("text"))
     # a bucket that was dropped as the same as another no longer claims pairs: its place in the bands is blank
     live = found.select("key", "bucket").groupBy("key").agg(F.collect_set("bucket").alias("live"))
     asked = asked.join(live, "key").select("key", "copies", F.transform("bands", lambda b: F.when(F.array_contains("live", b), b).otherwise(F.lit(0).cast("long"))).alias("bands"))
-    sets = whole.join(asked, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(_shingler(words), "key binary, shingles binary")
+    sets = whole.join(asked, "key", "left_semi").mapInArrow(_shingler(words), "key binary, shingles binary")
     packed = F.unhex(F.array_join(F.transform("bands", lambda b: F.lpad(F.hex(b), 16, "0")), ""))
     members = asked.select("key", "copies", packed.alias("bands")).join(sets, "key")
     blocks = F.ceil(F.col("texts") / block).cast("int")
