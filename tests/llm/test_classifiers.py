@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from sluice.llm import quality, toxicity
@@ -62,27 +63,78 @@ def test_word_shapes_count_all_words():
     assert quality.text_features(" ".join(words))[-quality.SHAPES :].tolist() == pytest.approx(want)
 
 
-def test_pseudo_labels_come_from_all_other_rows(spark, corpus, monkeypatch):
+def two_views(n, rng, text_noise, meta_noise):
+    """Two views of the same hidden kind, apart from each other."""
+    kinds = (rng.random(n) < 0.6).astype(float)
+    words = rng.normal(size=(n, 6)) * text_noise
+    words[:, 0] += 2 * kinds
+    meta = rng.normal(size=(n, 5)) * meta_noise
+    meta[:, 1] += 2 * kinds
+    return words, meta, kinds
+
+
+def frame_of(spark, words, meta):
+    rows = [(i, w.tolist(), m.tolist()) for i, (w, m) in enumerate(zip(words, meta))]
+    return spark.createDataFrame(rows, "doc_id long, words array<float>, meta array<float>").repartition(4)
+
+
+def test_exchange_helps(spark):
+    """The text view is taught by few labels of little use to it; the other view's labels of the pool mend it."""
+    rng = np.random.default_rng(8)
+    words, meta, kinds = two_views(6000, rng, 1.0, 0.4)
+    x, m, y = words[:36], meta[:36], kinds[:36]
+    held = np.arange(36) % 3 == 0
+    pool = frame_of(spark, words[36:3000], meta[36:3000]).cache()
+    right = {}
+    for rounds in (0, 3):
+        model = quality.co_trained((x, m), y, held, quality.teacher(pool, float(y.mean()), (6, 5)), rounds)
+        right[rounds] = np.mean((model.text.logit(words[3000:]) - np.median(model.text.logit(words[3000:])) > 0) == (kinds[3000:] > 0.5))
+    assert right[3] > right[0] + 0.02, right
+
+
+def test_one_round_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words, meta, kinds = two_views(900, rng, 0.8, 0.8)
+    words, meta = words.astype(np.float32).astype(float), meta.astype(np.float32).astype(float)
+    views = [quality.View(rng.normal(size=6), np.array([1.0, 0.1])), quality.View(rng.normal(size=5), np.array([2.0, -0.2]))]
+    got = quality.teacher(frame_of(spark, words, meta), 0.6, (6, 5))(views, 0)
+    for v, (x, other) in enumerate(((words, meta), (meta, words))):
+        logit = np.clip((x @ views[v].direction) * views[v].calibration[0] + views[v].calibration[1], -30, 30)
+        p = 1 / (1 + np.exp(-logit))
+        place = np.floor((logit + 30) / 60 * quality.BINS)
+        many = {1: quality.SHARE * 0.6 * len(x), 0: quality.SHARE * 0.4 * len(x)}
+        for kind, order in ((1, -place), (0, place)):
+            # whole bins from the outside, as long as the kind's share is not exceeded
+            cut = [c for c in sorted(set(order)) if (order <= c).sum() <= many[kind]]
+            given = order <= cut[-1]
+            weight = np.clip((p - 0.6) / 0.4 if kind else (0.6 - p) / 0.6, 0, 1) * given
+            assert given.sum() > 10 and got[1 - v].mass[kind] == pytest.approx(weight.sum())
+            assert got[1 - v].first[kind] == pytest.approx(weight @ other) and got[1 - v].second[kind] == pytest.approx((other * weight[:, None]).T @ other)
+
+
+def test_pool_is_all_rows_outside_the_sample(spark, corpus, monkeypatch):
     docs, labels, rows = corpus
-    told, given, pools = {r["doc_id"] for r in labels.collect()}, [], []
+    pools = []
 
-    def seen(pool, picks=quality.picks):
-        pools.append({r["l_id"] for r in pool.select("l_id").collect()})
+    def seen(pool, good, widths, teacher=quality.teacher):
+        pools.append(sorted(r["doc_id"] for r in pool.select("doc_id").collect()))
+        return teacher(pool, good, widths)
 
-        def pick(views, ids, real=picks(pool)):
-            given.append(real(views, ids))
-            return given[-1]
+    monkeypatch.setattr(quality, "teacher", seen)
+    every = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i, *_ in rows], LABELS)
+    for known in (labels, every):
+        assert quality.fitted(quality.featured(docs), known, labelled_rows=300) and len(pools[-1]) == len(rows) - 300
+    assert set(pools[0]) >= {i for i, *_ in rows} - {r["doc_id"] for r in labels.collect()}
 
-        return pick
 
-    monkeypatch.setattr(quality, "picks", seen)
-    monkeypatch.setattr(quality, "GIVEN", 40)
-    every = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i, *_ in rows], LABELS)
-    for known, labelled in ((labels, told), (every, {i for i, *_ in rows})):
-        assert quality.fitted(docs.union(docs.limit(100)), known, labelled_rows=300) and len(pools[-1]) == len(rows) - 300
-        assert {i for i, *_ in rows} - labelled <= pools[-1] and len(pools[-1] & labelled) == len(labelled) - 300
-    assert all(set(ids.tolist()) <= pools[0] | pools[1] and len(set(ids.tolist())) == len(ids) for turn in given for ids, _, _ in turn)
-    assert len(given[0][0][0]) == 80 and not set(given[0][0][0].tolist()) & set(given[1][0][0].tolist())
+def test_quality_without_some_columns(spark, corpus):
+    docs, labels, _ = corpus
+    few = docs.select("doc_id", "text")
+    assert quality.scored(few, labels).count() == 1200 and quality.kept(few, labels).columns == ["doc_id", "text"]
+    assert quality.kept(docs.limit(0), labels).count() == 0
+    with_url = docs.selectExpr("*", "concat('https://', if(doc_id % 7 = 0, 'bad', 'good'), '.example/x') as url")
+    rows = quality.scored(with_url, labels).collect()
+    assert sum((r["metadata_score"] > 0.5) == (r["doc_id"] % 7 != 0) for r in rows) / len(rows) > 0.97
 
 
 def test_toxicity_on_the_held_out_fold(spark, corpus):
@@ -97,11 +149,50 @@ def test_toxicity_on_the_held_out_fold(spark, corpus):
 
 def test_clauses():
     lexicon = toxicity.Lexicon(toxicity.INSULTS, frozenset({"vruk"}))
-    found = lambda text: {h for h, n in zip(toxicity.HOLDS, toxicity.counted(text, lexicon, toxicity._Symbols(lexicon))) if n}
+    machine = toxicity.Weighted(toxicity.GRAMMAR, toxicity.PRIOR)
+    found = lambda text: {h for h, n in zip(toxicity.HOLDS, toxicity.read(text, machine, toxicity._Symbols(lexicon))[1]) if n}
     assert found("What an idiot.") == {"insult"} and found("You are an IDIOT!") == {"insult_aimed"} and found("idiot, you") == {"insult_aimed"}
     assert found("She is not an idiot.") == {"insult_negated"} and found("He said you are an idiot") == {"insult_reported"}
-    assert found("I will kill you") == {"threat_aimed"} and found("the vrukkel came") == {"insult"}
+    assert found("I will kill you") == {"threat_aimed"} and found("the vrukkel came") == {"insult"} and found("I hope you die") == {"threat_aimed"}
+    assert found("They kill time") == set() and found("I won't hurt you") == set() and found("I will never hurt you") == {"threat_negated"}
+    assert found("you piece of crap") == {"insult_aimed"} and found("shut up") == {"insult"} and found("a piece of cake, shut the door") == set()
     assert found("no. you idiot") == {"insult_aimed"} and found("calm words") == set() and found("") == set()
+    # every clause counts, each kind once
+    assert toxicity.read("idiot idiot. " * 7, machine, toxicity._Symbols(lexicon))[1].tolist() == [7.0] + [0.0] * 7
+    assert toxicity.read("You idiot. ", machine, toxicity._Symbols(lexicon))[0] == toxicity.PRIOR["insult_aimed"]
+
+
+def test_one_machine_does_what_its_parts_do():
+    rng = random.Random(5)
+    machine = toxicity.Weighted(toxicity.GRAMMAR, toxicity.PRIOR)
+    for _ in range(3000):
+        symbols = [rng.choice(toxicity.ALPHABET) for _ in range(rng.randrange(0, 14))] + [toxicity.END]
+        passes = symbols
+        for part in toxicity.PARTS:
+            passes = part(passes)
+        assert toxicity.GRAMMAR(symbols) == passes
+        held = [h for h in passes if h in toxicity.PRIOR]
+        total, counts = machine.read(symbols)
+        assert counts.tolist() == [held.count(h) for h in toxicity.HOLDS] and total == pytest.approx(sum(toxicity.PRIOR[h] for h in held))
+
+
+def test_weights_keep_their_order():
+    rng = np.random.default_rng(3)
+    x = rng.poisson(0.3, size=(500, len(toxicity.HOLDS))).astype(float)
+    x[:, 4:] = 0
+    # bare insults tell more than aimed ones in these rows, and negated ones most
+    y = (x[:, 0] + 3 * x[:, 2] > 1).astype(float)
+    w = dict(zip(toxicity.HOLDS, toxicity.fit_weights(x, y)))
+    for kind in ("insult", "threat"):
+        assert w[f"{kind}_aimed"] >= w[kind] >= w[f"{kind}_reported"] >= w[f"{kind}_negated"] >= 0
+    assert toxicity.in_order([3, 1, 2], [1, 1, 1]) == [2, 2, 2] and toxicity.in_order([-1, 0, 5], [1, 1, 1]) == [0, 0, 5]
+
+
+def test_covering_terms():
+    names = ["aa", "bbb", "c", "dd"]
+    hits = [[0, 1], [0, 1], [0, 2], [3], [3], [2]]
+    assert toxicity.covering(hits, names, cover=1, support=2) == ["aa", "dd"]
+    assert toxicity.covering([list(range(900))] * 3, [f"t{i}" for i in range(900)], cover=500) and toxicity.covering([], []) == []
 
 
 def test_toxicity_edges(spark, corpus):
