@@ -163,5 +163,7 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     excerpt = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")
     text = F.when(F.col("part") == F.col("t_size"), F.col("row.text")).otherwise(excerpt)
-    made = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    made = {"text": text}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
