@@ -91,11 +91,15 @@ def metadata_features(lang: str | None, source: str | None, n_chars: float | Non
     return np.concatenate([[float(known), size / 20, *(max(0.0, size - s) / 20 for s in LENGTH_STEPS)], *parts])
 
 
+SEEN = ("text", "lang", "source", "n_chars", "url")
+KINDS = {c: pa.float64() if c == "n_chars" else pa.string() for c in SEEN}
+
+
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Both views of a batch, a few rows' texts at a time."""
     words, meta = [], []
     for k in range(0, batch.num_rows, 256):
-        columns = [batch.column(c).slice(k, 256).to_pylist() if c in batch.schema.names else [None] * 256 for c in ("text", "lang", "source", "n_chars", "url")]
+        columns = [batch.column(c).slice(k, 256).cast(KINDS[c]).to_pylist() if c in batch.schema.names else [None] * 256 for c in SEEN]
         words += [text_features(t or "") for t in columns[0]]
         meta += [metadata_features(*m) for _, m in zip(columns[0], zip(*columns[1:]))]
     return np.array(words).reshape(batch.num_rows, -1), np.array(meta).reshape(batch.num_rows, -1)
@@ -312,9 +316,6 @@ def teacher(pool: DataFrame, good: float, widths: tuple[int, int]) -> Teach:
     return teach
 
 
-SEEN = ("text", "lang", "source", "n_chars", "url")
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id and what the views read; columns that are missing are null."""
     kinds = {"n_chars": "double"}
@@ -381,17 +382,11 @@ def scored(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def kept(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
     model = fitted(durable(featured(docs)), labels, **params)
-    seen = _rows(docs).columns[1:]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            views = pa.RecordBatch.from_struct_array(batch.column("_seen"))
-            marks = pa.array(_scores(model, batch.num_rows, lambda v=views: tuple(m.astype(np.float32).astype(float) for m in _features(v)))[2] >= KEEP_FROM)
-            yield pa.RecordBatch.from_struct_array(batch.column("_row").filter(marks))
-
-    rows = docs.select(F.struct("*").alias("_row"), F.struct(*[_seen(docs, c) for c in seen]).alias("_seen"))
-    return rows.mapInArrow(keep, docs.schema)
-
+            marks = _scores(model, batch.num_rows, lambda b=batch: tuple(m.astype(np.float32).astype(float) for m in _features(b)))[2] >= KEEP_FROM
+            yield batch.filter(pa.array(marks))
 
-def _seen(docs: DataFrame, name: str):
-    return (F.col(name) if name in docs.columns else F.lit(None)).cast("double" if name == "n_chars" else "string").alias(name)
+    # the rows' own columns are read, so that a text is moved once
+    return docs.mapInArrow(keep, docs.schema)
