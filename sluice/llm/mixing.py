@@ -37,7 +37,8 @@ ROWS_PER_BUCKET = 20_000
 
 def sized_documents(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and the shuffle key of every row."""
-    key = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.lit("")).cast("binary"))
+    # rows without id are told apart by their text, so that they do not share a key
+    key = F.md5(F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("t"), docs["text"]), F.lit("")).cast("binary"))
     return docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
         docs["source"].cast("string").alias("source"),
