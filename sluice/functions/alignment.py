@@ -23,8 +23,35 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-def edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Deletions, insertions and substitutions of the cheapest alignment.
+def lcs_tokens(x: list[str], y: list[str]) -> list[str]:
+    """The longest common subsequence itself; of equal ones that which drops tokens of ``y`` first, from the end."""
+    n, m = len(x), len(y)
+    table = np.zeros((n + 1, m + 1), np.int32)
+    codes = {t: i for i, t in enumerate(dict.fromkeys([*x, *y]))}
+    a, b = np.array([codes[t] for t in x], np.int64), np.array([codes[t] for t in y], np.int64)
+    for i in range(n):
+        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(b == a[i], table[i, :-1] + 1, 0)))
+    found = []
+    while n and m:
+        if x[n - 1] == y[m - 1]:
+            found.append(x[n - 1])
+            n, m = n - 1, m - 1
+        elif table[n - 1, m] > table[n, m - 1]:
+            n -= 1
+        else:
+            m -= 1
+    return found[::-1]
+
+
+def union_share(sentences: list[list[str]], reference: list[str]) -> float:
+    """The different tokens of the reference's common subsequences with several sentences, as a share of their sum; 0 if there are none."""
+    found = [set(lcs_tokens(reference, s)) for s in sentences]
+    total = sum(map(len, found))
+    return len(set().union(*found)) / total if total else 0.0
+
+
+def alignment(reference: list[str], hypothesis: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """The cheapest alignment: (match, substitution, deletion or insertion; reference token; hypothesis token).
 
     Of alignments that cost the same a match or substitution is preferred,
     then an insertion.
@@ -37,17 +64,24 @@ def edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
     for i in range(1, n + 1):
         best = np.concatenate([[cost[i, 0]], np.minimum(cost[i - 1, 1:] + DELETION, cost[i - 1, :-1] + np.where(same[i - 1], 0, SUBSTITUTION))])
         cost[i] = np.minimum.accumulate(best - steps) + steps
-    deletions = insertions = substitutions = 0
-    i, j = n, m
+    out, i, j = [], n, m
     while i or j:
         if i and j and cost[i, j] == cost[i - 1, j - 1] + (0 if same[i - 1, j - 1] else SUBSTITUTION):
-            substitutions += not same[i - 1, j - 1]
             i, j = i - 1, j - 1
+            out.append(("match" if same[i, j] else "substitution", reference[i], hypothesis[j]))
         elif j and cost[i, j] == cost[i, j - 1] + INSERTION:
-            insertions, j = insertions + 1, j - 1
+            j -= 1
+            out.append(("insertion", None, hypothesis[j]))
         else:
-            deletions, i = deletions + 1, i - 1
-    return deletions, insertions, substitutions
+            i -= 1
+            out.append(("deletion", reference[i], None))
+    return out[::-1]
+
+
+def edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
+    """Deletions, insertions and substitutions of the cheapest alignment."""
+    kinds = [kind for kind, _, _ in alignment(reference, hypothesis)]
+    return kinds.count("deletion"), kinds.count("insertion"), kinds.count("substitution")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -58,3 +92,15 @@ def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("deletions", "insertions", "substitutions")]))
 def edit_counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([edits(list(r), list(h)) for r, h in zip(reference, hypothesis)], columns=["deletions", "insertions", "substitutions"])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "reference", "hypothesis")])))
+def aligned(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("kind", "reference", "hypothesis"), step)) for step in alignment(list(r), list(h))] for r, h in zip(reference, hypothesis)])
+
+
+@F.pandas_udf(T.DoubleType())
+def union_lcs(sentences: pd.Series, references: pd.Series) -> pd.Series:
+    """The sum of the union shares of the reference's sentences; both sides are arrays of sentences, words parted by spaces."""
+    words = lambda side: [s.split(" ") for s in side]
+    return pd.Series([float(sum(union_share(words(h), r) for r in words(refs))) for h, refs in zip(sentences, references)])

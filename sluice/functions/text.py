@@ -69,8 +69,14 @@ def _ruled(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return tokens_none(text)
 
 
+#: What rule 13a replaces first, in this order.
+PLAIN_13A = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
 def tokens_13a(text: Column) -> Column:
-    """Tokens with punctuation set off."""
+    """Tokens with punctuation set off; marks of skipped text, hyphens at line ends and entities resolved."""
+    for found, made in PLAIN_13A:
+        text = F.replace(text, F.lit(found), F.lit(made))
     return _ruled(F.concat(F.lit(" "), text, F.lit(" ")), RULES_13A)
 
 
@@ -79,9 +85,14 @@ def tokens_international(text: Column) -> Column:
     return _ruled(text, RULES_INTERNATIONAL)
 
 
+#: The blocks that rule "zh" sets off, as code points. Its two blocks beyond 16 bits
+#: are read as those of their first four digits, which results depend on.
+HAN_TOKENS = r"[\x{3400}-\x{4DB5}\x{4E00}-\x{9FA5}\x{9FA6}-\x{9FBB}\x{F900}-\x{FA2D}\x{FA30}-\x{FA6A}\x{FA70}-\x{FAD9}\x{2001}-\x{2A6D}\x{2F81}-\x{2FA1}\x{FF00}-\x{FFEF}\x{2E80}-\x{2EFF}\x{3000}-\x{303F}\x{31C0}-\x{31EF}\x{2F00}-\x{2FDF}\x{2FF0}-\x{2FFF}\x{3100}-\x{312F}\x{31A0}-\x{31BF}\x{FE10}-\x{FE1F}\x{FE30}-\x{FE4F}\x{2600}-\x{26FF}\x{2700}-\x{27BF}\x{3200}-\x{32FF}\x{3300}-\x{33FF}]"
+
+
 def tokens_han(text: Column) -> Column:
-    """Tokens with every Han character set off."""
-    return tokens_13a(F.regexp_replace(text, f"({HAN})", " $1 "))
+    """Tokens with every Chinese character, full-width form and CJK sign set off; the rest by the rules of 13a alone."""
+    return _ruled(F.regexp_replace(F.trim(text), f"({HAN_TOKENS})", " $1 "), RULES_13A)
 
 
 TOKENIZERS = {"none": tokens_none, "13a": tokens_13a, "intl": tokens_international, "zh": tokens_han}

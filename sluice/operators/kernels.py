@@ -83,12 +83,12 @@ def path_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM v a JOIN v b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1)
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT a.vec_id, a.v AS a, b.v AS b FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(list_sum([0.25 * a[i] + 0.75 * b[i] FOR i IN range(1, 65)]), 6) AS total, round(0.25 * a[1] + 0.75 * b[1], 6) AS first FROM l""")
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The convex blend of paired vectors."""
+    """The convex blend of each vector and the next one."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    both = v.where("vec_id % 2 = 0").join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")), "vec_id")
     mixed = both.select("vec_id", blend(F.col("v"), F.col("w"), F.lit(0.25)).alias("m"))
     return mixed.select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.get("m", F.lit(0)), 6).alias("first"))
 

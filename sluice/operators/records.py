@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.hashing import digest
-from sluice.functions.text import collapsed
+from sluice.functions.text import code_points, collapsed
 from sluice.operators.registry import query, table
 from sluice.plans.ordinal import with_ordinal
 
@@ -89,12 +89,12 @@ def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{"gloss": "' || lang || '"}' WHEN doc_id % 3 = 1 THEN '"' || lang || '"' END AS gloss FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN json_extract_string(gloss, '$.gloss') WHEN doc_id % 3 = 1 THEN json_extract_string(gloss, '$') END AS gloss, (SELECT string_agg(c, '' ORDER BY i) FROM (SELECT unnest(string_split(left(text, 6), '')) AS c, generate_subscripts(string_split(left(text, 6), ''), 1) AS i)) AS caption FROM g JOIN documents USING (doc_id)""")
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN json_extract_string(gloss, '$.gloss') WHEN doc_id % 3 = 1 THEN json_extract_string(gloss, '$') END AS gloss, array_to_string(string_split(text, ''), '') AS caption FROM g JOIN documents USING (doc_id)""")
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that are a string or an object with a gloss, and captions of joined characters."""
     doc, lang = F.col("doc_id"), F.col("lang")
     made = F.when(doc % 3 == 0, F.to_json(F.struct(lang.alias("gloss")))).when(doc % 3 == 1, F.concat(F.lit('"'), lang, F.lit('"')))
-    rows = table(spark, sf_dir, "documents").select("doc_id", made.alias("json"), F.split(F.substring("text", 1, 6), "").alias("characters"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", made.alias("json"), code_points(F.col("text")).alias("characters"))
     gloss = F.coalesce(F.get_json_object("json", "$.gloss"), F.get_json_object(F.concat(F.lit('{"s":'), F.col("json"), F.lit("}")), "$.s"))
     return rows.select("doc_id", gloss.alias("gloss"), F.array_join("characters", "").alias("caption"))
 

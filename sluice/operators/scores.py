@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import alignment
 from sluice.functions.arrays import dot, norm, points
+from sluice.functions.overlap import overlap
 from sluice.functions.text import TOKENIZERS, ngrams, tokens_none, without_space
 from sluice.operators.registry import query, table
 
@@ -23,21 +24,26 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.col("text").alias("hyp")).join(after, ["conv_id", "turn"])
 
 
-@query(f"""
-WITH p AS (SELECT trim(hyp) AS hyp, trim(ref) AS ref FROM ({_PAIRS}) WHERE regexp_matches(hyp || ref, '^[\\x00-\\x7F]*$'))
-SELECT count(*) AS n, round(avg((hyp = ref)::INT), 6) AS exact, sum(levenshtein(hyp, ref))::BIGINT AS edits, sum(length(ref))::BIGINT AS characters, round(sum(levenshtein(hyp, ref)) / sum(length(ref)), 6) AS cer FROM p""")
-def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact matches and character error rate of ASCII pairs: those that the SQL, whose edit distance is on bytes, can score."""
-    ascii_only = F.concat("hyp", "ref").rlike(r"^[\x00-\x7F]*$")
-    return language_totals(pairs(spark, sf_dir).where(ascii_only))
+#: DuckDB's edit distance goes by bytes, so each pair's characters become bytes of their own first (a pair has fewer than 128).
+_LANGUAGE = f"""
+WITH p AS (SELECT trim(hyp) AS hyp, trim(ref) AS ref FROM ({_PAIRS}) WHERE hyp IS NOT NULL AND ref IS NOT NULL),
+c AS (SELECT *, list_filter(string_split(hyp, ''), lambda x: x <> '') AS h, list_filter(string_split(ref, ''), lambda x: x <> '') AS r FROM p), u AS (SELECT *, list_distinct(h || r) AS u FROM c),
+e AS (SELECT hyp, ref, levenshtein(array_to_string([chr(list_position(u, x)) FOR x IN h], ''), array_to_string([chr(list_position(u, x)) FOR x IN r], '')) AS edits FROM u)
+SELECT count(*) AS n, round(avg((hyp = ref)::INT), 6) AS exact, sum(edits)::BIGINT AS edits, sum(length(ref))::BIGINT AS characters, round(sum(edits) / sum(length(ref)), 6) AS cer FROM e"""
 
 
-@query()
-def language_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_LANGUAGE)
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact matches and character error rate of all pairs of texts, in code points."""
     return language_totals(pairs(spark, sf_dir).where("hyp is not null and ref is not null"))
 
 
+@query(_LANGUAGE)
+def language_scores_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as :func:`language_scores`, by its earlier name."""
+    return language_scores(spark, sf_dir)
+
+
 def language_totals(rows: DataFrame) -> DataFrame:
     """n, exact, edits, characters and cer of ``hyp`` and ``ref``, micro-averaged."""
     rows = rows.select(F.trim("hyp").alias("hyp"), F.trim("ref").alias("ref"))
@@ -46,22 +52,13 @@ def language_totals(rows: DataFrame) -> DataFrame:
 
 
 def matches(rows: DataFrame, hyp: Column, ref: Column, keys: list[str], order: int) -> DataFrame:
-    """keys, n, hyp_grams, ref_grams and matched (clipped) n-grams, summed by key and n.
+    """keys, n, hyp_grams, ref_grams and matched (clipped) n-grams of each row.
 
-    Token arrays become n-grams by an explode of each side; counts meet in one
-    aggregate over both, so n-grams that one side lacks need no outer join.
+    Both sides of a pair are in one row, so its n-grams are counted there and
+    nothing but ``order`` small rows of counts leaves it. Of texts n-grams are
+    of characters, of arrays of tokens.
     """
-    def side(tokens: Column, name: str) -> DataFrame:
-        grams = F.flatten(F.array(*[F.transform(ngrams(F.col("_t"), n), _tagged(n)) for n in range(1, order + 1)]))
-        return rows.select(*keys, tokens.alias("_t")).select(*keys, F.explode(grams).alias("g")).select(*keys, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"), F.lit(int(name == "h")).alias("h"), F.lit(int(name == "r")).alias("r"))
-
-    both = side(hyp, "h").unionByName(side(ref, "r"))
-    counts = both.groupBy(*keys, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
-    return counts.groupBy(*keys, "n").agg(F.sum("h").alias("hyp_grams"), F.sum("r").alias("ref_grams"), F.sum(F.least("h", "r")).alias("matched"))
-
-
-def _tagged(n: int):
-    return lambda gram: F.struct(F.lit(n).alias("n"), gram.alias("gram"))
+    return rows.select(*keys, F.inline(overlap(hyp, ref, order)))
 
 
 def _gram_sql(order: int, tokens: str) -> str:
@@ -100,8 +97,7 @@ def bleu(found: DataFrame) -> DataFrame:
 SELECT round(p, 6) AS precision, round(r, 6) AS recall, round(5 * p * r / (4 * p + r), 6) AS chrf FROM a""")
 def chrf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus chrF: character n-grams up to six, recall weighing double."""
-    letters = lambda c: F.filter(F.split(without_space(F.col(c)), ""), lambda x: x != "")
-    found = matches(pairs(spark, sf_dir), letters("hyp"), letters("ref"), ["conv_id", "turn"], CHAR_ORDER)
+    found = matches(pairs(spark, sf_dir), without_space(F.col("hyp")), without_space(F.col("ref")), ["conv_id", "turn"], CHAR_ORDER)
     sums = found.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("hyp_grams", "ref_grams", "matched")]).where("hyp_grams > 0 and ref_grams > 0")
     means = sums.agg(F.avg(F.col("matched") / F.col("hyp_grams")).alias("p"), F.avg(F.col("matched") / F.col("ref_grams")).alias("r"))
     f = F.try_divide((1 + BETA**2) * F.col("p") * F.col("r"), BETA**2 * F.col("p") + F.col("r"))
@@ -182,7 +178,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POSES = """WITH j AS (SELECT vec_id, i, embedding[3 * i + 1]::DOUBLE AS x, embedding[3 * i + 2]::DOUBLE AS y, embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(21) r(i)),
-p AS (SELECT a.vec_id, a.i, (a.vec_id + a.i) % 7 <> 0 AS valid, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, a.x - b.x - (wa.x - wb.x) AS rx, a.y - b.y - (wa.y - wb.y) AS ry, a.z - b.z - (wa.z - wb.z) AS rz FROM j a JOIN j b ON a.vec_id % 2 = 0 AND b.vec_id = a.vec_id + 1 AND a.i = b.i JOIN j wa ON wa.vec_id = a.vec_id AND wa.i = 0 JOIN j wb ON wb.vec_id = b.vec_id AND wb.i = 0),
+p AS (SELECT a.vec_id, a.i, (a.vec_id + a.i) % 7 <> 0 AS valid, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz, a.x - b.x - (wa.x - wb.x) AS rx, a.y - b.y - (wa.y - wb.y) AS ry, a.z - b.z - (wa.z - wb.z) AS rz FROM j a JOIN j b ON b.vec_id = a.vec_id + 1 AND a.i = b.i JOIN j wa ON wa.vec_id = a.vec_id AND wa.i = 0 JOIN j wb ON wb.vec_id = b.vec_id AND wb.i = 0),
 e AS (SELECT vec_id, i, valid, (abs(dx) + abs(dy) + abs(dz)) / 3 AS l1, sqrt(dx * dx + dy * dy + dz * dz) AS d, sqrt(rx * rx + ry * ry + rz * rz) AS rd FROM p)"""
 
 
@@ -190,7 +186,7 @@ def pose_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each joint of paired poses: valid, l1, d and rd (relative to the wrist)."""
     poses = table(spark, sf_dir, "embeddings").select("vec_id", points(F.col("embedding").cast("array<double>")).alias("p"))
     other = poses.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
-    both = poses.where("vec_id % 2 = 0").join(other, "vec_id")
+    both = poses.join(other, "vec_id")
     minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
     wrist = minus(F.get("p", F.lit(WRIST)), F.get("q", F.lit(WRIST)))
     joints = both.select("vec_id", wrist.alias("w"), F.posexplode(F.arrays_zip("p", "q")).alias("i", "j"))

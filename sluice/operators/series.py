@@ -10,6 +10,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
+from sluice.plans.lineage import durable
 
 RATE = 10.0
 #: Keeps values that lie between two roundings on one side.
@@ -42,7 +43,28 @@ def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def motion_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame-to-frame motion, pooled over all sequences."""
     moved = frames(spark, sf_dir).select(F.abs(F.col("value") - F.lag("value").over(_by_user())).alias("d"))
-    return moved.agg(F.round(F.percentile("d", 0.99), 6).alias("p99"), F.round(F.max("d"), 6).alias("most"), F.count("d").alias("n"))
+    return quantile(moved.where("d is not null"), "d", 0.99).select(F.round("q", 6).alias("p99"), F.round("most", 6).alias("most"), "n")
+
+
+def quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """n, most and q, the exact quantile (on the line between its neighbours), of a column without nulls.
+
+    Ranges of the values are counted, and only the two ranges that hold the
+    neighbours are put in order: no task holds all rows.
+    """
+    placed = durable(rows.select(F.col(value).cast("double").alias("v")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sums = placed.groupBy("part").agg(F.count("*").alias("rows"), F.max("v").alias("top"))
+    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
+    # a row for each range
+    ranges = sums.select("part", (F.sum("rows").over(upto) - F.col("rows")).alias("before"), F.sum("rows").over(upto).alias("upto"), F.sum("rows").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"), F.max("top").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("most"))
+    place = (F.col("n") - 1) * F.lit(share)
+    low, high = F.floor(place), F.ceil(place)
+    wanted = ranges.where((low.between(F.col("before"), F.col("upto") - 1)) | (high.between(F.col("before"), F.col("upto") - 1)))
+    held = placed.join(F.broadcast(wanted), "part")
+    at = held.select("v", "n", "most", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("v")) - 1).alias("at"))
+    pick = lambda p: F.max(F.when(F.col("at") == p, F.col("v")))
+    ends = at.groupBy("n", "most").agg(pick(low).alias("low"), pick(high).alias("high"))
+    return ends.select("n", "most", (F.col("low") + (F.col("high") - F.col("low")) * (place - low)).alias("q"))
 
 
 @query(f"WITH f AS ({_FRAMES}) SELECT user_id, frame // 5 AS frame, value FROM f WHERE frame % 5 = 0")
@@ -81,18 +103,18 @@ def centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(means, "user_id").select("user_id", "frame", F.round(F.col("value") - F.col("mean") + NUDGE, 6).alias("centred"))
 
 
-_TERMS = " + ".join(f"{w!r} * s[1 + least(greatest(CASE WHEN frame + {k} < 0 THEN -(frame + {k}) - 1 WHEN frame + {k} > n - 1 THEN 2 * n - 1 - (frame + {k}) ELSE frame + {k} END, 0), n - 1)]" for k, w in zip(range(-4, 5), GAUSS))
+_TERMS = " + ".join(f"{w!r} * s[1 + least((frame + {k} + 8 * n) % (2 * n), 2 * n - 1 - (frame + {k} + 8 * n) % (2 * n))]" for k, w in zip(range(-4, 5), GAUSS))
 
 
-@query(f"WITH f AS ({_FRAMES}), a AS (SELECT user_id, list(value ORDER BY frame) AS s, count(*) AS n FROM f GROUP BY user_id HAVING count(*) >= 9) SELECT user_id, frame, round({_TERMS}, 6) AS smooth FROM f JOIN a USING (user_id)")
+@query(f"WITH f AS ({_FRAMES}), a AS (SELECT user_id, list(value ORDER BY frame) AS s, count(*) AS n FROM f GROUP BY user_id) SELECT user_id, frame, round({_TERMS}, 6) AS smooth FROM f JOIN a USING (user_id)")
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaussian smoothing, the ends reflected; sequences of nine frames and more."""
+    """Gaussian smoothing, the ends reflected, as often as a short sequence needs."""
     rows = frames(spark, sf_dir)
-    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 9")
+    sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
     rows = rows.join(sizes, "user_id")
-    edges = F.when(F.col("frame") < 4, F.array(F.col("frame"), -F.col("frame") - 1)).otherwise(F.array(F.col("frame")))
-    tail = F.when(F.col("n") - 1 - F.col("frame") < 4, F.array(2 * F.col("n") - 1 - F.col("frame"))).otherwise(F.array().cast("array<bigint>"))
-    padded = rows.select("user_id", "n", "value", F.explode(F.concat(edges, tail)).alias("frame"))
+    # a frame and its mirror image come back every 2n frames; where they fall on the four before and after counts
+    images = F.flatten(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda j: F.array(F.col("frame") + 2 * F.col("n") * j, 2 * F.col("n") * (j + 1) - 1 - F.col("frame"))))
+    padded = rows.select("user_id", "n", "value", F.explode(F.filter(images, lambda p: (p >= -4) & (p < F.col("n") + 4))).alias("frame"))
     near = W.partitionBy("user_id").orderBy("frame")
     total = sum((F.coalesce(F.lag("value", -k).over(near) if k < 0 else F.lead("value", k).over(near), F.lit(0.0)) * w for k, w in zip(range(-4, 5), GAUSS) if k > 0), F.lit(0.0))
     total = total + sum((F.coalesce(F.lag("value", -k).over(near), F.lit(0.0)) * w for k, w in zip(range(-4, 5), GAUSS) if k <= 0), F.lit(0.0))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.plans.ordinal import with_ordinal
+from sluice.sources.manifests import checksum_list
 
 #: The layout's bounds.
 ROWS_PER_PART, PARTS_PER_CHUNK = 1024, 64
@@ -50,6 +53,12 @@ def read(spark: SparkSession, delivery: Delivery) -> DataFrame:
     return spark.read.parquet(delivery.data)
 
 
+def lookup(spark: SparkSession, delivery: Delivery, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of some keys, found by the index: only the splits, chunks and parts that it names are read."""
+    places = spark.read.parquet(delivery.index).join(keys.select(key).distinct(), key, "left_semi")
+    return read(spark, delivery).join(places, [key, "split", "chunk", "part", "row_index"], "left_semi")
+
+
 def inventory_of(written: DataFrame, key: str) -> DataFrame:
     """One row for each part: rows, files, bytes and the digest of its ordered keys."""
     keyed = written.select("split", "chunk", "part", "row_index", F.col(key).cast("string").alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
@@ -71,6 +80,12 @@ def problems(spark: SparkSession, delivery: Delivery, expected: DataFrame, key:
         say(index.join(rows, [key, "split", "chunk", "part", "row_index"], "left_anti"), "only in the index", F.col(key)),
         say(found.join(told, ["split", "chunk", "part", "rows", "keys_sha256"], "left_anti"), "inventory", F.concat_ws("/", "split", "chunk", "part")),
         say(found.where((F.col("files") > 1) | (F.col("rows") > ROWS_PER_PART)), "layout", F.concat_ws("/", "split", "chunk", "part")),
+        say(_places(rows, key).where("gaps"), "row order", F.concat_ws("/", "split", "chunk", "part")),
+        say(_places(rows, key).groupBy("split", "chunk").agg((F.max("part") - F.min("part") + 1).alias("span"), F.count("*").alias("n")).where((F.col("span") != F.col("n")) | (F.col("n") > PARTS_PER_CHUNK)), "parts", F.concat_ws("/", "split", "chunk")),
+        say(_bounds(rows, key).where("low <= before"), "key order", F.concat_ws("/", "split", "chunk", "part")),
+        say(rows.where(F.length(F.trim("split")) == 0), "blank split", F.col(key)),
+        say(rows.where(F.col(key).isNull() | (F.length(F.trim(F.col(key).cast("string"))) == 0)), "blank key", F.col("row_index")),
+        say(spark.createDataFrame([(schema_digest(rows, key), schema_digest(expected, key))], "found string, wanted string").where("found <> wanted and wanted is not null"), "schema", F.col("found")),
     ]
     out = checks[0]
     for check in checks[1:]:
@@ -78,6 +93,38 @@ def problems(spark: SparkSession, delivery: Delivery, expected: DataFrame, key:
     return out
 
 
+def _places(rows: DataFrame, key: str) -> DataFrame:
+    """Parts, and whether their row numbers leave gaps or repeat."""
+    return rows.groupBy("split", "chunk", "part").agg(((F.min("row_index") != 0) | (F.max("row_index") != F.count("*") - 1) | (F.count_distinct("row_index") != F.count("*"))).alias("gaps"))
+
+
+def _bounds(rows: DataFrame, key: str) -> DataFrame:
+    """Each part's least key and the greatest of the part before it."""
+    ends = rows.groupBy("split", "chunk", "part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    return ends.withColumn("before", F.lag("high").over(W.partitionBy("split").orderBy("part")))
+
+
+LAYOUT = ("split", "chunk", "part", "row_index")
+
+
+def schema_digest(rows: DataFrame, key: str) -> str | None:
+    """Digest of the names and types of the payload's columns; none where only keys are known."""
+    fields = sorted(f"{f.name}:{f.dataType.simpleString()}" for f in rows.schema if f.name not in (*LAYOUT, key))
+    return hashlib.sha256(",".join(fields).encode()).hexdigest() if fields else None
+
+
+def checksums_written(spark: SparkSession, folder: str, target: str) -> None:
+    """The list of a delivery's files and digests, as text lines; a target that exists fails."""
+    checksums(spark, folder).select(F.concat("sha256", F.lit("  "), "path").alias("value")).write.text(target)
+
+
+def checksum_problems(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """problem and path: files that the list lacks, that are gone, or that differ from it."""
+    found, told = checksums(spark, folder).select("path", F.col("sha256").alias("found")), checksum_list(spark, target).select("path", F.col("sha256").alias("told"))
+    wrong = F.when(F.col("told").isNull(), "not listed").when(F.col("found").isNull(), "gone").when(F.col("found") != F.col("told"), "differs")
+    return found.join(told, "path", "full").select(wrong.alias("problem"), "path").where("problem is not null")
+
+
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """sha256, path (below the folder) and size of every file of a delivery."""
     from sluice.sources.files import inventory

@@ -48,6 +48,61 @@ def sample_records(lines: DataFrame) -> DataFrame:
     return parsed.select("line", "record", problems.alias("problems"))
 
 
+#: The split record's version, its fields and the form of a split's name.
+SPLIT_VERSION = "split.v1"
+SPLIT_SCHEMA = "schema_version string, sample_id string, group_id string, split string"
+SPLIT_FIELDS = ("schema_version", "sample_id", "group_id", "split")
+SPLIT_NAME = "^[a-z][a-z0-9_-]*$"
+#: Fixed value: the form of a language tag.
+LANGUAGE_TAG = "^[A-Za-z]{2,8}(?:-[A-Za-z0-9]{1,8})*$"
+
+
+def _named(checks: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in checks.items()]))
+
+
+def split_records(lines: DataFrame) -> DataFrame:
+    """line, record and problems of split assignments as JSON lines; the record is closed."""
+    parsed = lines.withColumn("record", F.from_json("line", SPLIT_SCHEMA))
+    problems = _named({
+        "not an object": F.json_object_keys("line").isNull(),
+        "unknown key": F.size(F.coalesce(unknown_keys(F.col("line"), SPLIT_FIELDS), F.array().cast("array<string>"))) > 0,
+        "version": ~F.col("record.schema_version").eqNullSafe(F.lit(SPLIT_VERSION)),
+        "sample_id": F.length(F.trim("record.sample_id")) == 0,
+        "group_id": ~F.col("record.group_id").rlike(SHA256),
+        "split": ~F.col("record.split").rlike(SPLIT_NAME),
+    })
+    return parsed.select("line", "record", problems.alias("problems"))
+
+
+def with_leaks(records: DataFrame) -> DataFrame:
+    """``records``, and ``leaks`` among the problems of sound ones whose group lies in several splits."""
+    sound = records.where("size(problems) = 0").select("record.group_id", "record.split").distinct()
+    leaking = sound.groupBy("group_id").agg(F.count("*").alias("splits")).where("splits > 1").select(F.col("group_id").alias("leaking"))
+    met = (F.size("problems") == 0) & (F.col("record.group_id") == F.col("leaking"))
+    leaks = F.when(F.col("leaking").isNotNull(), F.array(F.lit("leaks"))).otherwise(F.array().cast("array<string>"))
+    return records.join(leaking, met, "left").select("line", "record", F.concat("problems", leaks).alias("problems"))
+
+
+def caption_problems(caption: Column, tag: Column) -> Column:
+    """Names of what is wrong with a caption and its language tag."""
+    from sluice.functions.text import collapsed
+
+    return _named({"empty caption": F.length(collapsed(caption)) == 0, "NUL": F.contains(F.coalesce(caption, F.lit("")), F.lit("\0")), "language tag": ~tag.rlike(LANGUAGE_TAG)})
+
+
+def file_state(path: Column, size: Column) -> Column:
+    """complete, incomplete (still being written, as its name says) or missing."""
+    return F.when(F.endswith(path, F.lit(".part")), "incomplete").when(size.isNull(), "missing").otherwise("complete")
+
+
+def predictions_folder(spark: SparkSession, path: str) -> DataFrame:
+    """file, sample_id, prediction and reference of a folder's JSON files, each an object by sample; spaces and line ends go."""
+    texts = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "map<string, struct<prediction: string, reference: string>>").alias("of"))
+    plain = lambda c: F.translate(c, " \n", "")
+    return texts.select("file", F.explode("of").alias("sample_id", "r")).select("file", "sample_id", plain("r.prediction").alias("prediction"), plain("r.reference").alias("reference"))
+
+
 def repeated(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once, and how often."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

@@ -45,25 +45,43 @@ def windowed(events: DataFrame, length: str, late: str, slide: str | None = None
     return sums.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def upserted(spark: SparkSession, stream: DataFrame, key: str, version: str, table_dir: str, checkpoint: str) -> DataFrame:
-    """The newest row of each key: every batch merges into the next snapshot.
-
-    Snapshots are folders numbered by batch, so a batch that is run again
-    writes the same one again; the newest is returned.
+def upserted(spark: SparkSession, stream: DataFrame, key: str, version: str, table_dir: str, checkpoint: str, compact_every: int = 16) -> DataFrame:
+    """The newest row of each key, over all that the stream has brought so far.
+
+    A batch is reduced to its newest rows and written as a delta, a folder with
+    the batch's number; a batch that is run again writes its own folder again.
+    Every ``compact_every`` batches the table so far becomes one snapshot. What
+    is there is found in ``table_dir``, so a run goes on where one stopped, and
+    a run without new files returns the table as it is.
     """
+    newest = lambda rows: rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(version, F.xxhash64(*rows.columns))).alias("r")).select("r.*")
 
-    state = {"last": None}
+    def upto(number: int | None) -> DataFrame | None:
+        """All rows of the newest snapshot before a batch and of the deltas after it."""
+        snapshots = [n for n in _complete(spark, f"{table_dir}/snapshot") if number is None or n < number]
+        base = max(snapshots, default=-1)
+        deltas = [n for n in _complete(spark, f"{table_dir}/delta") if n > base and (number is None or n <= number)]
+        paths = [*([f"{table_dir}/snapshot/{base:09d}"] if snapshots else []), *(f"{table_dir}/delta/{n:09d}" for n in deltas)]
+        return newest(spark.read.schema(stream.schema).parquet(*paths)) if paths else None
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch
-        if state["last"] is not None:
-            rows = spark.read.parquet(state["last"]).unionByName(batch)
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(version, F.xxhash64(*rows.columns))).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{table_dir}/{number:09d}")
-        state["last"] = f"{table_dir}/{number:09d}"
+        newest(batch).write.mode("overwrite").parquet(f"{table_dir}/delta/{number:09d}")
+        if (number + 1) % compact_every == 0:
+            upto(number).write.mode("overwrite").parquet(f"{table_dir}/snapshot/{number:09d}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(state["last"])
+    found = upto(None)
+    return spark.createDataFrame([], stream.schema) if found is None else found
+
+
+def _complete(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of a folder's subfolders that were written to their end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    found = [s.getPath() for s in files.listStatus(path) if s.isDirectory()]
+    return sorted(int(p.getName()) for p in found if p.getName().isdigit() and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
 def routed(rows: DataFrame, ok: str) -> tuple[DataFrame, DataFrame]:

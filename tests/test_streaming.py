@@ -20,6 +20,24 @@ def test_a_stream_resumes_where_it_stopped(spark, tmp_path):
     assert sorted(r["id"] for r in spark.read.parquet(sink).collect()) == list(range(15))
 
 
+def test_upserts_go_on_where_they_stopped(spark, tmp_path):
+    source, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    schema = "id long, version long, value string"
+    run = lambda: sorted(tuple(r) for r in incremental.upserted(spark, incremental.new_files(spark, source, schema, 1), "id", "version", table, state, compact_every=2).collect())
+    add = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    add([])
+    assert run() == []
+    add([(1, 1, "a"), (2, 1, "b")])
+    assert run() == [(1, 1, "a"), (2, 1, "b")]
+    add([(3, 1, "c"), (1, 2, "a2")])
+    assert run() == [(1, 2, "a2"), (2, 1, "b"), (3, 1, "c")]
+    # nothing new: the table stays
+    assert run() == [(1, 2, "a2"), (2, 1, "b"), (3, 1, "c")]
+    add([(1, 0, "old")])
+    add([(4, 1, "d")])
+    assert run() == [(1, 2, "a2"), (2, 1, "b"), (3, 1, "c"), (4, 1, "d")]
+
+
 def test_dead_letters(spark):
     rows = spark.createDataFrame([(1, 2.0), (2, None), (3, -1.0)], "id long, value double")
     good, bad = incremental.routed(rows, "value > 0")
