@@ -55,19 +55,63 @@ _GRAPH = "SELECT n_nationkey AS a, (n_nationkey * 7 + 3) % 25 AS b FROM nation U
 WITH RECURSIVE e AS ({_GRAPH}), r(a, b) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT x.a, min(x.b) AS root FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT a AS node, root::INT AS root, count(*) OVER (PARTITION BY root) AS size FROM c""")
 def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongly connected components: nodes that reach each other, by doubling the reach."""
+    """Strongly connected components: node, root (its least node) and size."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"))
-    edges = n.select("a", ((F.col("a") * 7 + 3) % 25).alias("b")).unionByName(n.where("a % 5 <> 4").select("a", (F.col("a") + 1).alias("b"))).unionByName(n.select("a", F.col("a").alias("b"))).distinct()
-    reach, count = durable(edges), -1
-    while (now := reach.count()) != count:
-        count = now
-        more = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        reach = durable(more.distinct())
-    mutual = reach.alias("x").join(reach.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("node"), F.col("x.b").alias("b"))
-    roots = mutual.groupBy("node").agg(F.min("b").alias("root"))
+    edges = n.select("a", ((F.col("a") * 7 + 3) % 25).alias("b")).unionByName(n.where("a % 5 <> 4").select("a", (F.col("a") + 1).alias("b"))).distinct()
+    roots = strong_components(n.select(F.col("a").alias("node")), edges)
     return roots.join(roots.groupBy("root").agg(F.count("*").alias("size")), "root").select("node", "root", "size")
 
 
+#: Hops between two looks at whether a spread has ended.
+HOPS = 4
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and root of every node: the least of the nodes that it reaches and that reach it.
+
+    Each round colours the nodes that are left by the least node that reaches
+    them; a node of its own colour is the root of those of its colour that reach
+    it back. These are done. A round holds a row for each node and edge left,
+    never one for each pair of nodes.
+    """
+    left, links, found = durable(nodes.distinct()), durable(edges.select("a", "b").distinct()), None
+    while not left.isEmpty():
+        colour = _spread(left.select("node", F.col("node").alias("mark")), links)
+        sides = links.join(colour.select(F.col("node").alias("a"), F.col("mark").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("mark").alias("cb")), "b")
+        back = sides.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))
+        begin = colour.where("node = mark")
+        done = _reached(begin, durable(back))
+        found = done if found is None else durable(found.unionByName(done))
+        left = durable(left.join(done, "node", "left_anti"))
+        links = durable(links.join(left.select(F.col("node").alias("a")), "a", "left_semi").join(left.select(F.col("node").alias("b")), "b", "left_semi"))
+    return (nodes.select("node", F.col("node").alias("mark")).limit(0) if found is None else found).select("node", F.col("mark").alias("root"))
+
+
+def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
+    """Each node's least mark of those that lead to it."""
+    marks = durable(marks)
+    while True:
+        now = marks
+        for _ in range(HOPS):
+            came = links.join(now.select(F.col("node").alias("a"), "mark"), "a").select(F.col("b").alias("node"), "mark")
+            now = now.unionByName(came).groupBy("node").agg(F.min("mark").alias("mark"))
+        now = durable(now)
+        if now.join(marks, ["node", "mark"], "left_anti").isEmpty():
+            return now
+        marks = now
+
+
+def _reached(begin: DataFrame, links: DataFrame) -> DataFrame:
+    """node and mark of all that links lead to from the first ones."""
+    seen, count = durable(begin), -1
+    while (now := seen.count()) != count:
+        count = now
+        for _ in range(HOPS):
+            seen = seen.unionByName(links.join(seen.select(F.col("node").alias("a"), "mark"), "a").select(F.col("b").alias("node"), "mark")).distinct()
+        seen = durable(seen)
+    return seen
+
+
 _J = "SELECT vec_id, i, embedding[3 * i + 1]::DOUBLE AS x, embedding[3 * i + 2]::DOUBLE AS y, embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(21) r(i)"
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,28 +45,30 @@ def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def motion_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame-to-frame motion, pooled over all sequences."""
     moved = frames(spark, sf_dir).select(F.abs(F.col("value") - F.lag("value").over(_by_user())).alias("d"))
-    return quantile(moved.where("d is not null"), "d", 0.99).select(F.round("q", 6).alias("p99"), F.round("most", 6).alias("most"), "n")
+    marks = quantiles(moved.where("d is not null"), "d", {"p99": 0.99, "most": 1.0})
+    return marks.select(F.round("p99", 6).alias("p99"), F.round("most", 6).alias("most"), "n")
 
 
-def quantile(rows: DataFrame, value: str, share: float) -> DataFrame:
-    """n, most and q, the exact quantile (on the line between its neighbours), of a column without nulls.
+def quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
+    """n, and by name the exact quantiles (on the line between neighbours) of a column without nulls.
 
-    Ranges of the values are counted, and only the two ranges that hold the
+    Ranges of the values are counted, and only the ranges that hold a quantile's
     neighbours are put in order: no task holds all rows.
     """
     placed = durable(rows.select(F.col(value).cast("double").alias("v")).repartitionByRange("v").withColumn("part", F.spark_partition_id()))
-    sums = placed.groupBy("part").agg(F.count("*").alias("rows"), F.max("v").alias("top"))
-    upto = W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)
     # a row for each range
-    ranges = sums.select("part", (F.sum("rows").over(upto) - F.col("rows")).alias("before"), F.sum("rows").over(upto).alias("upto"), F.sum("rows").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n"), F.max("top").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("most"))
-    place = (F.col("n") - 1) * F.lit(share)
-    low, high = F.floor(place), F.ceil(place)
-    wanted = ranges.where((low.between(F.col("before"), F.col("upto") - 1)) | (high.between(F.col("before"), F.col("upto") - 1)))
+    sums = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    upto, every = W.orderBy("part").rowsBetween(W.unboundedPreceding, 0), W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranges = sums.select("part", (F.sum("rows").over(upto) - F.col("rows")).alias("before"), F.sum("rows").over(upto).alias("upto"), F.sum("rows").over(every).alias("n"))
+    place = {name: (F.col("n") - 1) * F.lit(share) for name, share in shares.items()}
+    ends = [end(p) for p in place.values() for end in (F.floor, F.ceil)]
+    wanted = ranges.where(functools.reduce(operator.or_, [e.between(F.col("before"), F.col("upto") - 1) for e in ends]))
     held = placed.join(F.broadcast(wanted), "part")
-    at = held.select("v", "n", "most", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("v")) - 1).alias("at"))
+    at = held.select("v", "n", (F.col("before") + F.row_number().over(W.partitionBy("part").orderBy("v")) - 1).alias("at"))
     pick = lambda p: F.max(F.when(F.col("at") == p, F.col("v")))
-    ends = at.groupBy("n", "most").agg(pick(low).alias("low"), pick(high).alias("high"))
-    return ends.select("n", "most", (F.col("low") + (F.col("high") - F.col("low")) * (place - low)).alias("q"))
+    found = at.groupBy("n").agg(*[pick(end(p)).alias(f"{side}_{name}") for name, p in place.items() for side, end in (("low", F.floor), ("high", F.ceil))])
+    line = lambda name, p: F.col(f"low_{name}") + (F.col(f"high_{name}") - F.col(f"low_{name}")) * (p - F.floor(p))
+    return found.select("n", *[line(name, p).alias(name) for name, p in place.items()])
 
 
 @query(f"WITH f AS ({_FRAMES}) SELECT user_id, frame // 5 AS frame, value FROM f WHERE frame % 5 = 0")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sluice.functions import alignment, overlap
 from sluice.functions.text import tokens_13a, tokens_han
 from sluice.operators import registry
-from sluice.operators.series import quantile
+from sluice.operators.series import quantiles
+from sluice.operators.summaries import stacked
 
 QUERIES = registry.queries()
 
@@ -128,5 +129,11 @@ def test_quantile_over_ranges(spark):
             place = (n - 1) * share
             s, low = sorted(values), int(place)
             want = s[low] + (s[min(low + 1, n - 1)] - s[low]) * (place - low)
-            got = quantile(df, "v", share).first()
-            assert got["q"] == pytest.approx(want) and got["n"] == n and got["most"] == max(values)
+            got = quantiles(df, "v", {"q": share, "top": 1.0}).first()
+            assert got["q"] == pytest.approx(want) and got["n"] == n and got["top"] == max(values)
+
+
+def test_frames_are_stacked(spark):
+    rows = [("a", 2, [5.0, 6.0]), ("a", 0, [1.0, 2.0]), ("a", 1, [9.0]), ("a", 3, None), ("b", 7, [1.0])]
+    got = stacked(spark.createDataFrame(rows, "s string, f int, v array<double>"), ["s"], "f", "v").collect()
+    assert {r["s"]: r["frames"] for r in got} == {"a": [[1.0, 2.0], [0.0, 0.0], [5.0, 6.0], [0.0, 0.0]], "b": [[1.0]]}
