@@ -14,6 +14,7 @@ from sluice.sources.manifests import checksum_list
 
 #: The layout's bounds.
 ROWS_PER_PART, PARTS_PER_CHUNK = 1024, 64
+ROW_GROUP_BYTES = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,8 @@ def staged(rows: DataFrame, key: str, folder: str, **layout) -> Delivery:
     out = Delivery(f"{folder}/data", f"{folder}/index", f"{folder}/inventory")
     laid = laid_out(rows, key, **layout)
     dealt = laid.repartition("split", "chunk", "part").sortWithinPartitions("split", "chunk", "part", "row_index")
-    dealt.write.option("compression", "zstd").partitionBy("split", "chunk", "part").parquet(out.data)
+    # a part's rows fit into one row group
+    dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("split", "chunk", "part").parquet(out.data)
     spark = rows.sparkSession
     written = read(spark, out)
     written.select(key, "split", "chunk", "part", "row_index").write.option("compression", "zstd").parquet(out.index)

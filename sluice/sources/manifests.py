@@ -120,6 +120,13 @@ def labels_array(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, schema="video string, pose string, text string", multiLine=True).withColumn("key", basename(F.col("video")))
 
 
+def label_problems(labels: DataFrame) -> DataFrame:
+    """key and problem of labels without a key or a text, and of keys that come more than once."""
+    blank = labels.where(F.coalesce(F.length(F.trim("key")) == 0, F.lit(True))).select("key", F.lit("blank key").alias("problem"))
+    mute = labels.where(F.coalesce(F.length(F.trim("text")) == 0, F.lit(True))).select("key", F.lit("blank text").alias("problem"))
+    return blank.unionByName(mute).unionByName(repeated(labels, "key").select("key", F.lit("repeated").alias("problem")))
+
+
 def checksum_list(spark: SparkSession, path: str) -> DataFrame:
     """sha256 and path of the lines of a checksum list ("<hex>  <path>" or "<hex> *<path>")."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)

@@ -1,11 +1,13 @@
 """Sources and deliveries, over files made here."""
 
+import hashlib
 import io
 import json
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.plans import delivery
 from sluice.sources import files, manifests
@@ -66,6 +68,42 @@ def test_arrays(spark, tmp_path):
     assert files.inventory(spark, str(tmp_path), "*.npz").first()["size"] == (tmp_path / "b.npz").stat().st_size
 
 
+def test_members_to_extract(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.mp4", b"x" * 10)
+        z.writestr("two.mp4", b"y")
+    members = files.zip_members(spark, str(tmp_path / "a.zip"))
+    rows = {r["member"]: r for r in members.collect()}
+    assert rows["two.mp4"]["sha256"] == hashlib.sha256(b"y").hexdigest()
+    done = members.where("member = 'one.mp4'").select("archive", "member", "size", "crc32")
+    assert [r["member"] for r in files.to_extract(members, done).collect()] == ["two.mp4"]
+    assert files.to_extract(members, done.withColumn("crc32", F.col("crc32") + 1)).count() == 2
+
+
+def test_array_contracts(spark, tmp_path):
+    contract = {"pose": ("float32", (None, 2, 3)), "frames": ("int64", (None,))}
+    good = {"pose": np.ones((4, 2, 3), np.float32), "frames": np.arange(4)}
+    cases = {
+        "good": good, "gaps": good | {"frames": np.array([0, 1, 3, 4])}, "type": good | {"pose": np.ones((4, 2, 3))}, "shape": good | {"pose": np.ones((5, 2, 3), np.float32)},
+        "nan": good | {"pose": np.full((4, 2, 3), np.nan, np.float32)}, "more": good | {"x": np.ones(1)}, "less": {"frames": np.arange(4)},
+    }
+    for name, arrays in cases.items():
+        np.savez(tmp_path / f"{name}.npz", **arrays)
+    (tmp_path / "bad.npz").write_bytes(b"PK no")
+    got = {}
+    for r in files.container_problems(files.arrays(spark, f"{tmp_path}/*.npz"), contract, "frames").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1][:-4], []).append(r["problem"])
+    bad = got.pop("bad")
+    assert {"pose: missing", "frames: missing"} < set(bad)
+    assert got == {"gaps": ["frames: gaps"], "type": ["pose: type"], "shape": ["pose: shape"], "nan": ["pose: not finite"], "more": ["x: unknown"], "less": ["pose: missing"]}
+
+
+def test_labels(spark):
+    rows = [("a", "x"), ("a", "y"), ("", "z"), ("b", " "), (None, "w"), ("c", "v")]
+    got = {(r["key"], r["problem"]) for r in manifests.label_problems(spark.createDataFrame(rows, "key string, text string")).collect()}
+    assert got == {("a", "repeated"), ("", "blank key"), (None, "blank key"), ("b", "blank text")}
+
+
 def test_delivery(spark, tmp_path):
     rows = spark.range(2600).selectExpr("lpad(id, 6, '0') as sample", "if(id % 10 = 0, 'test', 'train') as split", "id * 2 as value")
     made = delivery.staged(rows, "sample", str(tmp_path / "s"), rows_per_part=100, parts_per_chunk=5)
