@@ -3,6 +3,14 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before it kept; all but the last return the columns of documents. Each result
 is written as Parquet to the shared checkpoint folder and read again.
+
+Defined cases, in any stage: null and empty texts are kept as they are until
+the mix, which takes only documents with words; null ids, languages, sources
+and lengths are values of their own; repeated rows are copies, of which one
+stays; texts of any length are read whole; further columns go along, whatever
+their names; n_chars, lang and source may be missing for the first three
+stages; an empty table gives an empty table; without labels every document is
+kept by the first stage.
 """
 
 from __future__ import annotations
@@ -15,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import bpe, jaccard, mixing, pii, quality
 from sluice.plans.lineage import shared_dir
+from sluice.plans.shipping import shipped
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -58,6 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    shipped(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
