@@ -220,3 +220,33 @@ def test_pipeline(spark, small):
     assert sorted(map(str, result.collect())) == sorted(map(str, want.collect()))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, small).columns == docs.columns
+
+
+ODD = [
+    (1, None, "en", "s", None), (2, "", None, None, 0), (None, "no id here, but words enough for a shingle", "en", "s", 43), (3, "x " * 30_000, "en", "s", 60_000),
+    (4, "write to a@b.cd now or call the office in the morning", "de", None, 53), (4, "write to a@b.cd now or call the office in the morning", "de", None, 53), (5, " \n\t ", "en", "t", 4),
+]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    clashing = "*", "1 as key", "2 as row", "3 as score", "4 as part", "'x' as words", "5 as quality", "6 as l_id", "7 as taken", "8 as _pii", "9 as t_id"
+    docs = spark.createDataFrame(ODD, DOCS).selectExpr(*clashing)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, str(tmp_path))
+            assert name == "tokens" or out.columns == docs.columns
+            found = out.collect()
+            assert rows is docs or not found
+            if name == "quality" and rows is docs:
+                assert len(found) == len(ODD)
+            if name == "near_duplicates" and rows is docs:
+                assert sorted(str(r["doc_id"]) for r in found) == ["1", "2", "3", "4", "5", "None"]
+            if name == "personal_data" and rows is docs:
+                assert sum("[EMAIL]" in (r["text"] or "") for r in found) == 2
+    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # only documents with words are in the mix
+    assert {r["doc_id"] for r in result} <= {None, 3, 4} and result
