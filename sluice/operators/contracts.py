@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sluice.functions.arrays import norm, points
 from sluice.functions.hashing import digest
 from sluice.operators.registry import query, table
-from sluice.plans import payload, predictions, variants
+from sluice.plans import artifacts, payload, predictions, variants
 from sluice.plans.ordinal import with_ordinal
 from sluice.sources import manifests
 
@@ -189,3 +189,56 @@ def body_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = lambda k: F.lead("p", k).over(W.partitionBy(F.floor(F.col("vec_id") / 10)).orderBy("vec_id"))
     frames = poses.select("vec_id", F.concat("p", after(1), after(2)).alias("joints")).where("joints is not null")
     return frames.select("vec_id", F.posexplode(payload.body_cloud(F.col("joints"))).alias("i", "p")).select("vec_id", "i", *[F.round(F.get("p", F.lit(k)), 6).alias(n) for k, n in enumerate("xyz")])
+
+
+_FP = "f" * 64
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 23 AS c FROM orders)
+SELECT k::VARCHAR AS sample_id, CASE c WHEN 1 THEN 'sidecar_unreadable_or_missing' WHEN 2 THEN 'invalid_sidecar_json' WHEN 3 THEN 'sidecar_not_object' WHEN 4 THEN 'sidecar_schema_mismatch' WHEN 5 THEN 'sidecar_status_not_completed' WHEN 6 THEN 'config_fingerprint_mismatch'
+  WHEN 7 THEN 'sample_id_path_mismatch' WHEN 8 THEN 'source_archive_path_mismatch' WHEN 9 THEN 'missing_artifact_identity' WHEN 10 THEN 'invalid_declared_artifact_size' WHEN 11 THEN 'invalid_declared_artifact_sha256' WHEN 12 THEN 'invalid_declared_artifact_path' WHEN 13 THEN 'declared_artifact_path_mismatch'
+  WHEN 14 THEN 'artifact_unreadable_or_missing' WHEN 15 THEN 'artifact_not_regular_file' WHEN 16 THEN 'artifact_changed_during_audit' WHEN 17 THEN 'artifact_size_mismatch,artifact_stream_size_mismatch' WHEN 18 THEN 'artifact_sha256_mismatch' WHEN 19 THEN 'sidecar_changed_during_audit' ELSE '' END AS failures,
+  c IN (0, 4, 7, 8, 12, 13, 15, 16, 19, 20, 21, 22) AS complete, CASE WHEN c = 21 THEN 'completed' WHEN c IN (0, 7, 8, 12, 13, 15, 16, 19, 20, 22) THEN 'completed' END AS state FROM o""")
+def artifact_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts and their sidecars, some broken in each of the ways that have a name."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), (F.col("o_orderkey") % 23).alias("c"))
+    c, sha = F.col("c"), F.sha2("id", 256)
+    broken = lambda k, bad, good: F.when(c == k, bad).otherwise(good)
+    artifact = F.struct(broken(12, F.lit(""), broken(13, F.lit("elsewhere"), F.concat(F.lit("out/"), "id", F.lit(".npz")))).alias("path"), broken(10, F.lit("-1"), F.lit("7")).alias("size_bytes"), broken(11, F.lit("xyz"), sha).alias("sha256"))
+    record = F.to_json(F.struct(
+        broken(4, F.lit("v0"), F.lit(artifacts.SIDECAR_VERSION)).alias("schema_version"), broken(5, F.lit("running"), F.lit("completed")).alias("status"), broken(6, F.lit("0" * 64), F.lit(_FP)).alias("config_fingerprint"),
+        broken(7, F.lit("other"), F.col("id")).alias("sample_id"), F.struct(broken(8, F.lit("b.zip"), F.lit("a.zip")).alias("archive")).alias("source"), F.when(c != 9, artifact).alias("artifact"),
+    ))
+    json = F.when(c == 2, "{").when(c == 3, "[1]").when(c != 1, record)
+    sidecars = orders.select(F.col("id").alias("stem"), json.alias("json"), F.lit("a.zip").alias("archive"), F.lit("7@1").alias("before"), broken(19, F.lit("8@2"), F.lit("7@1")).alias("after"))
+    files = orders.where("c <> 14").select(
+        F.col("id").alias("stem"), F.concat(F.lit("out/"), "id", F.lit(".npz")).alias("path"), broken(17, F.lit(9), F.lit(7)).cast("long").alias("size"), F.lit(7).cast("long").alias("read"), broken(18, F.lit("0" * 64), sha).alias("sha256"),
+        F.lit("7@1").alias("before"), broken(16, F.lit("7@2"), F.lit("7@1")).alias("after"), (c != 15).alias("regular"),
+    )
+    both = artifacts.paired(sidecars, files)
+    return both.select(F.col("stem").alias("sample_id"), F.array_join(artifacts.pair_failures(_FP), ",").alias("failures"), artifacts.is_complete(_FP).alias("complete"), artifacts.terminal_state(_FP).alias("state"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT sqrt(list_dot_product(v, v)) AS norm, list_dot_product(v, v) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(v, v))) AS own FROM v)
+SELECT count(*) AS n, round(min(norm), 6) AS minimum_norm, round(min(own), 6) AS self_similarity, bool_and(norm > 0 AND own >= 0.999) AS ok FROM n""")
+def embedding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, least norm and least similarity with itself of a model's vectors."""
+    v = F.col("embedding").cast("array<double>")
+    length = norm(v)
+    rows = table(spark, sf_dir, "embeddings").select(length.alias("norm"), F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), length * length).alias("own"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.min("norm"), 6).alias("minimum_norm"), F.round(F.min("own"), 6).alias("self_similarity"), F.bool_and((F.col("norm") > 0) & (F.col("own") >= 0.999)).alias("ok"))
+
+
+@query("""
+WITH j AS (SELECT vec_id, vec_id // 8 AS seq, i, embedding[3 * i + 1]::DOUBLE AS x, embedding[3 * i + 2]::DOUBLE AS y, embedding[3 * i + 3]::DOUBLE AS z FROM embeddings, range(21) r(i)), c AS (SELECT seq, avg(z) AS depth FROM j WHERE i IN (6, 7) GROUP BY seq)
+SELECT vec_id, (CASE WHEN i < 5 THEN i ELSE i - 6 END)::INT AS joint, round(x, 6) AS x, round(y, 6) AS y, round(z - depth + 1e-9, 6) AS z FROM j JOIN c USING (seq) WHERE i < 5 OR i >= 11""")
+def joint_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pose's first and last joints, their depth less the sequence's mean depth of two joints."""
+    poses = table(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 8).alias("seq"), points(F.col("embedding").cast("array<double>")).alias("p"))
+    depth = lambda j: F.get(F.get("p", F.lit(j)), F.lit(2))
+    centres = poses.groupBy("seq").agg(((F.avg(depth(6)) + F.avg(depth(7))) / 2).alias("depth"))
+    kept = poses.join(centres, "seq").select("vec_id", "depth", F.posexplode(F.concat(F.slice("p", 1, 5), F.slice("p", -10, 10))).alias("joint", "q"))
+    at = lambda k: F.get("q", F.lit(k))
+    return kept.select("vec_id", "joint", F.round(at(0), 6).alias("x"), F.round(at(1), 6).alias("y"), F.round(at(2) - F.col("depth") + 1e-9, 6).alias("z"))

@@ -137,3 +137,29 @@ def test_split_lines_and_prediction_folders(spark, tmp_path):
     (tmp_path / "r" / "a.txt").write_text("no")
     rows = manifests.predictions_folder(spark, f"{tmp_path}/r").collect()
     assert {(r["file"], r["sample_id"], r["prediction"], r["reference"]) for r in rows} == {("a.json", "s1", "abc", "abc"), ("a.json", "s2", "x", "")}
+
+
+def test_archives_are_audited(spark):
+    from sluice.plans import artifacts
+
+    members = [("a", "v/1.mp4", None), ("a", "2.mp4", None), ("b", "1.mp4", "checksum"), ("b", "x/1.mp4", None), ("c", None, "not an archive"), ("d", "3.mp4", None), ("d", "../4.mp4", "unsafe")]
+    labels = [("1.mp4", "x"), ("p/2.mp4", "y"), ("3.mp4", " "), ("4.mp4", "z"), ("4.mp4", "z")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = artifacts.archive_failures(
+        frame([(a,) for a in "abcde"], "archive string"), frame(members, "archive string, member string, problem string"), frame(labels, "video string, text string"), frame([("a", "2.mp4", True), ("d", "3.mp4", False)], "archive string, member string, ok boolean")
+    ).collect()
+    got = {r["archive"]: r["failures"] for r in found}
+    assert got == {"a": [], "b": ["duplicate names", "integrity"], "c": ["unreadable archive"], "d": ["duplicate labels", "empty labels", "failed probes", "unsafe members"], "e": ["no videos"]}
+
+
+def test_completion_asks_for_the_source(spark):
+    from sluice.plans import artifacts
+
+    record = '{"schema_version": "annotation.v1", "status": "%s", "config_fingerprint": "f", "sample_id": "s", "source": {"archive": "a", "member_crc32": 5}, "artifact": {"path": "p", "size_bytes": 3, "sha256": "' + "a" * 64 + '"}, "qc": {"reasons": [%s]}}'
+    sidecars = [("s", record % ("completed", ""), "a", "1", "1"), ("t", record % ("skipped", '"dark"'), "a", "1", "1"), ("u", record % ("skipped", ""), "a", "1", "1")]
+    files = [(k, "p", 3, 3, "a" * 64, "1", "1", True) for k in "stu"]
+    both = artifacts.paired(spark.createDataFrame(sidecars, "stem string, json string, archive string, before string, after string"), spark.createDataFrame(files, "stem string, path string, size long, read long, sha256 string, before string, after string, regular boolean"))
+    source = lambda crc: F.struct(F.lit(None).cast("long").alias("archive_size_bytes"), F.lit(None).cast("long").alias("member_size_bytes"), F.lit(crc).alias("member_crc32"), F.lit(None).cast("string").alias("archive_sha256"))
+    rows = {r["stem"]: r for r in both.select("stem", artifacts.is_complete("f").alias("a"), artifacts.is_complete("f", source(5)).alias("b"), artifacts.is_complete("f", source(6)).alias("c"), artifacts.terminal_state("f").alias("state"), artifacts.pair_failures("f").alias("codes")).collect()}
+    assert tuple(rows["s"])[1:5] == (True, True, False, "completed") and rows["s"]["codes"] == []
+    assert rows["t"]["state"] == "skipped" and rows["u"]["state"] is None and "sample_id_path_mismatch" in rows["t"]["codes"]
