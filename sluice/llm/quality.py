@@ -51,6 +51,8 @@ LOGIT = 30.0
 RIDGE = 0.01
 KEEP_FROM = 0.5
 SHAPES = 32
+#: Rows of a batch whose features are worked out before they go on.
+ROWS_AT_ONCE = 2_048
 HASHED = {"lang": 16, "source": 32, "host": 32}
 #: Powers of two from which a stated length counts once more.
 LENGTH_STEPS = tuple(range(4, 18, 2))
@@ -322,13 +324,19 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in SEEN])
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """A matrix's rows as lists of floats."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.astype(np.float32).ravel()))
+
+
 def featured(docs: DataFrame) -> DataFrame:
     """doc_id and both views of every row of ``docs``."""
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            views = [pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in _features(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *views], names=["doc_id", "words", "meta"])
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_lists, _features(part))], names=["doc_id", "words", "meta"])
 
     return _rows(docs).mapInArrow(see, "doc_id long, words array<float>, meta array<float>")
 
@@ -385,8 +393,10 @@ def kept(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = _scores(model, batch.num_rows, lambda b=batch: tuple(m.astype(np.float32).astype(float) for m in _features(b)))[2] >= KEEP_FROM
-            yield batch.filter(pa.array(marks))
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                marks = _scores(model, part.num_rows, lambda b=part: tuple(m.astype(np.float32).astype(float) for m in _features(b)))[2] >= KEEP_FROM
+                yield part.filter(pa.array(marks))
 
     # the rows' own columns are read, so that a text is moved once
     return docs.mapInArrow(keep, docs.schema)
