@@ -39,6 +39,8 @@ ROWS = 5
 #: Texts of a bucket that a task compares with each other or with as many more.
 BLOCK = 256
 SEED = 20_261
+#: Shingle hashes of a group that are put in order at a time, and columns of a product of membership.
+CODES_AT_ONCE, WIDTH = 500_000, 4_096
 #: Words whose hashes a Python worker keeps.
 WORDS_KEPT = 200_000
 
@@ -147,11 +149,18 @@ def _link_batch(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array(leads, pa.binary())], names=["key", "links", "lead"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches a few rows at a time, so that few of their values are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Consecutive rows with the same bucket and blocks."""
     held, at = [], None
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "left", "right", "block", "key", "copies", "bands", "shingles"))):
+    for part in _slices(batches):
+        for row in zip(*(part.column(c).to_pylist() for c in ("bucket", "left", "right", "block", "key", "copies", "bands", "shingles"))):
             if row[:3] != at:
                 if held:
                     yield *at, held
@@ -197,30 +206,34 @@ def _linked(bucket: int, left: int, right: int, rows: list[tuple], threshold: fl
 
 
 def _intersections(sets: list[np.ndarray], mine: np.ndarray) -> np.ndarray:
-    """Sizes of the pairwise intersections, where they are asked for."""
-    n = len(sets)
-    codes, owners = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    _, codes, counts = np.unique(codes, return_inverse=True, return_counts=True)
-    often = counts > 1
-    renumbered = np.cumsum(often) - 1
-    keep = often[codes]
-    codes, owners = renumbered[codes[keep]], owners[keep]
+    """Sizes of the pairwise intersections of sorted sets, a range of hashes at a time."""
+    n, total = len(sets), sum(map(len, sets))
     shared = np.zeros((n, n), np.float32)
-    order = np.argsort(codes, kind="stable")
-    codes, owners = codes[order], owners[order]
-    width = 4096
-    for start in range(0, int(often.sum()), width):
-        a, b = np.searchsorted(codes, [start, start + width])
-        member = np.zeros((n, width), np.float32)
-        member[owners[a:b], codes[a:b] - start] = 1
-        shared += member @ member.T
+    steps = max(1, math.ceil(total / CODES_AT_ONCE))
+    ends = [min((k + 1) * (2**64 // steps), 2**64 - 1) for k in range(steps - 1)]
+    cuts = [np.concatenate([[0], np.searchsorted(s, np.array(ends, np.uint64)), [len(s)]]).astype(np.int64) for s in sets]
+    for k in range(steps):
+        parts = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]
+        codes, owners = np.concatenate(parts), np.repeat(np.arange(n), [len(p) for p in parts])
+        order = np.argsort(codes, kind="stable")
+        codes, owners = codes[order], owners[order]
+        fresh = np.concatenate([[True], codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, bool)
+        run = np.cumsum(fresh) - 1
+        often = np.bincount(run, minlength=1) > 1
+        keep = often[run] if len(run) else np.zeros(0, bool)
+        places, owners = (np.cumsum(often) - 1)[run[keep]], owners[keep]
+        for start in range(0, int(often.sum()), WIDTH):
+            a, b = np.searchsorted(places, [start, start + WIDTH])
+            member = np.zeros((n, WIDTH), np.float32)
+            member[owners[a:b], places[a:b] - start] = 1
+            shared += member @ member.T
     return shared
 
 
 def _shingler(words: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingles(t.as_py() or "", hashes, words).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
