@@ -89,3 +89,32 @@ k AS (SELECT doc_id, t, w, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(
 p AS (SELECT *, array_to_string(w[1:least(x, y)], '') AS a, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS b, array_to_string(w[greatest(x, y) + 1:], '') AS c, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
+def _more(x: str, n: str, letter: str) -> str:
+    """A path's key (its cost in nine digits, then its letters) with one edit more."""
+    return f"lpad((left({x}, 9)::BIGINT + {n})::VARCHAR, 9, '0') || substr({x}, 10) || '{letter}'"
+
+
+_INSERTED = f"a, b, least(c, {', '.join(_more(x, '5', 'I') for x in 'abd')}) AS c, d"
+_INSERTED_TWICE = f"least(d, {_more('c', '5', 'I')})"
+_EDITED = f"""{_more('a', '2', 'D')}, least({_more('b', '2', 'D')}, CASE WHEN o = 's' AND f < 2 THEN {_more('a', '5 * f', 'K')} END),
+  least({_more('c', '2', 'D')}, CASE WHEN o = 'u' AND f < 2 THEN least({', '.join(_more(x, '5 * f', 'K') for x in 'abd')}) END, CASE WHEN f < 2 THEN least({', '.join(_more(x, '1 + 5 * f', 'R') for x in 'abd')}) END),
+  least({_more('d', '2', 'D')}, CASE WHEN o = 'a' AND f < 2 THEN {_more('c', '5 * f', 'K')} END, CASE WHEN f < 2 THEN {_more('c', '1 + 5 * f', 'R')} END)"""
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(key, '')])), lambda a, e: xor(xor(a, e) >> 1, (xor(a, e) & 1) * 3988292384)))"
+DIALOGUE = f"""
+WITH RECURSIVE t AS (SELECT conv_id, dense_rank() OVER (ORDER BY conv_id) AS v, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, {_CRC} % 20 AS harm FROM t),
+w AS (SELECT v, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS time FROM h WHERE harm <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY turn NULLS FIRST, role, sha256(text), time) AS i, left(role, 1) AS o, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM w),
+q AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY v, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(right(bare, 1), '[.!?]') THEN 'truncated' ELSE '' END AS fault, lag(o) OVER (PARTITION BY v ORDER BY i) AS p FROM n),
+x AS (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS f FROM q),
+r(v, i, a, b, c, d) AS (SELECT DISTINCT v, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM t UNION ALL
+  SELECT v, i, {_EDITED} FROM (SELECT v, i, o, f, a, b, c, {_INSERTED_TWICE} AS d FROM (SELECT x.v, x.i, x.o, x.f, {_INSERTED} FROM r JOIN x ON x.v = r.v AND x.i = r.i + 1))),
+z AS (SELECT v, least(a, {_INSERTED_TWICE}) AS path FROM (SELECT v, {_INSERTED} FROM (SELECT v, arg_max(a, i) AS a, nullif(arg_max(coalesce(b, '-'), i), '-') AS b, nullif(arg_max(coalesce(c, '-'), i), '-') AS c, nullif(arg_max(coalesce(d, '-'), i), '-') AS d FROM r GROUP BY v))),
+e AS (SELECT v, j, e, count(*) FILTER (e <> 'I') OVER g AS i, count(*) FILTER (e <> 'D') OVER g AS k FROM (SELECT v, unnest(string_split(substr(path, 10), '')) AS e, unnest(range(1, length(path) - 8)) AS j FROM z) WINDOW g AS (PARTITION BY v ORDER BY j)),
+m AS (SELECT e.v, e.k, e.e, CASE WHEN e.e <> 'I' THEN x.role END AS role, CASE WHEN e.e = 'I' THEN '' ELSE x.text END AS text, bool_or(e.e = 'K' AND e.k = 1 AND x.o = 's') OVER (PARTITION BY e.v) AS s FROM e LEFT JOIN x ON x.v = e.v AND x.i = e.i WHERE e.e <> 'D'),
+y AS (SELECT v, string_agg(CASE WHEN e = 'K' THEN role WHEN (k - s::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k) AS whole FROM m GROUP BY v),
+u AS (SELECT v, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (p IS NOT NULL AND p || o NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY v)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, left(path, 9)::BIGINT AS cost, substr(path, 10) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, v FROM t) LEFT JOIN u USING (v) LEFT JOIN y USING (v) JOIN z USING (v)"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bpe, infill, jaccard, licenses, mixing, oracles, pii, quality, topk, toxicity, urlfilter
+from sluice.llm import ann, bpe, dialogue, infill, jaccard, licenses, mixing, oracles, pii, quality, topk, toxicity, urlfilter
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -57,6 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.judged(_table(spark, sf_dir, "conversations"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ivf_pq": op8_ivf_pq,
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_dialogue_repair": op11_dialogue_repair,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -81,5 +86,6 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": oracles.URL_FILTER,
     "op6_pii": oracles.PII,
     "op9_license_scan": oracles.LICENSE_SCAN,
+    "op11_dialogue_repair": oracles.DIALOGUE,
     "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
