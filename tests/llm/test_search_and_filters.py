@@ -275,3 +275,32 @@ def test_anchors_drop_nothing():
         anchors = licenses.anchor_words(grams, licenses.THRESHOLD)
         left = [g for g in grams if not set(g.split()) & set(anchors)]
         assert 2 * len(left) / (len(left) + len(grams)) < licenses.THRESHOLD, name
+
+
+@pytest.mark.parametrize(("clusters", "spread", "n", "sample"), [(200, 1e-4, 2000, 32_768), (500, 0.02, 5000, 32_768), (500, 0.02, 5000, 1_000), (30, 0.3, 3000, 800)])
+def test_approximate_search_is_whole_on_clusters(spark, monkeypatch, clusters, spread, n, sample):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", sample)
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 24))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    x = (centres[rng.integers(0, clusters, n)] + spread * rng.normal(size=(n, 24))).astype(np.float32)
+    got = ann.searched(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), QUERY()).collect()
+    want = brute(x.astype(float))
+    assert len(got) == len(want) == 20 * (n // 20)
+    least = {q: s for q, r, _, s in want if r == 20}
+    assert np.mean([r["score"] >= least[r["query_id"]] - 1e-9 for r in got]) >= 0.9
+
+
+def test_floors_of_the_sample_drop_nothing():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 20))
+    index = ann.fitted(x[:1200], len(x))
+    lists = ann.nearest(x, index.centroids)
+    order = np.argsort(lists, kind="stable")
+    q, rows = x[:40], np.arange(40)
+    probed = index.probed(q, np.bincount(lists, minlength=len(index.centroids)), 101)
+    floors = ann.Floors.of(index, np.arange(1200), x[:1200])(index, rows, q, probed, 100)
+    every = index.scan(q, probed, ann._spans(lists[order]), index.codes(x, lists)[order])
+    every[rows[:, None] == order[None, :]] = -np.inf
+    best = -np.sort(-every, axis=1)[:, 99]
+    assert np.isfinite(floors).all() and (floors <= best).all()
