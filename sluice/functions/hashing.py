@@ -23,21 +23,31 @@ def stable_id(*parts: Column | str, length: int = 24) -> Column:
     return F.substring(digest(*parts), 1, length)
 
 
-def hex_modulo(hex_digits: Column, modulus: int) -> Column:
-    """A hexadecimal number of any length, modulo ``modulus`` (below 2^31), eight digits at a time."""
-    blocks = F.ceil(F.length(hex_digits) / 8).cast("int")
-    filled = F.lpad(hex_digits, blocks * 8, F.lit("0"))
-    value = lambda i: F.conv(F.substring(filled, i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, i: (a * (1 << 32) + value(i)) % modulus)
+#: Hex digits whose number fits into a long.
+BLOCK = 15
 
 
-def weighted_bucket(hex_digits: Column, weights: dict[str, int]) -> Column:
+def hex_modulo(hex_digits: Column, modulus: int, digits: int = 64) -> Column:
+    """A hexadecimal number of at most ``digits`` digits, modulo ``modulus`` (below 2^31).
+
+    A sum over blocks of digits, each times its place's power of 16: plain
+    arithmetic, so that code generation works out ``hex_digits`` once.
+    """
+    filled, out = F.lpad(hex_digits, digits, "0"), None
+    for end in range(digits, 0, -BLOCK):
+        begin = max(0, end - BLOCK)
+        block = F.conv(F.substring(filled, begin + 1, end - begin), 16, 10).cast("long")
+        term = block % modulus * pow(16, digits - end, modulus) % modulus
+        out = term if out is None else out + term
+    return out % modulus
+
+
+def weighted_bucket(hex_digits: Column, weights: dict[str, int], digits: int = 64) -> Column:
     """The bucket that a digest falls in, by integer weights, in the given order."""
-    total, upto, out = sum(weights.values()), 0, None
-    place = hex_modulo(hex_digits, total)
+    place, upto, out = hex_modulo(hex_digits, sum(weights.values()), digits), 0, F
     for name, weight in weights.items():
         upto += weight
-        out = F.when(place < upto, name) if out is None else out.when(place < upto, name)
+        out = out.when(place < upto, name)
     return out
 
 

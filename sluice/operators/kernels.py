@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,28 +65,94 @@ def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Hops between two looks at whether a spread has ended.
-HOPS = 4
+HOPS = 6
+#: Links, at most, that one task takes to finish what trimming and colouring leave.
+FEW_LINKS = 1 << 19
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """node and root of every node: the least of the nodes that it reaches and that reach it.
 
-    Each round colours the nodes that are left by the least node that reaches
-    them; a node of its own colour is the root of those of its colour that reach
-    it back. These are done. A round holds a row for each node and edge left,
-    never one for each pair of nodes.
+    Nodes that no link leads to, or from, are components of their own and are
+    trimmed until none is left. Then each node takes the least rank, a hash, of
+    those that reach it; a node of its own rank is the pivot of those of its
+    rank that reach it back, a component. A round holds a row for each node and
+    link left, never one for each pair of nodes. Once no more than ``few`` links
+    are left, a bound and not a share, one task finds their components.
     """
-    left, links, found = durable(nodes.distinct()), durable(edges.select("a", "b").distinct()), None
-    while not left.isEmpty():
-        colour = _spread(left.select("node", F.col("node").alias("mark")), links)
+    links, found = durable(edges.select("a", "b").where("a <> b").distinct()), []
+    while True:
+        links, n = _trimmed(links)
+        if n <= few:
+            break
+        colour = _spread(_ends(links).select("node", F.struct(F.xxhash64("node").alias("rank"), "node").alias("mark")), links)
         sides = links.join(colour.select(F.col("node").alias("a"), F.col("mark").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("mark").alias("cb")), "b")
         back = sides.where("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b"))
-        begin = colour.where("node = mark")
-        done = _reached(begin, durable(back))
-        found = done if found is None else durable(found.unionByName(done))
-        left = durable(left.join(done, "node", "left_anti"))
-        links = durable(links.join(left.select(F.col("node").alias("a")), "a", "left_semi").join(left.select(F.col("node").alias("b")), "b", "left_semi"))
-    return (nodes.select("node", F.col("node").alias("mark")).limit(0) if found is None else found).select("node", F.col("mark").alias("root"))
+        found.append(_reached(colour.where("node = mark.node").select("node", F.col("mark.node").alias("mark")), durable(back)))
+        done = found[-1].select("node")
+        links = durable(links.join(done.withColumnRenamed("node", "a"), "a", "left_anti").join(done.withColumnRenamed("node", "b"), "b", "left_anti"))
+    if n:
+        kind = edges.schema["a"].dataType.simpleString()
+        found.append(durable(links.coalesce(1).groupBy().applyInPandas(_components, f"node {kind}, mark {kind}")))
+    marks = nodes.select("node").distinct()
+    if not found:
+        return marks.select("node", F.col("node").alias("root"))
+    every = found[0]
+    for some in found[1:]:
+        every = every.unionByName(some)
+    least = every.groupBy("mark").agg(F.min("node").alias("root"))
+    rooted = every.join(least, "mark").select("node", "root")
+    return marks.join(rooted, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _trimmed(links: DataFrame) -> tuple[DataFrame, int]:
+    """The links between nodes that lie between others, and their number."""
+    n = links.count()
+    while n:
+        for _ in range(HOPS // 2):
+            links = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(links.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        links = durable(links)
+        left = links.count()
+        # a long tail that a few hops hardly shorten is left to the next steps
+        if left == n or n - left < n // 100:
+            return links, left
+        n = left
+    return links, n
+
+
+def _components(links: pd.DataFrame) -> pd.DataFrame:
+    """node and mark (a node of its component) of a bounded number of links: depth-first, without recursion."""
+    names, flat = np.unique(np.concatenate([links["a"], links["b"]]), return_inverse=True)
+    a, b = flat[: len(links)], flat[len(links) :]
+    order = np.argsort(a, kind="stable")
+    heads, starts = b[order].tolist(), np.searchsorted(a[order], np.arange(len(names) + 1)).tolist()
+    at = list(starts[:-1])
+    seen, low, mark, path, clock = [0] * len(names), [0] * len(names), [-1] * len(names), [], 0
+    for first in range(len(names)):
+        todo = [] if seen[first] else [first]
+        while todo:
+            v = todo[-1]
+            if not seen[v]:
+                clock += 1
+                seen[v] = low[v] = clock
+                path.append(v)
+            while at[v] < starts[v + 1] and seen[heads[at[v]]]:
+                w = heads[at[v]]
+                if mark[w] < 0:
+                    low[v] = min(low[v], low[w])
+                at[v] += 1
+            if at[v] < starts[v + 1]:
+                todo.append(heads[at[v]])
+                continue
+            todo.pop()
+            if low[v] == seen[v]:
+                while mark[v] < 0:
+                    mark[path.pop()] = v
+    return pd.DataFrame({"node": names, "mark": names[mark]})
 
 
 def _spread(marks: DataFrame, links: DataFrame) -> DataFrame:
