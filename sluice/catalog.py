@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from sluice.operators import contracts, gates, kernels, profiles, reconcile, records, scans, scores, sentences, series, splits, streams, summaries  # noqa: F401
+from sluice.operators import contracts, files, gates, kernels, profiles, reconcile, records, scans, scores, sentences, series, splits, streams, summaries  # noqa: F401

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +29,19 @@ def durable(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared checkpoint folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own in the shared one, removed at the end: what is read from it later must be durable by then."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        removed(spark, folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
