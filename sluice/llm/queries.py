@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import ann, bpe, dialogue, infill, jaccard, licenses, mixing, oracles, pii, quality, topk, toxicity, urlfilter
+from sluice.llm import ann, bpe, dialogue, infill, jaccard, licenses, mixing, oracles, pii, quality, topk, toxicity, urlfilter, warc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -61,6 +61,10 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.judged(_table(spark, sf_dir, "conversations"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_dialogue_repair": op11_dialogue_repair,
+    "op12_warc": op12_warc,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -87,5 +92,6 @@ ORACLES: dict[str, str] = {
     "op6_pii": oracles.PII,
     "op9_license_scan": oracles.LICENSE_SCAN,
     "op11_dialogue_repair": oracles.DIALOGUE,
+    "op12_warc": oracles.WARC,
     "op13_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }
