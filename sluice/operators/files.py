@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.text import code_points
 from sluice.operators.registry import query, table
 from sluice.plans.lineage import durable, scratch
-from sluice.sources import archives, arrays, files
+from sluice.sources import archives, arrays, manifests
 
 
 def _archived(spark: SparkSession, sf_dir: str, folder: str) -> None:
@@ -48,5 +49,20 @@ def array_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = rows.select(F.concat(F.lit("block-"), "block", F.lit(".npz")).alias("path"), F.col("v.embedding").alias("vectors"), F.col("v.vec_id").alias("vec_ids"))
     with scratch(spark, "arrays") as folder:
         arrays.written(named, folder, {"vectors": "<f4", "vec_ids": "<i8"})
-        found = files.arrays(spark, folder).withColumn("file", F.regexp_extract("path", "([^/]+)$", 1))
+        found = arrays.scanned(spark, folder).withColumn("file", F.regexp_extract("path", "([^/]+)$", 1))
         return durable(found.select("file", "name", "dtype", "shape", "finite", "problem"))
+
+
+@query("""
+SELECT doc_id::VARCHAR AS name, text AS caption, length(text) AS characters, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN lang || ',' || source WHEN doc_id % 3 = 1 THEN lang ELSE '' END AS glosses,
+  array_to_string(list_filter([CASE WHEN text = '' THEN 'label_char' END, CASE WHEN doc_id % 7 = 0 THEN 'label_gloss' END], lambda p: p IS NOT NULL), ',') AS problems FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL""")
+def annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of characters and glosses, as texts and objects, written as JSON lines and read with their faults."""
+    doc, source = F.col("doc_id"), F.to_json(F.array("source"))
+    both = F.concat(F.lit("["), F.to_json(F.struct(F.col("lang").alias("gloss"))), F.lit(","), F.substring(source, F.lit(2), F.length(source) - 1))
+    gloss = F.when(doc % 7 == 0, F.lit("[7]")).when(doc % 3 == 0, both).when(doc % 3 == 1, F.to_json(F.array("lang"))).otherwise(F.lit("null"))
+    rows = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null").select(doc.cast("string").alias("name"), code_points(F.col("text")).alias("label_char"), F.parse_json(gloss).alias("label_gloss"))
+    with scratch(spark, "annotations") as folder:
+        manifests.annotations_written(rows, folder)
+        found = manifests.annotation_records(manifests.json_lines(spark, folder))
+        return durable(found.select("name", "caption", F.size("label_char").cast("long").alias("characters"), F.array_join("label_gloss", ",").alias("glosses"), F.array_join("problems", ",").alias("problems")))

@@ -122,5 +122,10 @@ def stacked(rows: DataFrame, keys: list[str], frame: str, values: str) -> DataFr
     return placed.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f["v"]).alias("frames"))
 
 
+def unstacked(rows: DataFrame, keys: list[str], frames: str, frame: str = "frame", values: str = "values") -> DataFrame:
+    """A row for each frame of a sequence, numbered from 0: what :func:`stacked` puts together; an empty sequence has none."""
+    return rows.select(*keys, F.posexplode(frames).alias(frame, values))
+
+
 def _shape(values: Column) -> Column:
     return F.when(values.isNotNull(), F.size(values))

@@ -127,6 +127,40 @@ def label_problems(labels: DataFrame) -> DataFrame:
     return blank.unionByName(mute).unionByName(repeated(labels, "key").select("key", F.lit("repeated").alias("problem")))
 
 
+#: The annotation record's version and fields.
+ANNOTATION_VERSION = "annotation_lines.v1"
+ANNOTATION_FIELDS = ("schema_version", "name", "caption", "label_char", "label_gloss")
+
+
+def annotation_records(lines: DataFrame) -> DataFrame:
+    """name, caption, label_char, label_gloss and problems (sorted names) of annotations as JSON lines.
+
+    A line is parsed once, to a VARIANT. The caption is the joined characters;
+    a gloss is a text or an object that has one; none at all is an empty list.
+    """
+    of = lines.select(F.try_parse_json("line").alias("v")).select("v", *[F.try_variant_get("v", f"$.{name}", "variant").alias(name) for name in ("name", "label_char", "label_gloss")])
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    text = lambda v: F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    glosses = F.transform(F.try_variant_get("label_gloss", "$", "array<variant>"), lambda x: F.coalesce(text(x), text(F.try_variant_get(x, "$.gloss", "variant"))))
+    characters = F.transform(F.try_variant_get("label_char", "$", "array<variant>"), text)
+    parsed = of.select(text(F.col("name")).alias("name"), characters.alias("label_char"), F.when(kind(F.col("label_gloss")) == "VOID", F.array().cast("array<string>")).otherwise(glosses).alias("label_gloss"), kind(F.col("v")).startswith("OBJECT").alias("_object"))
+    blank = lambda c: F.length(F.trim(c)) == 0
+    problems = _named({
+        "not an object": ~F.col("_object"),
+        "name": blank(F.col("name")),
+        "label_char": (F.size("label_char") == 0) | F.exists("label_char", lambda c: c.isNull()),
+        "label_gloss": F.col("label_gloss").isNull() | F.exists("label_gloss", lambda g: g.isNull() | blank(g)),
+    })
+    return parsed.select("name", F.array_join("label_char", "").alias("caption"), "label_char", "label_gloss", problems.alias("problems"))
+
+
+def annotations_written(rows: DataFrame, target: str) -> None:
+    """Writes rows of name, label_char and label_gloss (texts or a VARIANT) as JSON lines, by name; a target that exists fails."""
+    record = {"schema_version": F.lit(ANNOTATION_VERSION), "name": F.col("name"), "caption": F.array_join("label_char", ""), "label_char": F.col("label_char"), "label_gloss": F.col("label_gloss")}
+    ordered = rows.repartitionByRange("name").sortWithinPartitions("name")
+    ordered.select(F.to_json(F.struct(*[record[f].alias(f) for f in sorted(ANNOTATION_FIELDS)])).alias("value")).write.text(target)
+
+
 def checksum_list(spark: SparkSession, path: str) -> DataFrame:
     """sha256 and path of the lines of a checksum list ("<hex>  <path>" or "<hex> *<path>")."""
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)

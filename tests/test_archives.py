@@ -179,3 +179,41 @@ def test_paths_and_schemes():
         store, path = storage.opened(uri)
         assert path == "/a/b" and store.type_name == "local"
     assert arrays.shaped(pa.scalar([[[1, 2]], [[3, 4]]])).shape == (2, 1, 2)
+
+
+def test_arrays_are_looked_at_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "PIECE", 64)
+    np.save(tmp_path / "a.npy", np.arange(100))
+    np.save(tmp_path / "b.npy", np.r_[np.arange(99), 7])
+    np.savez_compressed(tmp_path / "c.npz", x=np.ones((40, 3), np.float32), y=np.full((9,), np.nan), z=np.array("text"), e=np.zeros((0, 4)))
+    np.save(tmp_path / "d.npy", np.array([{"a": 1}], dtype=object), allow_pickle=True)
+    (tmp_path / "e.npy").write_bytes((tmp_path / "a.npy").read_bytes()[:-8])
+    (tmp_path / "f.npz").write_bytes(b"none")
+    reader = arrays.ArrayReader({"path": str(tmp_path)})
+    found = {(r[0].rsplit("/", 1)[1], r[1]): r[2:] for p in reader.partitions() for r in reader.read(p)}
+    assert found["a.npy", ""] == ("int64", [100], True, True, None) and found["b.npy", ""] == ("int64", [100], True, False, None)
+    assert found["c.npz", "x"] == ("float32", [40, 3], True, None, None) and found["c.npz", "y"][2] is False and found["c.npz", "z"][1:4] == ([], None, None) and found["c.npz", "e"] == ("float64", [0, 4], True, None, None)
+    assert found["d.npy", None][-1] == "ValueError" and found["e.npy", None][-1] == "EOFError" and found["f.npz", None][-1] == "BadZipFile"
+    assert arrays.scanned(spark, str(tmp_path)).count() == len(found)
+
+
+def test_annotations_and_their_faults(spark, tmp_path):
+    from sluice.sources import manifests
+
+    lines = {
+        '{"name":"a","label_char":["x","\u00e9"],"label_gloss":[{"gloss":"g"},"h"],"more":1}': ("x\u00e9", ["g", "h"], []), '{"name":"b","label_char":["x"],"label_gloss":null}': ("x", [], []), '{"name":"c","label_char":["x"]}': ("x", [], []),
+        '{"name":5,"label_char":"xy","label_gloss":"g"}': (None, None, ["name", "label_char", "label_gloss"]), '{"name":" ","label_char":[],"label_gloss":[" "]}': ("", [" "], ["name", "label_char", "label_gloss"]),
+        '{"name":"d","label_char":["x",1],"label_gloss":[{"other":"g"}]}': ("x", [None], ["label_char", "label_gloss"]), "[1]": (None, [], ["not an object", "name", "label_char"]), "no json": (None, [], ["not an object", "name", "label_char"]),
+    }
+    for line, want in lines.items():
+        got = manifests.annotation_records(spark.createDataFrame([(line,)], "line string")).first()
+        assert (got["caption"], got["label_gloss"], got["problems"]) == want, line
+
+
+def test_frames_of_sequences_and_back(spark):
+    from sluice.operators.summaries import stacked, unstacked
+
+    rows = spark.createDataFrame([("a", [[1.0, 2.0], [3.0, 4.0]]), ("b", [])], "id string, frames array<array<double>>")
+    apart = unstacked(rows, ["id"], "frames")
+    assert sorted(tuple(r) for r in apart.collect()) == [("a", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0])]
+    assert [tuple(r) for r in stacked(apart, ["id"], "frame", "values").collect()] == [("a", [[1.0, 2.0], [3.0, 4.0]])]
