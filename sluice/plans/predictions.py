@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.plans import merkle
 from sluice.plans.ordinal import with_ordinal
 
 KEY = "sample_id"
 
 
 def receipts(shards: DataFrame) -> DataFrame:
-    """rank, rows and two order-free digests of each rank's rows."""
-    content = [F.col(c) for c in sorted(shards.columns) if c != "rank"]
-    sums = [F.sum(F.xxhash64(F.lit(seed), *content).cast("decimal(38,0)")).alias(f"digest_{seed}") for seed in (1, 2)]
-    return shards.groupBy("rank").agg(F.count("*").alias("rows"), *sums)
+    """rank, rows and the digest of each rank's rows in the order of their keys."""
+    return merkle.rooted(shards, [KEY], [c for c in shards.columns if c != "rank"], ["rank"])
 
 
 def written(shards: DataFrame, folder: str) -> None:
@@ -29,7 +28,7 @@ def problems(shards: DataFrame, told: DataFrame, expected: DataFrame | None, ran
     say = lambda df, problem, detail: df.select(F.lit(problem).alias("problem"), detail.cast("string").alias("detail"))
     every, found = spark.range(ranks).select(F.col("id").cast("int").alias("rank")), receipts(shards)
     there = told.select(F.col("rank").cast("int").alias("rank"))
-    same = ["rank", "rows", "digest_1", "digest_2"]
+    same = ["rank", "rows", "digest"]
     checks = [
         say(every.join(there, "rank", "left_anti"), "missing rank", F.col("rank")),
         say(there.join(every, "rank", "left_anti"), "unknown rank", F.col("rank")),

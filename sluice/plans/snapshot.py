@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.plans import merkle
 from sluice.plans.lineage import durable
 from sluice.sources.files import inventory
 
@@ -48,9 +51,8 @@ def receipt(spark: SparkSession, path: str, source_id: str, folder: str) -> str:
     hashed = durable(inventory(spark, path))
     if not (same_inventory(before, hashed) and same_inventory(hashed, inventory(spark, path, digest=False))):
         raise ValueError(f"{path} changed while it was read")
-    # digests of paths are added up, so no task holds the whole list
-    sums = hashed.agg(*[F.sum(F.xxhash64(F.lit(seed), "path", "size", "sha256").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)], F.count("*").alias("n"))
-    name = sums.select(F.sha2(F.concat_ws(":", F.lit(source_id), "n", "h1", "h2"), 256).alias("id")).first()["id"]
+    root = merkle.rooted(hashed, ["path"], ["path", "size", "sha256"]).first()
+    name = hashlib.sha256(f"{source_id}\n{root['rows']}\n{root['digest']}".encode()).hexdigest()
     hashed.write.parquet(f"{folder}/{name}")
     return name
 

@@ -20,7 +20,13 @@ def test_a_delivery_is_looked_up_by_its_index(spark, tmp_path):
     assert delivery.problems(spark, made, rows, "sample_id").count() == 0
     keys = spark.createDataFrame([("0003",), ("0005",), ("none",)], "sample_id string")
     found = delivery.lookup(spark, made, keys, "sample_id")
-    assert {(r["sample_id"], r["value"], r["split"]) for r in found.collect()} == {("0003", 3.0, "train"), ("0005", 5.0, "test")}
+    want = {("0003", 3.0, "train"), ("0005", 5.0, "test")}
+    assert {(r["sample_id"], r["value"], r["split"]) for r in found.collect()} == want
+    # two of the five files are read
+    assert sum("/data/" in f for f in found.inputFiles()) == 2 and len(spark.read.parquet(made.data).inputFiles()) == 5
+    many = delivery.lookup(spark, made, keys, "sample_id", few=2)
+    assert {(r["sample_id"], r["value"], r["split"]) for r in many.collect()} == want and many.columns == found.columns
+    assert delivery.lookup(spark, made, keys.where("sample_id = 'none'"), "sample_id").count() == 0
 
 
 def test_what_breaks_a_delivery_shows(spark, tmp_path):
@@ -31,10 +37,47 @@ def test_what_breaks_a_delivery_shows(spark, tmp_path):
     moved.repartition(1).write.mode("append").partitionBy("split", "chunk", "part").parquet(made.data)
     checks = {r["check"] for r in delivery.problems(spark, made, rows, "sample_id").collect()}
     assert {"unexpected", "not in the index", "inventory", "layout", "row order", "key order"} <= checks
+    assert {"missing"} == {r["check"] for r in delivery.problems(spark, delivery.staged(rows.where("value <> 7"), "sample_id", f"{tmp_path}/e", rows_per_part=8, parts_per_chunk=2), rows, "sample_id").collect()}
     narrower = rows.withColumn("value", F.col("value").cast("float"))
     assert "schema" in {r["check"] for r in delivery.problems(spark, made, narrower, "sample_id").collect()}
 
 
+def test_payloads_files_and_moved_rows_show(spark, tmp_path):
+    rows, made = staged(spark, f"{tmp_path}/d")
+    assert delivery.problems(spark, made, rows, "sample_id", {"negative": F.col("value") < 0}, files=True).count() == 0
+    bad = delivery.problems(spark, made, rows, "sample_id", {"high": F.col("value") > 30}).collect()
+    assert {(r["check"], r["detail"]) for r in bad} == {("high", "test/0/0"), ("high", "train/1/3")}
+    told = spark.read.parquet(made.inventory)
+    assert told.where("row_groups = 1 and length(file_sha256) = 64").count() == told.count()
+    # the same rows written anew, another value in one of them: only digests of files tell
+    part = spark.read.parquet(made.data).where("split = 'train' and part = 1").withColumn("value", F.col("value") + (F.col("row_index") == 3).cast("double")).cache()
+    part.count()
+    part.repartition(1).sortWithinPartitions("row_index").drop("split", "chunk", "part").write.mode("overwrite").parquet(f"{made.data}/split=train/chunk=0/part=1")
+    assert delivery.problems(spark, made, rows, "sample_id").count() == 0
+    assert {r["check"] for r in delivery.problems(spark, made, rows, "sample_id", files=True).collect()} == {"file digest"}
+    # two rows change places
+    swapped = spark.read.parquet(made.data).where("split = 'train' and part = 1").withColumn("row_index", F.when(F.col("row_index") < 2, 1 - F.col("row_index")).otherwise(F.col("row_index"))).cache()
+    swapped.count()
+    swapped.repartition(1).drop("split", "chunk", "part").write.mode("overwrite").parquet(f"{made.data}/split=train/chunk=0/part=1")
+    assert {"not in the index", "only in the index", "inventory"} <= {r["check"] for r in delivery.problems(spark, made, rows, "sample_id").collect()}
+
+
+def test_trees_of_digests_tell_order_and_bytes(spark):
+    from sluice.plans import merkle
+
+    rows = spark.range(50).selectExpr("id as k", "cast(id % 7 as string) as v", "id % 2 as g")
+    root = lambda df, **more: [tuple(r) for r in merkle.rooted(df, ["k"], ["k", "v"], fan=4, **more).collect()]
+    n, first = root(rows)[0]
+    assert n == 50 and root(rows.repartition(7)) == [(n, first)]
+    assert root(rows.withColumn("v", F.when(F.col("k") == 31, "x").otherwise(F.col("v")))) != [(n, first)]
+    swapped = rows.withColumn("k", F.when(F.col("k") == 3, 4).when(F.col("k") == 4, 3).otherwise(F.col("k")))
+    assert root(swapped) != [(n, first)] and root(rows.where("k < 49")) != [(n, first)]
+    assert root(rows.withColumn("v", F.lit(None).cast("string"))) != root(rows.withColumn("v", F.lit("")))
+    by = {r[0]: r[1:] for r in root(rows, within=["g"])}
+    assert by[0] == root(rows.where("g = 0"))[0] and by[1][0] == 25
+    assert root(rows.limit(0))[0][0] == 0 and root(rows.limit(1))[0][0] == 1
+
+
 def test_checksum_lists_cover_all_files(spark, tmp_path):
     _, made = staged(spark, f"{tmp_path}/d")
     listed = f"{tmp_path}/sums"
