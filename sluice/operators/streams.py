@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
-from sluice.plans.lineage import shared_dir
-from sluice.streaming import incremental
+from sluice.plans.lineage import durable, removed, scratch, shared_dir
+from sluice.sources import arrays
+from sluice.streaming import changes, incremental
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -70,3 +71,22 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     by = events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
     return by.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+@query("""
+WITH b AS (SELECT DISTINCT vec_id // 64 AS b FROM embeddings), v AS (SELECT b, unnest(CASE b % 4 WHEN 0 THEN ['1new'] WHEN 1 THEN ['1new', '2changed'] WHEN 2 THEN ['1new', '2gone'] ELSE ['2new'] END) AS v FROM b)
+SELECT b || '.npy' AS path, v[1]::BIGINT AS version, v[2:] AS change, CASE WHEN v[2:] = 'gone' THEN NULL WHEN b % 4 = 1 THEN CASE v[1] WHEN '1' THEN 'quarantined' ELSE 'current' END ELSE 'current' END AS state FROM v""")
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of vectors that come, change and go between two looks, with the state of each content."""
+    rows = table(spark, sf_dir, "embeddings").groupBy(F.floor(F.col("vec_id") / 64).alias("b")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    named = durable(rows.select("b", F.concat("b", F.lit(".npy")).alias("path"), F.col("v.embedding").alias("vectors")))
+    with scratch(spark, "changes") as folder:
+        arrays.written(named.where("b % 4 < 3").drop("b"), f"{folder}/in")
+        changes.arrivals(spark, f"{folder}/in", f"{folder}/state")
+        for r in named.where("b % 4 in (1, 2)").select("path").toLocalIterator():
+            removed(spark, f"{folder}/in/{r['path']}")
+        # one component more in each, so that sizes differ
+        longer = named.where("b % 4 = 1").select("path", F.transform("vectors", lambda v: F.concat(v, F.array(F.lit(0.0).cast("float")))).alias("vectors"))
+        arrays.written(longer.unionByName(named.where("b % 4 = 3").select("path", "vectors")), f"{folder}/in")
+        found = durable(changes.arrivals(spark, f"{folder}/in", f"{folder}/state"))
+        return durable(found.join(changes.variants(found).select("path", "sha256", "state"), ["path", "sha256"], "left").select("path", "version", "change", "state"))

@@ -240,13 +240,13 @@ class InventoryReader(DataSourceReader):
         for file in partition.files:
             problem, digest = file.problem, None
             if self.digest and not problem:
-                digest, problem = _digested(file.uri, file.size, file.mtime)
+                digest, problem = digested(file.uri, file.size, file.mtime)
             rows.append((file.path, file.size, file.mtime, digest, problem))
         if rows:
             yield _batch(rows, _arrow(_INVENTORY))
 
 
-def _digested(uri: str, size: int, mtime: int) -> tuple[str | None, str | None]:
+def digested(uri: str, size: int, mtime: int) -> tuple[str | None, str | None]:
     """A file's digest, unless its size or time differ from those listed once it is read."""
     digest = hashlib.sha256()
     try:

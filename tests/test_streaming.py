@@ -1,5 +1,6 @@
 """Streams: resume, dead letters, leases."""
 
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -60,3 +61,48 @@ def test_leases_expire(spark, tmp_path):
     found = incremental.numbered(incremental.leased(stream), "update", str(tmp_path / "o"), str(tmp_path / "s"))
     got = {r["item"]: (r["holder"], r["grants"], r["denials"]) for r in found.select("item", F.col("holder"), "grants", "denials").collect()}
     assert got == {1: ("b", 2, 2), 2: ("", 1, 0)}
+
+
+def test_changed_files_come_again(spark, tmp_path):
+    from sluice.streaming import changes
+
+    (tmp_path / "in").mkdir()
+    write = lambda name, text: (tmp_path / "in" / name).write_text(text)
+    look = lambda: sorted((r["version"], r["path"], r["change"], r["problem"]) for r in changes.arrivals(spark, str(tmp_path / "in"), str(tmp_path / "state")).collect())
+    assert look() == []
+    write("a", "one")
+    write("b", "one")
+    first = [(1, "a", "new", None), (1, "b", "new", None)]
+    assert look() == first
+    assert look() == first  # nothing differs, nothing comes
+    write("a", "second")
+    (tmp_path / "in" / "b").unlink()
+    write("c", "one")
+    os.symlink(tmp_path / "in" / "c", tmp_path / "in" / "link")
+    second = [(2, "a", "changed", None), (2, "b", "gone", None), (2, "c", "new", None)]
+    assert look() == first + second
+    write("a", "one")
+    found = changes.arrivals(spark, str(tmp_path / "in"), str(tmp_path / "state"))
+    told = {(r["path"], r["variant"].split("_")[0], r["state"], r["arrivals"]) for r in changes.variants(found).collect()}
+    # the first content came back: it is the same variant, and current again
+    assert told == {("a", "canonical", "current", 2), ("a", "source", "quarantined", 1), ("b", "canonical", "current", 1), ("c", "canonical", "current", 1)}
+
+
+def test_a_batch_that_is_run_again_reads_the_same_changes(tmp_path):
+    from sluice.streaming import changes
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("one")
+    options = {"path": str(tmp_path / "in"), "statedir": str(tmp_path / "seen"), "taskbytes": "4"}
+    reader = changes.ChangesReader(options)
+    assert reader.latestOffset() == {"version": 1} == reader.latestOffset()
+    (tmp_path / "in" / "b").write_text("four")
+    (tmp_path / "in" / "a").write_text("three")
+    # a new reader, as after a restart, finds what was seen
+    again = changes.ChangesReader(options)
+    assert again.latestOffset() == {"version": 2}
+    rows = lambda a, b: [r[:2] + r[5:] for p in again.partitions({"version": a}, {"version": b}) for r in again.read(p)]
+    again.commit({"version": 2})
+    assert rows(0, 1) == [("a", "new", "changed", 1)]  # its content of then is gone
+    assert rows(1, 2) == [("a", "changed", None, 2), ("b", "new", None, 2)] == rows(1, 2) and len(again.partitions({"version": 1}, {"version": 2})) == 2
+    assert sorted(p.name for p in (tmp_path / "seen").iterdir()) == ["changes-1", "changes-2", "seen-2"]
