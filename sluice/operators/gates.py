@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
+from sluice.plans import quantile
 from sluice.plans.ordinal import with_ordinal
 
 
@@ -65,10 +66,10 @@ WITH q AS (SELECT user_id, avg((value BETWEEN 0 AND 80)::INT::DOUBLE) AS in_boun
 SELECT user_id, round(in_bounds, 6) AS in_bounds, round(valid, 6) AS valid, round(p99, 6) AS p99, CASE WHEN valid < 0.5 OR low < -0.05 THEN 'failed' WHEN in_bounds < 0.8 OR p99 > 100 THEN 'warning' ELSE 'passed' END AS verdict FROM q""")
 def qc_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds on a sequence's shares and quantiles."""
-    # like values become one first, so a group holds its different values and not its rows
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "value", (F.col("event_type") != "error").alias("valid")).agg(F.count("*").alias("n"))
-    share = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum(F.when(c.isNotNull(), F.col("n")))
-    found = counts.groupBy("user_id").agg(share(F.col("value").between(0, 80)).alias("in_bounds"), share(F.col("valid")).alias("valid"), F.percentile("value", 0.99, F.col("n")).alias("p99"), F.min("value").alias("low"))
+    events = table(spark, sf_dir, "events").select("user_id", "value", (F.col("event_type") != "error").alias("valid"))
+    share = lambda c: F.avg(c.cast("int"))
+    facts = events.groupBy("user_id").agg(share(F.col("value").between(0, 80)).alias("in_bounds"), share(F.col("valid")).alias("valid"), F.min("value").alias("low"))
+    found = facts.join(quantile.grouped(events, ["user_id"], "value", {"p99": 0.99}), "user_id", "left")
     verdict = F.when((F.col("valid") < 0.5) | (F.col("low") < -0.05), "failed").when((F.col("in_bounds") < 0.8) | (F.col("p99") > 100), "warning").otherwise("passed")
     return found.select("user_id", *[F.round(c, 6).alias(c) for c in ("in_bounds", "valid", "p99")], verdict.alias("verdict"))
 

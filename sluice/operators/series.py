@@ -8,11 +8,12 @@ import operator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
 from sluice.plans.lineage import durable
+from sluice.plans.ordinal import with_ordinal
+from sluice.plans.segments import CHUNK, carried, with_halo
 
 RATE = 10.0
 #: Keeps values that lie between two roundings on one side.
@@ -24,31 +25,33 @@ GAUSS = [w / sum(GAUSS) for w in GAUSS]
 _FRAMES = "SELECT user_id, event_id, ts, value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events"
 
 
-def _by_user() -> WindowSpec:
-    return W.partitionBy("user_id").orderBy("frame")
-
-
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as frames of their user's sequence."""
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type", (F.row_number().over(order) - 1).cast("long").alias("frame"))
+    """Events as frames of their user's sequence, which may be as long as all others together."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value", "event_type")
+    return with_ordinal(events, ["ts", "event_id"], ["user_id"], "frame")
 
 
 @query(f"WITH f AS ({_FRAMES}), v AS (SELECT user_id, frame, (lead(value) OVER (PARTITION BY user_id ORDER BY frame) - value) * 10 AS v FROM f) SELECT user_id, frame, round(v, 6) AS velocity FROM v WHERE v IS NOT NULL")
 def velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next frame's difference times the rate; the last frame has none."""
-    v = (F.lead("value").over(_by_user()) - F.col("value")) * RATE
-    return frames(spark, sf_dir).select("user_id", "frame", F.round(v, 6).alias("velocity")).where("velocity is not null")
+    rows, near = with_halo(frames(spark, sf_dir), ["user_id"], "frame", 0, 1)
+    v = (F.lead("value").over(near) - F.col("value")) * RATE
+    return rows.select("user_id", "frame", "_own", F.round(v, 6).alias("velocity")).where("_own and velocity is not null").drop("_own")
 
 
 @query(f"WITH f AS ({_FRAMES}), d AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY frame)) AS d FROM f) SELECT round(quantile_cont(d, 0.99), 6) AS p99, round(max(d), 6) AS most, count(d) AS n FROM d")
 def motion_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame-to-frame motion, pooled over all sequences."""
-    moved = frames(spark, sf_dir).select(F.abs(F.col("value") - F.lag("value").over(_by_user())).alias("d"))
-    marks = quantiles(moved.where("d is not null"), "d", {"p99": 0.99, "most": 1.0})
+    marks = quantiles(motion(spark, sf_dir), "d", {"p99": 0.99, "most": 1.0})
     return marks.select(F.round("p99", 6).alias("p99"), F.round("most", 6).alias("most"), "n")
 
 
+def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id and d: how far each frame's value is from the one before it."""
+    rows, near = with_halo(frames(spark, sf_dir), ["user_id"], "frame", 1, 0)
+    return rows.select("user_id", "_own", F.abs(F.col("value") - F.lag("value").over(near)).alias("d")).where("_own and d is not null").drop("_own")
+
+
 def quantiles(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """n, and by name the exact quantiles (on the line between neighbours) of a column without nulls.
 
@@ -88,14 +91,13 @@ def gaps_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled(seen, ["user_id"], "frame", "x").select("user_id", "frame", F.round("x", 6).alias("value"), "imputed")
 
 
-def filled(df: DataFrame, keys: list[str], frame: str, value: str) -> DataFrame:
-    """``df`` with the gaps of ``value`` filled, and which were."""
-    before = W.partitionBy(*keys).orderBy(frame).rowsBetween(W.unboundedPreceding, 0)
-    after = W.partitionBy(*keys).orderBy(frame).rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col(frame))
-    known = df.select("*", F.last(value, True).over(before).alias("_x0"), F.last(at, True).over(before).alias("_t0"), F.first(value, True).over(after).alias("_x1"), F.first(at, True).over(after).alias("_t1"))
-    line = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * F.try_divide(F.col(frame) - F.col("_t0"), F.col("_t1") - F.col("_t0"))
-    new = F.coalesce(F.col(value), line, F.col("_x0"), F.col("_x1"), F.lit(0.0))
+def filled(df: DataFrame, keys: list[str], frame: str, value: str, chunk: int = CHUNK) -> DataFrame:
+    """``df`` with the gaps of ``value`` filled, and which were; frames are numbered without gaps."""
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("x"), F.col(frame).alias("t")))
+    known = carried(df, keys, frame, seen, "_last", "_first", chunk)
+    (x0, t0), (x1, t1) = [(F.col(f"{c}.x"), F.col(f"{c}.t")) for c in ("_last", "_first")]
+    line = x0 + (x1 - x0) * F.try_divide(F.col(frame) - t0, t1 - t0)
+    new = F.coalesce(F.col(value), line, x0, x1, F.lit(0.0))
     return known.select(*[c for c in df.columns if c != value], new.alias(value), F.col(value).isNull().alias("imputed"))
 
 
@@ -118,11 +120,11 @@ def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.join(sizes, "user_id")
     # a frame and its mirror image come back every 2n frames; where they fall on the four before and after counts
     images = F.flatten(F.transform(F.sequence(F.lit(-4), F.lit(4)), lambda j: F.array(F.col("frame") + 2 * F.col("n") * j, 2 * F.col("n") * (j + 1) - 1 - F.col("frame"))))
-    padded = rows.select("user_id", "n", "value", F.explode(F.filter(images, lambda p: (p >= -4) & (p < F.col("n") + 4))).alias("frame"))
-    near = W.partitionBy("user_id").orderBy("frame")
+    images = rows.select("user_id", "n", "value", F.explode(F.filter(images, lambda p: (p >= -4) & (p < F.col("n") + 4))).alias("frame"))
+    padded, near = with_halo(images, ["user_id"], "frame", 4, 4)
     total = sum((F.coalesce(F.lag("value", -k).over(near) if k < 0 else F.lead("value", k).over(near), F.lit(0.0)) * w for k, w in zip(range(-4, 5), GAUSS) if k > 0), F.lit(0.0))
     total = total + sum((F.coalesce(F.lag("value", -k).over(near), F.lit(0.0)) * w for k, w in zip(range(-4, 5), GAUSS) if k <= 0), F.lit(0.0))
-    return padded.withColumn("smooth", F.round(total, 6)).where("frame >= 0 and frame < n").select("user_id", "frame", "smooth")
+    return padded.withColumn("smooth", F.round(total, 6)).where("_own and frame >= 0 and frame < n").select("user_id", "frame", "smooth")
 
 
 @query(f"""
@@ -133,7 +135,8 @@ def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(spark, sf_dir)
     n = F.col("n")
     sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
-    ahead = rows.withColumn("next", F.coalesce(F.lead("value").over(_by_user()), F.col("value"))).join(sizes, "user_id")
+    spread, near = with_halo(rows, ["user_id"], "frame", 0, 1)
+    ahead = spread.withColumn("next", F.coalesce(F.lead("value").over(near), F.col("value"))).where("_own").join(sizes, "user_id")
     grid = sizes.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), 2 * n - 1)).alias("i"), (F.col("i") * (n - 1) / (2.0 * n - 1)).alias("x"))
     spots = grid.withColumn("frame", F.floor("x"))
     met = spots.join(ahead.select("user_id", "frame", "value", "next"), ["user_id", "frame"])
@@ -145,8 +148,9 @@ WITH f AS ({_FRAMES}), a AS (SELECT user_id, list(value ORDER BY frame) AS s, co
 SELECT user_id, frame, round(list_sum([CASE WHEN frame + k BETWEEN 0 AND n - 1 THEN s[1 + frame + k] ELSE 0 END FOR k IN [-2, -1, 0, 1, 2]]), 6) AS total, least(frame, 2) + least(n - 1 - frame, 2) + 1 AS real FROM f JOIN a USING (user_id)""")
 def centred_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of five frames around each, zeros past the ends, and how many are real."""
-    around = _by_user().rowsBetween(-2, 2)
-    return frames(spark, sf_dir).select("user_id", "frame", F.round(F.sum("value").over(around), 6).alias("total"), F.count("value").over(around).alias("real"))
+    rows, near = with_halo(frames(spark, sf_dir), ["user_id"], "frame", 2, 2)
+    around = near.rowsBetween(-2, 2)
+    return rows.select("user_id", "frame", "_own", F.round(F.sum("value").over(around), 6).alias("total"), F.count("value").over(around).alias("real")).where("_own").drop("_own")
 
 
 @query(f"""
@@ -181,12 +185,18 @@ WITH f AS ({_FRAMES}), g AS (SELECT user_id, frame, event_type = 'error' AS bad,
 SELECT user_id, max(n) AS longest, count(*) FILTER (n >= 2) AS breaks FROM (SELECT user_id, island, count(*) AS n FROM g WHERE bad GROUP BY user_id, island) GROUP BY user_id""")
 def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of failures in a row, and how many would trip a breaker of two."""
-    rows = frames(spark, sf_dir).withColumn("bad", F.col("event_type") == "error")
-    island = F.col("frame") - F.row_number().over(W.partitionBy("user_id", "bad").orderBy("frame"))
-    runs = rows.withColumn("island", island).where("bad").groupBy("user_id", "island").agg(F.count("*").alias("n"))
+    runs = runs_of(frames(spark, sf_dir), ["user_id"], "frame", F.col("event_type") == "error")
     return runs.groupBy("user_id").agg(F.max("n").alias("longest"), F.count_if(F.col("n") >= 2).alias("breaks"))
 
 
+def runs_of(rows: DataFrame, keys: list[str], frame: str, holds: Column, chunk: int = CHUNK) -> DataFrame:
+    """The keys, start (a frame) and n of each run of frames for which a condition holds: a run is told by its first frame."""
+    spread, near = with_halo(rows.select(*keys, frame, F.coalesce(holds, F.lit(False)).alias("_holds")), keys, frame, 1, 0, chunk)
+    marked = spread.withColumn("_start", F.when(F.col("_holds") & ~F.coalesce(F.lag("_holds").over(near), F.lit(False)), F.col(frame))).where("_own").drop("_own", "_chunk")
+    known = carried(marked, keys, frame, F.col("_start"), "start", chunk=chunk)
+    return known.where("_holds").groupBy(*keys, "start").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH r AS (SELECT ts, value, row_number() OVER (ORDER BY ts DESC, event_id) AS i FROM events), t AS (SELECT count(*) AS n, epoch(max(ts)) - epoch(min(ts)) AS span, sum(value) AS elapsed FROM r WHERE i <= 200)
 SELECT n, round((n - 1) * 3600 / nullif(span, 0), 6) AS per_hour, round(n / nullif(elapsed, 0), 6) AS rate, round((SELECT count(*) - 200 FROM events) / nullif((n - 1) * 3600 / nullif(span, 0), 0), 6) AS hours_left FROM t""")

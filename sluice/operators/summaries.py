@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.functions.arrays import norm, points
 from sluice.operators.kernels import HAND_SQL, JOINTS, hand_edges
 from sluice.operators.registry import query, table
-from sluice.operators.series import frames, quantiles
+from sluice.operators.series import frames, motion, quantiles
+from sluice.plans import quantile
 
 PROFILE = {"low": 0.0, "p01": 0.01, "p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99, "high": 1.0}
 DECIMATION = 5
@@ -22,9 +22,14 @@ _MOVED = "SELECT abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts,
 @query(f"WITH m AS ({_MOVED}) SELECT {', '.join(f'round(quantile_cont(d, {q}), 6) AS {n}' for n, q in PROFILE.items())}, count(d) AS n FROM m WHERE d IS NOT NULL")
 def motion_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven exact quantiles of frame-to-frame motion, pooled over all sequences."""
-    order = W.partitionBy("user_id").orderBy("frame")
-    moved = frames(spark, sf_dir).select(F.abs(F.col("value") - F.lag("value").over(order)).alias("d")).where("d is not null")
-    return quantiles(moved, "d", PROFILE).select(*[F.round(n, 6).alias(n) for n in PROFILE], "n")
+    return quantiles(motion(spark, sf_dir), "d", PROFILE).select(*[F.round(n, 6).alias(n) for n in PROFILE], "n")
+
+
+@query(f"WITH m AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS d FROM events) SELECT user_id, {', '.join(f'round(quantile_cont(d, {q}), 6) AS {n}' for n, q in PROFILE.items())}, count(d) AS n FROM m WHERE d IS NOT NULL GROUP BY user_id")
+def motion_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of each sequence."""
+    found = quantile.grouped(motion(spark, sf_dir), ["user_id"], "d", PROFILE)
+    return found.select("user_id", *[F.round(n, 6).alias(n) for n in PROFILE], "n")
 
 
 @query("""
