@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, edge cases, and the pipeline."""
 
+import math
 import random
 import zlib
 
@@ -147,30 +148,49 @@ def test_toxicity_on_the_held_out_fold(spark, corpus):
     assert sorted(map(str, toxicity.scored(docs, flipped).collect())) == sorted(map(str, rows))
 
 
-def test_clauses():
-    lexicon = toxicity.Lexicon(toxicity.INSULTS, frozenset({"vruk"}))
-    machine = toxicity.Weighted(toxicity.GRAMMAR, toxicity.PRIOR)
-    found = lambda text: {h for h, n in zip(toxicity.HOLDS, toxicity.read(text, machine, toxicity._Symbols(lexicon))[1]) if n}
-    assert found("What an idiot.") == {"insult"} and found("You are an IDIOT!") == {"insult_aimed"} and found("idiot, you") == {"insult_aimed"}
-    assert found("She is not an idiot.") == {"insult_negated"} and found("He said you are an idiot") == {"insult_reported"}
-    assert found("I will kill you") == {"threat_aimed"} and found("the vrukkel came") == {"insult"} and found("I hope you die") == {"threat_aimed"}
-    assert found("They kill time") == set() and found("I won't hurt you") == set() and found("I will never hurt you") == {"threat_negated"}
-    assert found("you piece of crap") == {"insult_aimed"} and found("shut up") == {"insult"} and found("a piece of cake, shut the door") == set()
-    assert found("no. you idiot") == {"insult_aimed"} and found("calm words") == set() and found("") == set()
-    # every clause counts, each kind once
-    assert toxicity.read("idiot idiot. " * 7, machine, toxicity._Symbols(lexicon))[1].tolist() == [7.0] + [0.0] * 7
-    assert toxicity.read("You idiot. ", machine, toxicity._Symbols(lexicon))[0] == toxicity.PRIOR["insult_aimed"]
+def clauses(text, weights=toxicity.PRIOR):
+    machine, lexicon = toxicity.Weighted(weights), toxicity.Lexicon(frozenset(), frozenset({"vruk"}))
+    total, held = toxicity.read(text, machine, toxicity._Symbols(lexicon))
+    return {h for h, n in zip(toxicity.HOLDS, held) if n}, 1 / (1 + math.exp(-(total + toxicity.PRIOR_CONSTANT)))
+
+
+@pytest.mark.parametrize(
+    ("text", "holds"),
+    [
+        ("What an idiot.", {"insult"}), ("You are an IDIOT!", {"insult_aimed"}), ("idiot, you", {"insult_aimed"}), ("You're an idiot", {"insult_aimed"}), ("She is not an idiot.", {"insult_negated"}),
+        ("He said you are an idiot", {"insult_reported"}), ("the vrukkel came", {"term"}), ("you vrukkel", {"insult_aimed"}), ("no, you idiot", {"insult_aimed"}), ("No. You idiot.", {"insult_aimed"}),
+        ("He isn't stupid, but you are a moron", {"insult_negated", "insult_aimed"}), ("She said hello, you idiot", {"insult_aimed"}), ("you piece of crap", {"insult_aimed"}), ("shut up", {"insult"}), ("a piece of cake, shut the door", set()),
+        ("You pig", {"insult_aimed"}), ("He is a pig", {"insult_aimed"}), ("you're not trash", {"insult_negated"}), ("Did you take the garbage out", {"noun"}), ("your trash", {"noun"}), ("calm words", set()), ("", set()),
+        ("I will kill you", {"threat_aimed"}), ("I'll kill you", {"threat_aimed"}), ("We are going to kill all of you", {"threat_aimed"}), ("They want to hurt him", {"threat_aimed"}), ("Kill yourself", {"threat_aimed"}), ("you should be shot", {"threat_aimed"}),
+        ("I hope you die", {"threat_aimed"}), ("You deserve to die", {"threat_aimed"}), ("You will die", {"threat_aimed"}), ("He said I will kill you", {"threat_reported"}), ("I won't hurt you", {"threat_negated"}), ("I will never hurt you", {"threat_negated"}),
+        ("They kill time", set()), ("Will you crush the garlic?", set()), ("I'll burn the toast for you", set()), ("They will die of hunger in the drought.", set()), ("You should kill the lights", set()), ("He beat him at chess", set()), ("kill the process, you know", set()),
+    ],
+)
+def test_clauses(text, holds):
+    found, score = clauses(text)
+    assert found == holds
+    # what is aimed decides, and a bare word of the list does not
+    assert (score >= 0.5) == bool(holds & {"insult_aimed", "threat_aimed", "term"})
+
+
+def test_nouns_that_insult_nobody_do_not_add_up():
+    text = "The garbage was collected. Put the trash out. A pig ran by. "
+    assert clauses(text * 50)[1] < 0.1
+    # every other clause counts, each kind once
+    machine, known = toxicity.Weighted(toxicity.PRIOR), toxicity._Symbols(toxicity.Lexicon(frozenset(), frozenset()))
+    assert toxicity.read("idiot idiot. " * 7, machine, known)[1][toxicity.HOLDS.index("insult")] == 7
+    assert toxicity.read("You idiot. ", machine, known)[0] == toxicity.PRIOR["insult_aimed"]
 
 
 def test_one_machine_does_what_its_parts_do():
-    rng = random.Random(5)
-    machine = toxicity.Weighted(toxicity.GRAMMAR, toxicity.PRIOR)
+    rng = random.Random(4)
+    cascade, machine = toxicity.Cascade(toxicity.PARTS), toxicity.Weighted(toxicity.PRIOR)
     for _ in range(3000):
         symbols = [rng.choice(toxicity.ALPHABET) for _ in range(rng.randrange(0, 14))] + [toxicity.END]
         passes = symbols
         for part in toxicity.PARTS:
             passes = part(passes)
-        assert toxicity.GRAMMAR(symbols) == passes
+        assert cascade(symbols) == passes
         held = [h for h in passes if h in toxicity.PRIOR]
         total, counts = machine.read(symbols)
         assert counts.tolist() == [held.count(h) for h in toxicity.HOLDS] and total == pytest.approx(sum(toxicity.PRIOR[h] for h in held))
@@ -179,12 +199,15 @@ def test_one_machine_does_what_its_parts_do():
 def test_weights_keep_their_order():
     rng = np.random.default_rng(3)
     x = rng.poisson(0.3, size=(500, len(toxicity.HOLDS))).astype(float)
-    x[:, 4:] = 0
+    at = toxicity.HOLDS.index
+    x[:, at("noun") :] = 0
     # bare insults tell more than aimed ones in these rows, and negated ones most
-    y = (x[:, 0] + 3 * x[:, 2] > 1).astype(float)
+    y = (x[:, at("insult")] + 3 * x[:, at("insult_negated")] > 1).astype(float)
     w = dict(zip(toxicity.HOLDS, toxicity.fit_weights(x, y)))
     for kind in ("insult", "threat"):
-        assert w[f"{kind}_aimed"] >= w[kind] >= w[f"{kind}_reported"] >= w[f"{kind}_negated"] >= 0
+        rising = [w[f"{kind}_negated"], w[f"{kind}_reported"], w[kind], w[f"{kind}_aimed"]]
+        assert rising[0] >= 0 and all(b - a >= toxicity.MARGIN - 1e-9 for a, b in zip(rising, rising[1:]))
+    assert w["term"] >= w["insult"]
     assert toxicity.in_order([3, 1, 2], [1, 1, 1]) == [2, 2, 2] and toxicity.in_order([-1, 0, 5], [1, 1, 1]) == [0, 0, 5]
 
 
