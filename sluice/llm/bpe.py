@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.llm.memory import released
+
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: A boundary so near the end of a chunk may still depend on what follows.
@@ -194,16 +196,16 @@ def encoded(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_C
     short = texts.where(F.length("text") <= longest)
     encode, back = _encoder(vocabulary, pattern, pa.schema([("doc_id", pa.int64())])), _decoder(spark, ranks) if decode else None
     # one pass of a Python worker does both
-    whole = short.withColumn("beyond", F.lit(0)).mapInArrow((lambda batches: back(encode(batches))) if decode else encode, "doc_id long, ids array<int>" + ", bytes binary" * decode)
+    whole = short.withColumn("beyond", F.lit(0)).mapInArrow(released((lambda batches: back(encode(batches))) if decode else encode), "doc_id long, ids array<int>" + ", bytes binary" * decode)
 
     long = texts.where(F.length("text") > longest).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     chunks = _chunks(long, chunk_chars, overlap_chars)
     pieces = _pieces(chunks, pattern, chunk_chars)
     keys = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64())])
-    parts = pieces.mapInArrow(_encoder(vocabulary, pattern, keys), "row long, doc_id long, piece long, ids array<int>")
+    parts = pieces.mapInArrow(released(_encoder(vocabulary, pattern, keys)), "row long, doc_id long, piece long, ids array<int>")
     ordered = F.array_sort(F.collect_list(F.struct("piece", "ids")))
     stitched = parts.groupBy("row", "doc_id").agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids")).select("doc_id", "ids")
-    return whole.unionByName(stitched.mapInArrow(back, "doc_id long, ids array<int>, bytes binary") if decode else stitched)
+    return whole.unionByName(stitched.mapInArrow(released(back), "doc_id long, ids array<int>, bytes binary") if decode else stitched)
 
 
 def _chunks(long: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
@@ -222,7 +224,7 @@ def _chunks(long: DataFrame, chunk_chars: int, overlap_chars: int) -> DataFrame:
                         "text": pa.array([body[s : s + chunk_chars + overlap_chars] for s in some], pa.string()),
                     })
 
-    return long.mapInArrow(cut, "row long, doc_id long, chunk long, chunks long, text string").repartition("row", "chunk")
+    return long.mapInArrow(released(cut), "row long, doc_id long, chunk long, chunks long, text string").repartition("row", "chunk")
 
 
 def _pieces(chunks: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:

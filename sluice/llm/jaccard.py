@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.memory import released
 from sluice.plans.lineage import durable
 
 WORDS = 5
@@ -111,7 +112,7 @@ def text_key(text: Column) -> Column:
 def sketched(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """One row per distinct text with words: key, copies, doc_id (the least), bands."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    sketches = texts.mapInArrow(_sketcher(words, bands, rows), "doc_id long, key binary, bands array<long>").where("bands is not null")
+    sketches = texts.mapInArrow(released(_sketcher(words, bands, rows)), "doc_id long, key binary, bands array<long>").where("bands is not null")
     return sketches.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
 
 
@@ -249,7 +250,7 @@ def links(docs: DataFrame, texts: DataFrame, words: int = WORDS, bands: int = 24
     # a bucket that was dropped as the same as another no longer claims pairs: its place in the bands is blank
     live = found.select("key", "bucket").groupBy("key").agg(F.collect_set("bucket").alias("live"))
     asked = asked.join(live, "key").select("key", "copies", F.transform("bands", lambda b: F.when(F.array_contains("live", b), b).otherwise(F.lit(0).cast("long"))).alias("bands"))
-    sets = whole.join(asked, "key", "left_semi").mapInArrow(_shingler(words), "key binary, shingles binary")
+    sets = whole.join(asked, "key", "left_semi").mapInArrow(released(_shingler(words)), "key binary, shingles binary")
     packed = F.unhex(F.array_join(F.transform("bands", lambda b: F.lpad(F.hex(b), 16, "0")), ""))
     members = asked.select("key", "copies", packed.alias("bands")).join(sets, "key")
     blocks = F.ceil(F.col("texts") / block).cast("int")
@@ -258,7 +259,7 @@ def links(docs: DataFrame, texts: DataFrame, words: int = WORDS, bands: int = 24
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("left"), F.greatest("block", k).alias("right")))
     spread = placed.select("bucket", "block", "key", "copies", "bands", "shingles", F.explode(met).alias("at"))
     dealt = spread.select("bucket", "at.left", "at.right", "block", "key", "copies", "bands", "shingles").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    return dealt.mapInArrow(_verifier(bands, threshold), "key binary, links long, lead binary")
+    return dealt.mapInArrow(released(_verifier(bands, threshold)), "key binary, links long, lead binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

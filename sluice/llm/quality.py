@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.memory import released
 from sluice.llm.sampling import hash_sample
 from sluice.plans.lineage import durable
 
@@ -305,11 +306,11 @@ def teacher(pool: DataFrame, good: float, widths: tuple[int, int]) -> Teach:
     def teach(views: list[View], turn: int) -> list[Sums]:
         counts = np.zeros((2, BINS), np.int64)
         # at most BINS rows for each view
-        for r in pool.mapInArrow(_logit_bins(views), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
+        for r in pool.mapInArrow(released(_logit_bins(views)), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
             counts[r["view"], r["bin"]] = r["n"]
         limits = [cuts(c, good, SHARE * (turn + 1)) for c in counts]
         # two rows leave a partition; a few tasks add them up before the driver does
-        found = pool.mapInArrow(_lessons(views, limits, good, widths), "view int, sums array<double>").repartition(8).mapInArrow(_merged(widths), "view int, sums array<double>")
+        found = pool.mapInArrow(released(_lessons(views, limits, good, widths)), "view int, sums array<double>").repartition(8).mapInArrow(_merged(widths), "view int, sums array<double>")
         sums = [Sums(w) for w in widths]
         for r in found.collect():
             sums[r["view"]] = sums[r["view"]] + Sums.of(np.array(r["sums"]), widths[r["view"]])
@@ -338,7 +339,7 @@ def featured(docs: DataFrame) -> DataFrame:
                 part = batch.slice(k, ROWS_AT_ONCE)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_lists, _features(part))], names=["doc_id", "words", "meta"])
 
-    return _rows(docs).mapInArrow(see, "doc_id long, words array<float>, meta array<float>")
+    return _rows(docs).mapInArrow(released(see), "doc_id long, words array<float>, meta array<float>")
 
 
 def fitted(features: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> Model | None:
@@ -383,7 +384,7 @@ def scored(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
             found = _scores(model, batch.num_rows, lambda b=batch: tuple(_matrix(b.column(c), b.num_rows) for c in ("words", "meta")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, found)], names=["doc_id", "text_score", "metadata_score", "score"])
 
-    out = features.mapInArrow(score, "doc_id long, text_score double, metadata_score double, score double")
+    out = features.mapInArrow(released(score), "doc_id long, text_score double, metadata_score double, score double")
     return out.withColumn("keep", F.col("score") >= KEEP_FROM)
 
 
@@ -399,4 +400,4 @@ def kept(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
                 yield part.filter(pa.array(marks))
 
     # the rows' own columns are read, so that a text is moved once
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)
