@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
-from sluice.plans import quantile
+from sluice.plans import quantile, rules
 from sluice.plans.ordinal import with_ordinal
 
 
@@ -163,6 +163,22 @@ def glob_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", rule.alias("rule"))
 
 
+@query("""
+WITH g AS (SELECT s_suppkey AS rule_id, '*/' || ['en', 'fr', 'de', 'es'][1 + s_suppkey % 4] || '/' || s_suppkey || ['', '?*', '/*', '*'][1 + s_suppkey % 3] AS pat FROM supplier UNION ALL SELECT -1, '*#*' UNION ALL SELECT -2, '*.net/*'),
+f AS (SELECT page_id, rule_id FROM pages JOIN g ON url GLOB pat)
+SELECT page_id, count(rule_id) AS fits, max(rule_id)::BIGINT AS last FROM pages LEFT JOIN f USING (page_id) GROUP BY page_id""")
+def rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages against a table of globs, one for each supplier: how many fit and which decides."""
+    k = F.col("s_suppkey")
+    pick = lambda words, i: F.get(F.array(*map(F.lit, words)), i.cast("int"))
+    glob = F.concat(F.lit("*/"), pick(["en", "fr", "de", "es"], k % 4), F.lit("/"), k.cast("string"), pick(["", "?*", "/*", "*"], k % 3))
+    made = table(spark, sf_dir, "supplier").select(k.cast("long").alias("rule_id"), glob.alias("glob"))
+    wide = spark.range(2).select((-F.col("id") - 1).alias("rule_id"), F.when(F.col("id") == 0, "*#*").otherwise("*.net/*").alias("glob"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = rules.fitting(pages, "url", made.unionByName(wide)).groupBy("page_id").agg(F.count("*").alias("fits"), F.max("rule_id").alias("last"))
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce("fits", F.lit(0)).cast("long").alias("fits"), "last")
+
+
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, line_no::INT AS line_no, regexp_extract(line, 'token = "[0-9a-f]{40}"') AS found FROM l WHERE regexp_matches(line, 'token = "[0-9a-f]{40}"')""")

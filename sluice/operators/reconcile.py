@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
+from sluice.plans import blocks
 from sluice.plans.ordinal import with_ordinal
 
 EXAMPLES = 5
@@ -170,6 +171,15 @@ def batch_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("vec_id").agg(F.round(F.max(F.when(same, F.col("s"))), 6).alias("positive"), F.round(F.max(F.when(~same, F.col("s"))), 6).alias("hardest_negative"), F.count_if(~same & (F.col("s") >= 0.999)).alias("same_as"))
 
 
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS u FROM v), p AS (SELECT x.vec_id AS a, y.vec_id AS b, list_dot_product(x.u, y.u) AS s FROM u x, u y)
+SELECT a AS vec_id, round(max(s) FILTER (a <> b), 6) AS nearest, round(ln(sum(exp(14.285714285714286 * s))), 6) AS log_sum_exp, round(max(s) FILTER (a = b), 6) AS positive, count(*) FILTER (a <> b AND s >= 0.999) AS same_as FROM p GROUP BY a""")
+def all_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosines of every vector with all others, by blocks: the nearest, the contrastive denominator at temperature 0.07, and equals."""
+    found = blocks.similarities(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", scale=1 / 0.07)
+    return found.select("vec_id", *[F.round(c, 6).alias(c) for c in ("nearest", "log_sum_exp", "positive")], "same_as")
+
+
 @query("""
 WITH s AS (SELECT 'a' AS shard, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', doc_id FROM documents WHERE doc_id % 3 = 0), k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)
 SELECT (SELECT count(*) FROM s) AS n, (SELECT count(*) FROM k WHERE n > 1) AS in_both, (SELECT count(*) FROM k) AS merged, (SELECT count(*) FROM (SELECT doc_id FROM s WHERE shard = 'a' EXCEPT SELECT doc_id FROM s WHERE shard = 'b')) AS only_a,

@@ -9,7 +9,8 @@ from sluice.functions import alignment
 from sluice.functions.overlap import overlap
 from sluice.functions.text import tokens_none, without_space
 from sluice.operators.registry import query
-from sluice.operators.scores import BETA, CHAR_ORDER, ORDER, _CHARS_SQL, _WORDS_SQL, _gram_sql, pairs
+from sluice.operators.scores import BETA, CHAR_ORDER, ORDER, _CHARS_SQL, _WORDS_SQL, _gram_sql, matches, pairs
+from sluice.plans.lineage import durable
 
 #: Smoothing methods and the value that each takes.
 SMOOTHING = {"none": 0.0, "exp": 0.0, "floor": 0.1, "add_k": 1.0}
@@ -63,6 +64,27 @@ def sentence_bleu_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", *[F.round(sentence_bleu(F.col("g"), m, v), 5).alias(f"bleu_{m}") for m, v in SMOOTHING.items()])
 
 
+def corpus_bleu(found: DataFrame, method: str, value: float = 0.0) -> DataFrame:
+    """bleu of all pairs together, from :func:`sluice.operators.scores.matches`, under a smoothing: the sums of all pairs as if of one text."""
+    sums = found.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("hyp_grams", "ref_grams", "matched")])
+    counts = sums.agg(F.array_sort(F.collect_list(F.struct("n", "hyp_grams", "ref_grams", "matched"))).alias("g"))  # a row for each order
+    return counts.select(sentence_bleu(F.col("g"), method, value).alias("bleu"))
+
+
+_SUMS_SQL = ", ".join(f"coalesce(sum(least(h, r)) FILTER (n = {n}), 0)::DOUBLE AS c{n}, coalesce(sum(h) FILTER (n = {n}), 0)::DOUBLE AS t{n}, coalesce(sum(r) FILTER (n = {n}), 0)::DOUBLE AS r{n}" for n in range(1, ORDER + 1))
+
+
+@query(f"{_gram_sql(ORDER, _WORDS_SQL)}, w AS (SELECT {_SUMS_SQL} FROM c) SELECT {', '.join(_bleu_sql(m, v) for m, v in SMOOTHING.items())} FROM w")
+def bleu_smoothings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus BLEU under every smoothing."""
+    found = durable(matches(pairs(spark, sf_dir), tokens_none(F.col("hyp")), tokens_none(F.col("ref")), ["conv_id", "turn"], ORDER))
+    out = None
+    for method, value in SMOOTHING.items():
+        one = corpus_bleu(found, method, value).select(F.round("bleu", 5).alias(f"bleu_{method}"))
+        out = one if out is None else out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
 def sentence_chrf(counts: Column, order: int = CHAR_ORDER, beta: float = BETA) -> Column:
     """chrF of one text: the mean precision and recall of orders that both sides have."""
     both = F.filter(counts, lambda c: (c["hyp_grams"] > 0) & (c["ref_grams"] > 0))

@@ -21,16 +21,23 @@ SIDECAR = (
 )
 
 
+#: Names of failures below are fixed values.
 def codes(checks: dict[str, Column]) -> Column:
     """Names of the checks that are true, each once, sorted; a check that cannot be made is not true."""
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks.items()]))))
 
 
-def paired(sidecars: DataFrame, files: DataFrame) -> DataFrame:
+def paired(sidecars: DataFrame, files: DataFrame, audits: DataFrame | None = None) -> DataFrame:
     """Sidecars (path, json, archive, stem, before, after) with their record and the artifact file of the same stem.
 
-    ``before`` and ``after`` are sizes and times of the sidecar, as text, before and after it was read.
+    ``before`` and ``after`` are sizes and times of the sidecar, as text, before
+    and after it was read; ``regular``, if there, says whether it is a regular
+    file. ``audits`` (stem, size, sha256) are the files that audit artifacts declare.
     """
+    regular = F.coalesce("regular", F.lit(True)) if "regular" in sidecars.columns else F.lit(True)
+    sidecars = sidecars.withColumn("sidecar_regular", regular).drop("regular")
+    if audits is not None:
+        sidecars = sidecars.join(audits.select(F.col("stem").alias("_audit"), F.col("size").alias("audit_size"), F.col("sha256").alias("audit_sha256")), F.col("stem") == F.col("_audit"), "left").drop("_audit")
     held = files.select(F.col("stem").alias("_stem"), *[F.col(c).alias(f"file_{c}") for c in ("path", "size", "read", "sha256", "before", "after", "regular")])
     return sidecars.withColumn("record", F.from_json("json", SIDECAR)).join(held, F.col("stem") == F.col("_stem"), "left").drop("_stem")
 
@@ -47,6 +54,7 @@ def pair_failures(fingerprint: str) -> Column:
     good_sha = declared["sha256"].rlike(SHA256)
     return codes({
         "sidecar_unreadable_or_missing": F.col("json").isNull(),
+        "sidecar_not_regular_file": ~F.col("sidecar_regular"),
         "sidecar_changed_during_audit": ~F.col("before").eqNullSafe(F.col("after")),
         "invalid_sidecar_json": broken,
         "sidecar_not_object": F.col("json").isNotNull() & ~broken & ~object_,
@@ -80,10 +88,16 @@ def is_complete(fingerprint: str, source: Column | None = None) -> Column:
     return F.coalesce(same, F.lit(False))
 
 
-def terminal_state(fingerprint: str) -> Column:
-    """completed, skipped (with reasons) or null (to be made again), of a :func:`paired` row."""
+def terminal_state(fingerprint: str, audited: bool = False) -> Column:
+    """completed, skipped (with reasons) or null (to be made again), of a :func:`paired` row.
+
+    With ``audited`` the audit artifact that the record declares must be there
+    too, with its size and digest.
+    """
     r = F.col("record")
     known = r["config_fingerprint"].eqNullSafe(F.lit(fingerprint)) & r["schema_version"].eqNullSafe(F.lit(SIDECAR_VERSION))
+    if audited:
+        known &= F.coalesce((r["audit_artifact"]["size_bytes"] == F.col("audit_size")) & (r["audit_artifact"]["sha256"] == F.col("audit_sha256")), F.lit(False))
     whole = (r["artifact"]["size_bytes"].try_cast("long") == F.col("file_size")) & (r["artifact"]["sha256"] == F.col("file_sha256"))
     return F.when(known & (r["status"] == "skipped") & (F.size(r["qc"]["reasons"]) > 0), "skipped").when(known & (r["status"] == "completed") & whole, "completed")
 

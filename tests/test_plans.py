@@ -206,3 +206,54 @@ def test_completion_asks_for_the_source(spark):
     rows = {r["stem"]: r for r in both.select("stem", artifacts.is_complete("f").alias("a"), artifacts.is_complete("f", source(5)).alias("b"), artifacts.is_complete("f", source(6)).alias("c"), artifacts.terminal_state("f").alias("state"), artifacts.pair_failures("f").alias("codes")).collect()}
     assert tuple(rows["s"])[1:5] == (True, True, False, "completed") and rows["s"]["codes"] == []
     assert rows["t"]["state"] == "skipped" and rows["u"]["state"] is None and "sample_id_path_mismatch" in rows["t"]["codes"]
+
+
+def test_audit_artifacts_and_special_files(spark):
+    from sluice.plans import artifacts
+
+    record = '{"schema_version": "annotation.v1", "status": "completed", "config_fingerprint": "f", "sample_id": "%s", "source": {"archive": "a"}, "artifact": {"path": "p", "size_bytes": 3, "sha256": "' + "a" * 64 + '"}, "audit_artifact": {"size_bytes": 7, "sha256": "' + "b" * 64 + '"}}'
+    sidecars = [(k, record % k, "a", "1", "1", k != "w") for k in "stuw"]
+    files = [(k, "p", 3, 3, "a" * 64, "1", "1", True) for k in "stuw"]
+    audits = [("s", 7, "b" * 64), ("t", 8, "b" * 64), ("w", 7, "b" * 64)]
+    both = artifacts.paired(spark.createDataFrame(sidecars, "stem string, json string, archive string, before string, after string, regular boolean"), spark.createDataFrame(files, "stem string, path string, size long, read long, sha256 string, before string, after string, regular boolean"), spark.createDataFrame(audits, "stem string, size long, sha256 string"))
+    rows = {r["stem"]: (r["state"], r["plain"], r["codes"]) for r in both.select("stem", artifacts.terminal_state("f", audited=True).alias("state"), artifacts.terminal_state("f").alias("plain"), artifacts.pair_failures("f").alias("codes")).collect()}
+    assert rows == {"s": ("completed", "completed", []), "t": (None, "completed", []), "u": (None, "completed", []), "w": ("completed", "completed", ["sidecar_not_regular_file"])}
+
+
+def test_similarities_by_blocks(spark):
+    import numpy as np
+
+    from sluice.plans import blocks
+
+    x = np.random.default_rng(1).normal(size=(70, 6))
+    x[40:45] = 2 * x[3]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(200, [0.0] * 6), (201, None), (202, [float("nan")] * 6), (203, [])]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    for size in (1, 16, 1024):
+        got = {r["k"]: r for r in blocks.similarities(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", scale=20.0, block=size).collect()}
+        assert got.keys() == set(range(70))
+        for k, r in got.items():
+            others = np.delete(s[k], k)
+            assert r["nearest"] == pytest.approx(others.max()) and r["same_as"] == (others >= 0.999).sum() and r["positive"] == pytest.approx(1)
+            assert r["log_sum_exp"] == pytest.approx(np.log(np.exp(20 * s[k]).sum())) and s[k][r["nearest_key"]] == pytest.approx(others.max())
+    alone = blocks.similarities(spark.createDataFrame([(5, [1.0, 2.0])], "k long, v array<double>"), "k", "v").first()
+    assert alone["nearest"] is None and alone["nearest_key"] is None and alone["log_sum_exp"] == pytest.approx(1.0)
+
+
+def test_ten_thousand_globs(spark):
+    import fnmatch
+    import random
+
+    from sluice.plans import rules
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    texts = ["/".join(rng.choice(words) + rng.choice(["", ".x", "-y"]) for _ in range(rng.randrange(1, 5))) for _ in range(150)] + ["", "*", "a+b(c)", "W1/w1", None]
+    globs = {rng.choice(["*", "", "?"]) + "/".join(rng.choice(words) + rng.choice(["", "*", "?x", ".x", "-y"]) for _ in range(rng.randrange(1, 3))) + rng.choice(["*", "", "/*"]) for _ in range(12_000)} | {"*", "a+b(c)", "?", "", "w1*", "*w1"}
+    globs = sorted(globs)[:10_000] + ["*", "a+b(c)"]
+    frame = spark.createDataFrame([(k, g) for k, g in enumerate(globs)], "rule_id long, glob string")
+    got = {(r["t"], r["glob"]) for r in rules.fitting(spark.createDataFrame([(t,) for t in texts], "t string"), "t", frame).collect()}
+    assert got == {(t, g) for g in globs for t in texts if t is not None and fnmatch.fnmatchcase(t, g)}
+    last = rules.decided(spark.createDataFrame([(1, "a/w1"), (2, "none")], "k long, t string"), "k", "t", spark.createDataFrame([(1, "a/*", "in"), (2, "*/w1", "out"), (3, "b/*", "in")], "rule_id long, glob string, verdict string"), "verdict", "open")
+    assert {(r["k"], r["verdict"]) for r in last.collect()} == {(1, "out"), (2, "open")}
