@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
+from sluice.operators.scores import _LANGUAGE, pairs
 from sluice.plans.lineage import durable, removed, scratch, shared_dir
 from sluice.sources import arrays
-from sluice.streaming import changes, incremental
+from sluice.streaming import changes, incremental, metrics
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -90,3 +91,14 @@ def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         arrays.written(longer.unionByName(named.where("b % 4 = 3").select("path", "vectors")), f"{folder}/in")
         found = durable(changes.arrivals(spark, f"{folder}/in", f"{folder}/state"))
         return durable(found.join(changes.variants(found).select("path", "sha256", "state"), ["path", "sha256"], "left").select("path", "version", "change", "state"))
+
+
+@query(_LANGUAGE)
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text scores from the states of two shards' streams, each in several batches."""
+    with scratch(spark, "metrics") as folder:
+        both = durable(pairs(spark, sf_dir).withColumn("shard", F.col("conv_id") % 2))
+        for shard in (0, 1):
+            both.where(F.col("shard") == shard).select("hyp", "ref").repartition(3).write.parquet(f"{folder}/in{shard}")
+            metrics.accumulated(incremental.new_files(spark, f"{folder}/in{shard}", "hyp string, ref string", 1), metrics.text_state, f"{folder}/state{shard}", f"{folder}/at{shard}")
+        return durable(metrics.text_scores(metrics.merged(spark, f"{folder}/state0", f"{folder}/state1")))

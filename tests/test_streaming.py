@@ -106,3 +106,26 @@ def test_a_batch_that_is_run_again_reads_the_same_changes(tmp_path):
     assert rows(0, 1) == [("a", "new", "changed", 1)]  # its content of then is gone
     assert rows(1, 2) == [("a", "changed", None, 2), ("b", "new", None, 2)] == rows(1, 2) and len(again.partitions({"version": 1}, {"version": 2})) == 2
     assert sorted(p.name for p in (tmp_path / "seen").iterdir()) == ["changes-1", "changes-2", "seen-2"]
+
+
+def test_metric_states_merge_over_batches_restarts_and_shards(spark, tmp_path):
+    from sluice.operators.scores import bleu, language_totals
+    from sluice.streaming import metrics
+
+    words = "the cat sat on a mat today and then it slept".split()
+    rows = [(" ".join(words[k % 7 :]) if k % 11 else None, " ".join(words[k % 5 :]) + "é" * (k % 3)) for k in range(90)]
+    frame = spark.createDataFrame(rows, "hyp string, ref string")
+    parts = frame.randomSplit([0.3, 0.3, 0.4], seed=1)
+    source, state, at = (str(tmp_path / n) for n in ("in", "state", "at"))
+    for part in parts[:2]:  # a run for each, so the second one resumes
+        part.coalesce(1).write.mode("append").parquet(source)
+        metrics.accumulated(incremental.new_files(spark, source, "hyp string, ref string", 1), metrics.text_state, state, at)
+    metrics.accumulated(incremental.new_files(spark, source, "hyp string, ref string", 1), metrics.text_state, state, at)
+    parts[2].repartition(2).write.parquet(str(tmp_path / "other"))
+    metrics.accumulated(incremental.new_files(spark, str(tmp_path / "other"), "hyp string, ref string", 1), metrics.text_state, f"{state}-other", f"{at}-other")
+    merged = metrics.merged(spark, state, f"{state}-other")
+    whole = spark.read.parquet(source).unionByName(parts[2])
+    assert tuple(metrics.text_scores(merged).first()) == tuple(language_totals(whole.where("hyp is not null")).first())
+    key = lambda df: sorted(tuple(r) for r in df.select("n", "hyp_grams", "matched", "bleu").collect())
+    want = metrics.ngrams(metrics.text_state(whole).groupBy("metric", "n").agg(*[F.sum(c).alias(c) for c in "xyz"]))
+    assert key(bleu(metrics.ngrams(merged))) == key(bleu(want)) and len(os.listdir(state)) >= 2
