@@ -8,7 +8,9 @@ paragraphs are found, it is also compared to the windows of the whole text's
 words, of at most so many bigrams, that begin and end with one of its bigrams:
 cutting other bigrams off the ends raises the coefficient. Versions and clauses
 must agree: a unit has the bigrams that tell a template from its relatives, and
-none that deny it. All of it is expressions on the row.
+none that deny it. Clauses in which a denial ("no longer", "used to be", "not")
+comes before a licence's verb are cut out first, from the denial to their end.
+All of it is expressions on the row.
 
 Units need an anchor word to be looked at: each template's anchors are words
 that cover so many of its bigrams that no unit without any of them can reach
@@ -58,8 +60,37 @@ TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "gpl-2.0-only-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-short": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
+#: Elements of the Creative Commons licences, in words; each comes in a short and a long notice of both current versions.
+ELEMENTS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+#: Identifiers that one-line notices name.
+SPDX = ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "CC0-1.0", "Unlicense")
+
+
+def _made() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
+    """The notices that follow a form, but those stated, and the bigrams of their names, which a unit must have."""
+    texts, needs = {}, {}
+    for element, words in ELEMENTS.items():
+        for version, edition in (("3.0", "Unported"), ("4.0", "International")):
+            tail = words.lower().split("-")
+            for name, text, told in (
+                (f"cc-{element}-{version}", f"Licensed under CC {element.upper()} {version}.", f"cc {element} {version}"),
+                (f"cc-{element}-{version}-text", f"This work is licensed under a Creative Commons {words} {version} {edition} License.", f"{' '.join(tail)} {version}"),
+            ):
+                if text not in TEMPLATES.values():
+                    name = f"{name}-short" if name in TEMPLATES else name
+                    texts[name], needs[name] = text, tuple(sorted(word_bigrams(told)))
+    for name in SPDX:
+        texts[f"{name.lower()}-spdx"], needs[f"{name.lower()}-spdx"] = f"SPDX-License-Identifier: {name}", tuple(sorted(word_bigrams(f"identifier {name}")))
+    return texts, needs
+
 
 #: Bigrams that tell a template from its relatives: versions and clauses that a unit must have.
 REQUIRED = {
@@ -85,10 +116,20 @@ REQUIRED = {
     "lgpl-3.0-header": ("lesser general", "version 3"),
     "mit": ("mit license",),
     "mpl-2.0": ("mozilla public", "2 0"),
+    "gpl-2.0-only-header": ("gnu general", "license version", "version 2", "2 as"),
+    "lgpl-2.1": ("lesser general", "2 1"),
+    "lgpl-3.0": ("lesser general", "version 3"),
+    "agpl-3.0-short": ("affero general", "version 3"),
+    "unlicense": ("unencumbered software",),
 }
 #: Bigrams that a template's unit, or a window and its surroundings, may not have: other clauses and denials.
 FORBIDDEN = {"bsd": ("neither the",), "bsd-2-clause": ("neither the",)}
 DENIED = ("granted", "licensed", "permitted", "released")
+#: From a denial on, a clause about a licence is not looked at: up to its end, which a dot within a number or name is not.
+DENIAL = (
+    r"\b(?:no longer|used to be|formerly|previously|never|not|cannot|isn.t|aren.t|wasn.t|won.t)\b[^.!?;\n]{0,40}?\b(?:released|licensed|granted|permitted|distributed|available)\b"
+    r"(?:[^.!?;\n]|\.[0-9a-z]){0,300}"
+)
 #: Bigrams before and after a window in which a denial or another clause counts.
 DENIAL_REACH = 6
 #: Templates that are a part of others, and are not listed beside them.
@@ -111,6 +152,11 @@ def word_bigrams(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(words, words[1:])}
 
 
+_MORE = _made()
+TEMPLATES |= _MORE[0]
+REQUIRED |= _MORE[1]
+
+
 def anchor_words(grams: set[str], threshold: float) -> list[str]:
     """Words of which every unit that reaches the threshold has at least one.
 
@@ -185,7 +231,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
         return functools.reduce(operator.or_, [F.contains(text, F.lit(f"{mark}{w}{mark}")) for w in anchors])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    rows = rows.select("doc_id", F.when(anchored(F.col("text"), ""), F.regexp_replace("text", r"[^a-z0-9\n]+", " ")).alias("text"))
+    rows = rows.select("doc_id", F.when(anchored(F.col("text"), ""), F.regexp_replace(F.regexp_replace("text", DENIAL, " "), r"[^a-z0-9\n]+", " ")).alias("text"))
     units = F.array_distinct(F.concat(F.split("text", r"\n"), F.split("text", r"\n\x20*\n"), F.array("text")))
     plain = F.concat(F.lit(" "), F.regexp_replace("text", r"[\x20\n]+", " "), F.lit(" "))
     rows = rows.select("doc_id", plain.alias("plain"), F.transform(units, lambda u: F.concat(F.lit(" "), F.regexp_replace(u, r"[\x20\n]+", " "), F.lit(" "))).alias("units"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm.licenses import REQUIRED, TEMPLATES, THRESHOLD, WITHIN, forbidden, word_bigrams
+from sluice.llm.licenses import DENIAL, REQUIRED, TEMPLATES, THRESHOLD, WITHIN, forbidden, word_bigrams
 from sluice.llm.mixing import GOLDEN, SLOTS
 from sluice.llm.pii import CAPITALS, CONTEXT_CHARS, COUNT_FROM, LOWER, RAISE, SCORES, SMALL, SPEAKS_AGAINST, SPEAKS_FOR, context_pattern
 
@@ -41,7 +41,7 @@ _KNOWN = ", ".join(f"('{n}', '{t.lower().replace(chr(39), chr(39) * 2)}', {_LIST
 
 LICENSE_SCAN = f"""
 WITH k AS (SELECT name, needs, bars, wide, list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM (SELECT name, needs, bars, wide, {_WORDS.format(u="body")} AS w FROM (VALUES {_KNOWN}) t(name, body, needs, bars, wide))),
-d AS (SELECT row_number() OVER () AS i, doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS i, doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '{DENIAL}', ' ', 'g'), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
 u AS (SELECT i, unnest(list_distinct(string_split(t, chr(10)) || string_split_regex(t, '\\n *\\n') || [t])) AS u FROM d), s AS (SELECT i, {_WORDS.format(u="u")} AS w FROM u),
 b AS (SELECT DISTINCT i, list_distinct([w[j] || ' ' || w[j + 1] FOR j IN range(1, len(w))]) AS g FROM s WHERE len(w) BETWEEN 3 AND 400),
 h AS (SELECT i, name, any_value(wide) AS wide, any_value(len(k.g)) AS long, max(2.0 * len(list_intersect(b.g, k.g)) / (len(b.g) + len(k.g))) AS dice FROM b, k WHERE len(b.g) BETWEEN 0.6 * len(k.g) AND 1.7 * len(k.g) AND list_has_all(b.g, needs) AND NOT list_has_any(b.g, bars) GROUP BY i, name),

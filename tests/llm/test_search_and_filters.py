@@ -304,3 +304,22 @@ def test_floors_of_the_sample_drop_nothing():
     every[rows[:, None] == order[None, :]] = -np.inf
     best = -np.sort(-every, axis=1)[:, 99]
     assert np.isfinite(floors).all() and (floors <= best).all()
+
+
+def test_licences_that_are_denied_and_families(spark):
+    cases = [
+        ("No longer released under the MIT License.", None), ("This is not, however, released under the MIT License.", None), ("We used to be released under the MIT License but now all rights reserved.", None),
+        ("It was never licensed under the Apache License, Version 2.0. Released under the MIT License.", "mit"), ("This does not work. Released under the MIT License.", "mit"), ("This project is no longer maintained.\nReleased under the MIT License.", "mit"),
+        ("Formerly licensed under CC BY 4.0.", None), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"), ("Licensed under CC BY-ND 3.0.", "cc-by-nd-3.0"), ("Licensed under CC BY 3.0.", "cc-by-3.0-short"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd-4.0-text"), ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "cc-by-3.0"),
+        ("# SPDX-License-Identifier: Apache-2.0\ncode()", "apache-2.0-spdx"), ("// SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later-spdx"), ("SPDX-License-Identifier: Zlib", None),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "lgpl-2.1"), ("This work is licensed under the GNU Affero General Public License, version 3.", "agpl-3.0-short"),
+        (licenses.TEMPLATES["gpl-2.0-only-header"], "gpl-2.0-only-header"), (licenses.TEMPLATES["gpl-2.0-header"], "gpl-2.0-header"), (licenses.TEMPLATES["apache-2.0-header"], "apache-2.0-header"), ("not " * 5000 + "released under the MIT License.", None),
+    ]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scanned(docs).collect()}
+    assert {cases[k][0][:70]: v for k, v in got.items()} == {t[:70]: v for t, v in cases}
+    # every template is found as itself, and no other before it
+    alone = spark.createDataFrame(list(enumerate(licenses.TEMPLATES.values())), "doc_id long, text string")
+    names = list(licenses.TEMPLATES)
+    assert [names[r["doc_id"]] for r in licenses.scanned(alone).collect() if r["license"] != names[r["doc_id"]]] == []
