@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
 from sluice.operators.splits import assigned
 from sluice.plans import delivery
-from sluice.plans.lineage import shared_dir
+from sluice.plans.lineage import durable, scratch
 from sluice.sources import manifests
 
 
@@ -70,20 +68,20 @@ SELECT split, count(*) AS n, ((count(*) + 1023) // 1024)::BIGINT AS parts, 0::BI
 def delivery_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delivery staged, published, read again and checked."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_custkey") % 10 < 8, "train").otherwise("test").alias("split"))
-    base = f"{shared_dir(spark)}/delivery-{uuid.uuid4().hex}"
-    delivery.staged(rows, "o_orderkey", f"{base}/staging")
-    delivery.published(spark, f"{base}/staging", f"{base}/final")
-    final = delivery.Delivery(*[f"{base}/final/{p}" for p in ("data", "index", "inventory")])
-    wrong = delivery.problems(spark, final, rows, "o_orderkey").agg(F.count("*").alias("problems"))
-    parts = spark.read.parquet(final.inventory).groupBy("split").agg(F.sum("rows").alias("n"), F.count("*").alias("parts"), F.sum("files").alias("files"))
-    return parts.crossJoin(F.broadcast(wrong)).select("split", "n", "parts", "problems", "files")
+    with scratch(spark, "delivery") as base:
+        delivery.staged(rows, "o_orderkey", f"{base}/staging")
+        delivery.published(spark, f"{base}/staging", f"{base}/final")
+        final = delivery.Delivery(*[f"{base}/final/{p}" for p in ("data", "index", "inventory")])
+        wrong = delivery.problems(spark, final, rows, "o_orderkey").agg(F.count("*").alias("problems"))
+        parts = spark.read.parquet(final.inventory).groupBy("split").agg(F.sum("rows").alias("n"), F.count("*").alias("parts"), F.sum("files").alias("files"))
+        return durable(parts.crossJoin(F.broadcast(wrong)).select("split", "n", "parts", "problems", "files"))
 
 
 @query()
 def delivery_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checksum list of a delivery: each file once, with a digest of 64 digits."""
     rows = assigned(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "c_name", "split")
-    base = f"{shared_dir(spark)}/delivery-{uuid.uuid4().hex}"
-    delivery.staged(rows, "c_custkey", base)
-    found = delivery.checksums(spark, base)
-    return found.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(F.count("*").alias("files"), F.count_if(F.col("sha256").rlike(manifests.SHA256)).alias("digests"))
+    with scratch(spark, "delivery") as base:
+        delivery.staged(rows, "c_custkey", base)
+        found = delivery.checksums(spark, base)
+        return durable(found.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(F.count("*").alias("files"), F.count_if(F.col("sha256").rlike(manifests.SHA256)).alias("digests")))

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators.registry import query, table
 from sluice.operators.scores import _LANGUAGE, pairs
-from sluice.plans.lineage import durable, removed, scratch, shared_dir
+from sluice.plans.lineage import durable, removed, scratch
 from sluice.sources import arrays
 from sluice.streaming import changes, incremental, metrics
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def _spread(spark: SparkSession, sf_dir: str) -> str:
+def _spread(spark: SparkSession, sf_dir: str, folder: str) -> str:
     """The events as a folder of files, as they would arrive: by time."""
-    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    path = f"{folder}/events"
     table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(4, "ts", "event_id").write.parquet(path)
     return path
 
@@ -26,44 +24,44 @@ def _spread(spark: SparkSession, sf_dir: str) -> str:
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily windows by kind; at the end of the input all windows are closed."""
-    path = _spread(spark, sf_dir)
-    stream = incremental.new_files(spark, path, EVENTS)
-    counts = incremental.windowed(stream, "1 day", "30 days")
-    batches = incremental.numbered(counts, "complete", f"{path}-out", f"{path}-state")
-    last = batches.agg(F.max("batch").alias("batch"))
-    return batches.join(F.broadcast(last), "batch").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+    with scratch(spark, "events") as folder:
+        stream = incremental.new_files(spark, _spread(spark, sf_dir, folder), EVENTS)
+        counts = incremental.windowed(stream, "1 day", "30 days")
+        batches = incremental.numbered(counts, "complete", f"{folder}/out", f"{folder}/state")
+        last = batches.agg(F.max("batch").alias("batch"))
+        return durable(batches.join(F.broadcast(last), "batch").select("start", "event_type", "n", F.round("total", 4).alias("total")))
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS seen FROM events GROUP BY user_id")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's newest event, merged batch by batch, and how many there were."""
-    path = _spread(spark, sf_dir)
-    stream = incremental.new_files(spark, path, EVENTS, 1).select("user_id", "event_id", F.struct("ts", "event_id").alias("version"))
-    newest = incremental.upserted(spark, stream, "user_id", "version", f"{path}-table", f"{path}-state")
     seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("seen"))
-    return newest.join(seen, "user_id").select("user_id", "event_id", "seen")
+    with scratch(spark, "events") as folder:
+        stream = incremental.new_files(spark, _spread(spark, sf_dir, folder), EVENTS, 1).select("user_id", "event_id", F.struct("ts", "event_id").alias("version"))
+        newest = incremental.upserted(spark, stream, "user_id", "version", f"{folder}/table", f"{folder}/state")
+        return durable(newest.join(seen, "user_id").select("user_id", "event_id", "seen"))
 
 
 @query("SELECT count(*) FILTER (value > 1 AND event_type <> 'error') AS passed, count(*) FILTER (NOT (value > 1 AND event_type <> 'error')) AS quarantined FROM events")
 def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that fail go to a dead-letter sink; none is lost or met twice."""
-    path = _spread(spark, sf_dir)
-    good, bad = incremental.routed(incremental.new_files(spark, path, EVENTS), "value > 1 and event_type <> 'error'")
-    for name, rows in (("good", good), ("bad", bad)):
-        incremental.drained(rows, f"{path}-{name}", f"{path}-{name}-state")
-    count = lambda name, alias: spark.read.schema(EVENTS).parquet(f"{path}-{name}").agg(F.count("*").alias(alias))
-    return count("good", "passed").crossJoin(F.broadcast(count("bad", "quarantined")))
+    with scratch(spark, "events") as folder:
+        good, bad = incremental.routed(incremental.new_files(spark, _spread(spark, sf_dir, folder), EVENTS), "value > 1 and event_type <> 'error'")
+        for name, rows in (("good", good), ("bad", bad)):
+            incremental.drained(rows, f"{folder}/{name}", f"{folder}/{name}-state")
+        count = lambda name, alias: spark.read.schema(EVENTS).parquet(f"{folder}/{name}").agg(F.count("*").alias(alias))
+        return durable(count("good", "passed").crossJoin(F.broadcast(count("bad", "quarantined"))))
 
 
 @query()
 def stream_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leases on items, kept as state: who holds each, and claims granted and denied."""
-    path = _spread(spark, sf_dir)
     kind = F.when(F.col("event_type") == "purchase", "release").when(F.col("event_type") == "view", "beat").otherwise("claim")
-    requests = incremental.new_files(spark, path, EVENTS).select((F.col("event_id") % 7).alias("item"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker"), kind.alias("kind"), (F.unix_micros("ts") / 1e6).alias("at"))
-    batches = incremental.numbered(incremental.leased(requests), "update", f"{path}-out", f"{path}-state")
-    newest = batches.groupBy("item").agg(F.max_by(F.struct("holder", "grants", "denials"), "batch").alias("r"))
-    return newest.select("item", "r.*")
+    requests = lambda path: incremental.new_files(spark, path, EVENTS).select((F.col("event_id") % 7).alias("item"), F.concat(F.lit("w"), F.col("user_id").cast("string")).alias("worker"), kind.alias("kind"), (F.unix_micros("ts") / 1e6).alias("at"))
+    with scratch(spark, "events") as folder:
+        batches = incremental.numbered(incremental.leased(requests(_spread(spark, sf_dir, folder))), "update", f"{folder}/out", f"{folder}/state")
+        newest = batches.groupBy("item").agg(F.max_by(F.struct("holder", "grants", "denials"), "batch").alias("r"))
+        return durable(newest.select("item", "r.*"))
 
 
 @query("SELECT user_id, count(*) AS sessions, max(n)::BIGINT AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s) GROUP BY user_id")
