@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one
 before it kept; all but the last return the columns of documents. Each result
-is written as Parquet to the shared checkpoint folder and read again.
+is written as Parquet to the shared checkpoint folder and read again; it is
+removed once the next one is written, and only the last stays.
 
 Defined cases, in any stage: null and empty texts are kept as they are until
 the mix, which takes only documents with words; null ids, languages, sources
@@ -22,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import bpe, jaccard, mixing, pii, quality
-from sluice.plans.lineage import shared_dir
+from sluice.plans.lineage import removed, shared_dir
 from sluice.plans.shipping import shipped
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -70,7 +71,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shipped(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)  # the next stage reads this one's result only
+        before = f"{folder}/{name}"
     return docs
