@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sluice.llm.licenses import DENIAL, REQUIRED, TEMPLATES, THRESHOLD, WITHIN, forbidden, word_bigrams
-from sluice.llm.mixing import GOLDEN, SLOTS
+from sluice.llm.mixing import GOLDEN, LEAST_BLOCKS, SLOTS
 from sluice.llm.pii import CAPITALS, CONTEXT_CHARS, COUNT_FROM, LOWER, RAISE, SCORES, SMALL, SPEAKS_AGAINST, SPEAKS_FOR, context_pattern
 
 EXACT_TOPK = """
@@ -26,7 +26,7 @@ t AS (SELECT source, sum(size)::BIGINT AS s, [5.0, 2.0, 1.0][1 + (row_number() O
 c AS (SELECT *, 3.0::DOUBLE * s AS cap, sum(s) OVER () AS every FROM t),
 l AS (SELECT *, (every - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 o AS (SELECT *, coalesce(max(CASE WHEN cap >= level * w THEN level END) OVER (), 0) AS open FROM l),
-g AS (SELECT source, s, every, least(cap, open * w) AS target, CASE WHEN s > 0 THEN greatest(1, round(s / greatest(1.0, every / {float(SLOTS)!r}::DOUBLE))) ELSE 0 END::BIGINT AS n FROM o),
+g AS (SELECT source, s, every, least(cap, open * w) AS target, CASE WHEN s > 0 THEN greatest(1, round(s / greatest(1.0, every / {float(SLOTS)!r}::DOUBLE)), least(s::DOUBLE, ceil({float(LEAST_BLOCKS)!r}::DOUBLE * greatest(1.0, s / nullif(least(cap, open * w), 0))))) ELSE 0 END::BIGINT AS n FROM o),
 e AS (SELECT *, CASE WHEN s > 0 THEN target * n / s ELSE 0 END AS need FROM g),
 a AS (SELECT *, sum(need) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS upto, sum(need) OVER () AS total FROM e),
 p AS (SELECT x - floor(x) AS u FROM (SELECT i::DOUBLE * {GOLDEN!r}::DOUBLE AS x FROM range((SELECT coalesce(max(round(total)), 0)::BIGINT FROM a)) r(i))),
