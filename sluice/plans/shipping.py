@@ -28,4 +28,7 @@ def shipped(spark: SparkSession) -> None:
         for file in sorted((ROOT / "sluice").rglob("*.py")):
             z.write(file, file.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(archive))
+    # the driver's own workers, which plan streams of data sources, look here and not among the session's files
+    env = spark.sparkContext.environment
+    env["PYTHONPATH"] = os.pathsep.join(filter(None, (env.get("PYTHONPATH"), str(ROOT))))
     _SHIPPED.add(app)
