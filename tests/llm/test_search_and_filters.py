@@ -291,6 +291,22 @@ def test_approximate_search_is_whole_on_clusters(spark, monkeypatch, clusters, s
     assert np.mean([r["score"] >= least[r["query_id"]] - 1e-9 for r in got]) >= 0.9
 
 
+@pytest.mark.parametrize(("dim", "copies"), [(256, 1), (24, 150)])
+def test_approximate_search_of_long_vectors_and_of_copies(spark, dim, copies):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(4500 // copies, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.repeat(x, copies, axis=0)[rng.permutation(len(x) * copies)].astype(np.float32)
+    got = ann.searched(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS), QUERY()).collect()
+    want = brute(x.astype(float))
+    assert len(got) == len(want) == 20 * len(x[::20])
+    least = {q: s for q, r, _, s in want if r == 20}
+    assert np.mean([r["score"] >= least[r["query_id"]] - 1e-9 for r in got]) >= 0.9
+    if copies > 1:
+        # ties of copies go to the smaller ids
+        assert np.mean([(r["query_id"], r["vec_id"]) in {(q, v) for q, _, v, _ in want} for r in got[:200]]) >= 0.9
+
+
 def test_floors_of_the_sample_drop_nothing():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(3000, 20))
