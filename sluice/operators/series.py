@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sluice.operators.registry import query, table
 from sluice.plans.lineage import durable
 from sluice.plans.ordinal import with_ordinal
-from sluice.plans.segments import CHUNK, carried, with_halo
+from sluice.plans.segments import CHUNK, carried, met, with_halo
 
 RATE = 10.0
 #: Keeps values that lie between two roundings on one side.
@@ -133,14 +133,16 @@ SELECT user_id, i AS frame, round(s[1 + floor(x)::INT] + (s[1 + least(floor(x)::
 def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twice as many frames on an even grid from the first to the last, linearly."""
     rows = frames(spark, sf_dir)
-    n = F.col("n")
+    n, frame = F.col("n"), F.col("frame")
     sizes = rows.groupBy("user_id").agg(F.count("*").alias("n"))
     spread, near = with_halo(rows, ["user_id"], "frame", 0, 1)
-    ahead = spread.withColumn("next", F.coalesce(F.lead("value").over(near), F.col("value"))).where("_own").join(sizes, "user_id")
-    grid = sizes.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), 2 * n - 1)).alias("i"), (F.col("i") * (n - 1) / (2.0 * n - 1)).alias("x"))
-    spots = grid.withColumn("frame", F.floor("x"))
-    met = spots.join(ahead.select("user_id", "frame", "value", "next"), ["user_id", "frame"])
-    return met.select("user_id", F.col("i").alias("frame"), F.round(F.col("value") + (F.col("next") - F.col("value")) * (F.col("x") - F.floor("x")), 6).alias("value"))
+    ahead = met(spread.withColumn("next", F.coalesce(F.lead("value").over(near), F.col("value"))).where("_own"), sizes, ["user_id"], "inner", ["n"])
+    # each frame makes the places of the grid between it and the next one: a grid of its own would be joined, and looks small to the planner
+    place = lambda i: i * (n - 1) / (2.0 * n - 1)
+    steps = (2.0 * n - 1) / F.greatest(n - 1, F.lit(1))
+    span = F.sequence(F.greatest(F.floor(frame * steps) - 1, F.lit(0)), F.least(F.ceil((frame + 1) * steps) + 1, 2 * n - 1))
+    found = ahead.select("user_id", "frame", "n", "value", "next", F.explode(F.filter(span, lambda i: F.floor(place(i)) == frame)).alias("i")).withColumn("x", place(F.col("i")))
+    return found.select("user_id", F.col("i").alias("frame"), F.round(F.col("value") + (F.col("next") - F.col("value")) * (F.col("x") - F.floor("x")), 6).alias("value"))
 
 
 @query(f"""

@@ -86,3 +86,14 @@ def test_quantiles_of_groups(spark):
         assert got[key]["n"] == len(values)
         assert all(math.isclose(got[key][name], np.quantile(values, share), abs_tol=1e-12) for name, share in shares.items())
     assert quantile.grouped(spark.createDataFrame([], "key string, v double"), ["key"], "v", shares).collect() == []
+
+
+def test_a_grid_is_not_broadcast(spark, small):
+    found = series.resampled(spark, small)
+    found.collect()
+    lines, inside = found._jdf.queryExecution().executedPlan().toString().splitlines(), None
+    for line in lines[: next(i for i, l in enumerate(lines) if "Initial Plan" in l)]:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        inside = None if inside is not None and depth <= inside else inside
+        inside = depth if inside is None and "BroadcastExchange" in line else inside
+        assert inside is None or "Generate" not in line
