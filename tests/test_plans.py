@@ -241,6 +241,26 @@ def test_similarities_by_blocks(spark):
     assert alone["nearest"] is None and alone["nearest_key"] is None and alone["log_sum_exp"] == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize(("strips", "longest"), [(3, 1 << 17), (3, 8)])
+def test_similarities_move_blocks_a_bounded_number_of_times(spark, strips, longest):
+    import numpy as np
+
+    from sluice.plans import blocks
+
+    x = np.random.default_rng(3).normal(size=(90, 5))
+    x[50] = x[7]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    found = blocks.similarities(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "k long, v array<double>"), "k", "v", scale=5.0, block=4, strips=strips, longest=longest)
+    for r in found.collect():
+        others = np.where(np.arange(90) == r["k"], -np.inf, s[r["k"]])
+        assert r["nearest"] == pytest.approx(others.max()) and r["same_as"] == (others >= 0.999).sum() and r["log_sum_exp"] == pytest.approx(np.log(np.exp(5 * s[r["k"]]).sum()))
+    # 23 blocks in strips of at most 8 (or 2): each goes to as many tasks as there are strips, and one more
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    many = 3 if longest > 8 else 12
+    assert "hashpartitioning(_tile" in plan and f", {many * (many + 1) // 2})" in plan
+
+
 def test_ten_thousand_globs(spark):
     import fnmatch
     import random
