@@ -145,5 +145,4 @@ def rouge_summary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each pair set side by side: a row for each step of the cheapest alignment."""
     rows = pairs(spark, sf_dir).where("hyp is not null and ref is not null")
-    steps = alignment.aligned(tokens_none(F.col("ref")), tokens_none(F.col("hyp")))
-    return rows.select("conv_id", "turn", F.posexplode(steps).alias("step", "s")).select("conv_id", "turn", "step", "s.kind", "s.reference", "s.hypothesis")
+    return alignment.steps_of(rows.select("conv_id", "turn", tokens_none(F.col("ref")).alias("r"), tokens_none(F.col("hyp")).alias("h")), "r", "h", ["conv_id", "turn"])

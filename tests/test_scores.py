@@ -137,3 +137,24 @@ def test_frames_are_stacked(spark):
     rows = [("a", 2, [5.0, 6.0]), ("a", 0, [1.0, 2.0]), ("a", 1, [9.0]), ("a", 3, None), ("b", 7, [1.0])]
     got = stacked(spark.createDataFrame(rows, "s string, f int, v array<double>"), ["s"], "f", "v").collect()
     assert {r["s"]: r["frames"] for r in got} == {"a": [[1.0, 2.0], [0.0, 0.0], [5.0, 6.0], [0.0, 0.0]], "b": [[1.0]]}
+
+
+def test_long_alignments_hold_few_rows_of_their_table():
+    import tracemalloc
+
+    rng = random.Random(2)
+    r, h = ([rng.choice("abcdefgh") for _ in range(n)] for n in (1500, 1600))
+    tracemalloc.start()
+    steps = alignment.alignment(r, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20  # the whole table of costs takes 19 MB
+    assert [s[1] for s in steps if s[1] is not None] == r and [s[2] for s in steps if s[2] is not None] == h
+
+
+def test_alignments_leave_a_task_in_small_batches(spark):
+    rng = random.Random(3)
+    rows = [(k, [rng.choice("abc") for _ in range(rng.randrange(1, 9))], [rng.choice("abc") for _ in range(rng.randrange(0, 9))]) for k in range(40)] + [(40, [], [])]
+    frame = spark.createDataFrame(rows, "k long, r array<string>, h array<string>").coalesce(1)
+    got = [tuple(s) for s in alignment.steps_of(frame, "r", "h", ["k"], 5).collect()]
+    assert got == [(k, i, *step) for k, r, h in rows for i, step in enumerate(alignment.alignment(r, h))]
