@@ -18,20 +18,29 @@ def pattern(glob: Column) -> Column:
 
 
 def anchor(glob: Column) -> Column:
-    """The longest word that a text must hold as a word of its own to fit the glob; empty if there is none."""
-    inner = F.regexp_extract_all(glob, F.lit(rf"(?<![A-Za-z0-9*?]){_WORD}(?![A-Za-z0-9*?])"), F.lit(0))
-    return F.coalesce(F.get(F.transform(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"]), F.lit(0)), F.lit(""))
+    """What a text must hold to fit the glob: its longest word, ``=word``, or what a word begins (``<word``) or ends
+    with (``>word``) where a wildcard follows or precedes; of equal length the whole word. Empty if there is none."""
+    runs = lambda kind, before, after: F.transform(F.regexp_extract_all(glob, F.lit(rf"(?<!{before}){_WORD}(?!{after})"), F.lit(0)), lambda w: F.struct((-F.length(w)).alias("n"), F.lit(kind).alias("kind"), w.alias("w")))
+    whole, begins, ends = runs("=", "[A-Za-z0-9*?]", "[A-Za-z0-9*?]"), runs("<", "[A-Za-z0-9*?]", "[A-Za-z0-9]"), runs(">", "[A-Za-z0-9]", "[A-Za-z0-9*?]")
+    ranked = F.array_sort(F.transform(F.concat(whole, begins, ends), lambda s: F.struct(s["n"].alias("n"), (s["kind"] != "=").alias("part"), s["kind"].alias("kind"), s["w"].alias("w"))))
+    return F.coalesce(F.get(F.transform(ranked, lambda s: F.concat(s["kind"], s["w"])), F.lit(0)), F.lit(""))
 
 
 def fitting(texts: DataFrame, text: str, rules: DataFrame) -> DataFrame:
     """``texts`` with each rule (rule_id, glob and further columns) that fits: a row for each fit.
 
-    A text's words, each once, meet the rules filed under them; rules without a
-    word of their own meet every text. Then the whole glob is confirmed. Case counts.
+    A text's words, and their beginnings and ends as long as rules have some, each
+    once, meet the rules filed under them; rules without any word meet every text.
+    Then the whole glob is confirmed. Case counts.
     """
     filed = durable(rules.select("*", anchor(F.col("glob")).alias("_word"), pattern(F.col("glob")).alias("_pattern")))
     held = durable(texts.withColumn("_row", F.monotonically_increasing_id()))
-    words = held.select("_row", F.col(text).alias("_text"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)))).alias("_word"))
+    # one row: the different lengths of the beginnings and ends that rules are filed under
+    lengths = filed.agg(*[F.collect_set(F.when(F.startswith("_word", F.lit(kind)), F.length("_word") - 1)).alias(name) for kind, name in (("<", "_begins"), (">", "_ends"))])
+    found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_WORD), F.lit(0)))
+    cut = lambda kind, sizes, side: F.flatten(F.transform(found, lambda w: F.transform(F.filter(sizes, lambda n: n <= F.length(w)), lambda n: F.concat(F.lit(kind), side(w, n)))))
+    pieces = F.concat(F.transform(found, lambda w: F.concat(F.lit("="), w)), cut("<", "_begins", lambda w, n: F.left(w, n)), cut(">", "_ends", lambda w, n: F.right(w, n)))
+    words = held.crossJoin(F.broadcast(lengths)).select("_row", F.col(text).alias("_text"), F.explode(F.array_distinct(pieces)).alias("_word"))
     met = words.join(filed.where("_word <> ''"), "_word")
     wide = held.select("_row", F.col(text).alias("_text")).join(filed.where("_word = ''"), F.lit(True))
     columns = ["_row", *rules.columns]
