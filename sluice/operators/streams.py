@@ -96,7 +96,9 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text scores from the states of two shards' streams, each in several batches."""
     with scratch(spark, "metrics") as folder:
         both = durable(pairs(spark, sf_dir).withColumn("shard", F.col("conv_id") % 2))
+        # three batches a shard, each of as many files as tasks can run
+        wide = spark.sparkContext.defaultParallelism
         for shard in (0, 1):
-            both.where(F.col("shard") == shard).select("hyp", "ref").repartition(3).write.parquet(f"{folder}/in{shard}")
-            metrics.accumulated(incremental.new_files(spark, f"{folder}/in{shard}", "hyp string, ref string", 1), metrics.text_state, f"{folder}/state{shard}", f"{folder}/at{shard}")
+            both.where(F.col("shard") == shard).select("hyp", "ref").repartition(3 * wide).write.parquet(f"{folder}/in{shard}")
+            metrics.accumulated(incremental.new_files(spark, f"{folder}/in{shard}", "hyp string, ref string", wide), metrics.text_state, f"{folder}/state{shard}", f"{folder}/at{shard}")
         return durable(metrics.text_scores(metrics.merged(spark, f"{folder}/state0", f"{folder}/state1")))
