@@ -61,8 +61,9 @@ def annotation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc, source = F.col("doc_id"), F.to_json(F.array("source"))
     both = F.concat(F.lit("["), F.to_json(F.struct(F.col("lang").alias("gloss"))), F.lit(","), F.substring(source, F.lit(2), F.length(source) - 1))
     gloss = F.when(doc % 7 == 0, F.lit("[7]")).when(doc % 3 == 0, both).when(doc % 3 == 1, F.to_json(F.array("lang"))).otherwise(F.lit("null"))
-    rows = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null").select(doc.cast("string").alias("name"), code_points(F.col("text")).alias("label_char"), F.parse_json(gloss).alias("label_gloss"))
+    docs = table(spark, sf_dir, "documents").where("text is not null and lang is not null and source is not null").select("doc_id", "text", "lang", "source", doc.cast("string").alias("name"))
+    rows = manifests.by_name(docs).select("name", code_points(F.col("text")).alias("label_char"), F.parse_json(gloss).alias("label_gloss"))
     with scratch(spark, "annotations") as folder:
-        manifests.annotations_written(rows, folder)
+        manifests.annotations_written(rows, folder, ordered=True)
         found = manifests.annotation_records(manifests.json_lines(spark, folder))
         return durable(found.select("name", "caption", F.size("label_char").cast("long").alias("characters"), F.array_join("label_gloss", ",").alias("glosses"), F.array_join("problems", ",").alias("problems")))

@@ -154,11 +154,19 @@ def annotation_records(lines: DataFrame) -> DataFrame:
     return parsed.select("name", F.array_join("label_char", "").alias("caption"), "label_char", "label_gloss", problems.alias("problems"))
 
 
-def annotations_written(rows: DataFrame, target: str) -> None:
-    """Writes rows of name, label_char and label_gloss (texts or a VARIANT) as JSON lines, by name; a target that exists fails."""
+def by_name(rows: DataFrame) -> DataFrame:
+    """``rows`` in the order in which annotations are written."""
+    return rows.repartitionByRange("name").sortWithinPartitions("name")
+
+
+def annotations_written(rows: DataFrame, target: str, ordered: bool = False) -> None:
+    """Writes rows of name, label_char and label_gloss (texts or a VARIANT) as JSON lines, by name; a target that exists fails.
+
+    With ``ordered`` rows come from :func:`by_name`, which moved them before their texts were taken apart, and are not moved again.
+    """
     record = {"schema_version": F.lit(ANNOTATION_VERSION), "name": F.col("name"), "caption": F.array_join("label_char", ""), "label_char": F.col("label_char"), "label_gloss": F.col("label_gloss")}
-    ordered = rows.repartitionByRange("name").sortWithinPartitions("name")
-    ordered.select(F.to_json(F.struct(*[record[f].alias(f) for f in sorted(ANNOTATION_FIELDS)])).alias("value")).write.text(target)
+    placed = rows if ordered else by_name(rows)
+    placed.select(F.to_json(F.struct(*[record[f].alias(f) for f in sorted(ANNOTATION_FIELDS)])).alias("value")).write.text(target)
 
 
 def checksum_list(spark: SparkSession, path: str) -> DataFrame:
