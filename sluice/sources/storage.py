@@ -10,6 +10,7 @@ import stat
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import BinaryIO
 
@@ -23,6 +24,8 @@ _SAME = {"s3a": "s3", "s3n": "s3"}
 PIECE = 1 << 20
 #: Bytes of files that one task of a scan takes, about.
 TASK_BYTES = 128 << 20
+#: What opening a file is worth in bytes where files are dealt out, and files that are moved at a time.
+OPEN_BYTES, MOVERS = 256 << 10, 32
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -121,11 +124,12 @@ def dealt(files: list[Listed], task_bytes: int, split: bool) -> list[Files]:
         if split and file.size > task_bytes:
             out += [Files([file], k, min(k + task_bytes, file.size)) for k in range(0, file.size, task_bytes)]
             continue
-        if some and size + file.size > task_bytes:
+        worth = file.size + OPEN_BYTES
+        if some and size + worth > task_bytes:
             out.append(Files(some))
             some, size = [], 0
         some.append(file)
-        size += file.size
+        size += worth
     return out + [Files(some)] * bool(some)
 
 
@@ -197,10 +201,15 @@ class StagedWriter(DataSourceArrowWriter):
                 raise FileExistsError(f"not overwritten: {there[:3]}")
             for folder in sorted({os.path.dirname(f"{root}/{n}") for n in names} | {root}):
                 store.create_dir(folder, recursive=True)
-            for file in files:
+
+            def place(file: Written) -> None:
                 store.move(f"{root}/{file.waits}", f"{root}/{file.path}")
                 if store.get_file_info(f"{root}/{file.path}").size != file.size:
                     raise OSError(f"{file.path} is not as long as what was written")
+
+            with ThreadPoolExecutor(MOVERS) as movers:
+                for _ in movers.map(place, files):
+                    pass
         finally:
             self._cleared()
 
