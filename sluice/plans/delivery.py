@@ -20,6 +20,8 @@ from sluice.sources.storage import stream
 #: The layout's bounds.
 ROWS_PER_PART, PARTS_PER_CHUNK = 1024, 64
 ROW_GROUP_BYTES = 1 << 30
+#: Tasks that write parts, for each that can run at a time.
+WRITERS = 4
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,8 @@ def staged(rows: DataFrame, key: str, folder: str, **layout) -> Delivery:
     """
     out = Delivery(f"{folder}/data", f"{folder}/index", f"{folder}/inventory")
     laid = laid_out(rows, key, **layout)
-    dealt = laid.repartition("split", "chunk", "part").sortWithinPartitions("split", "chunk", "part", "row_index")
+    # a number of tasks of its own: small parts would be put together into few tasks, which write their files one after the other
+    dealt = laid.repartition(WRITERS * rows.sparkSession.sparkContext.defaultParallelism, "split", "chunk", "part").sortWithinPartitions("split", "chunk", "part", "row_index")
     # a part's rows fit into one row group
     dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("split", "chunk", "part").parquet(out.data)
     spark = rows.sparkSession
