@@ -27,18 +27,18 @@ without id are scored and not learned from; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.memory import released
+from sluice.llm.memory import Run, released
 from sluice.llm.sampling import hash_sample
 from sluice.plans.lineage import durable
 
@@ -52,46 +52,90 @@ LOGIT = 30.0
 RIDGE = 0.01
 KEEP_FROM = 0.5
 SHAPES = 32
-#: Rows of a batch whose features are worked out before they go on.
-ROWS_AT_ONCE = 2_048
+#: Marks that may stand around a word of letters.
+MARKS = ".,;:!?\"'()"
+#: Words of these scripts (Latin, Greek, Cyrillic) are told apart by Arrow, which knows other letters of the rest of Unicode than Python.
+AGREED = r"^[\x00-\x7f\x{c0}-\x{1c4}\x{1f4}-\x{24f}\x{370}-\x{379}\x{37b}-\x{52f}]*$"
+#: Rows, and bytes of their texts, whose features are worked out before they go on.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 2_048, 2 << 20
 HASHED = {"lang": 16, "source": 32, "host": 32}
 #: Powers of two from which a stated length counts once more.
 LENGTH_STEPS = tuple(range(4, 18, 2))
 
 
+@functools.lru_cache(1 << 16)
+def _shape(end: str, alpha: bool) -> int:
+    """The slot of a word's last three characters: letters of words of letters only, else what kinds of characters they are."""
+    return xxhash.xxh32_intdigest(end.lower() if alpha else "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in end)) % SHAPES
+
+
+def _word_kinds(words: pa.Array) -> np.ndarray:
+    """Of different words, in one number each: characters, whether all are capitals, whether some are no letters, and the shape's slot."""
+    letters = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = pc.match_substring_regex(words, AGREED)
+    plain, known = words.filter(known), known.to_numpy(zero_copy_only=False)
+    alpha = pc.utf8_is_alpha(plain)
+    bare = pc.replace_substring(pc.ascii_trim(plain, characters=MARKS), "-", "")
+    ends = pc.binary_join_element_wise(pc.if_else(alpha, "a", "-"), pc.utf8_slice_codeunits(plain, start=-3), "").dictionary_encode()
+    loud, mixed, slot = np.zeros((3, len(words)), np.int64)
+    loud[known], mixed[known] = pc.utf8_is_upper(plain).to_numpy(zero_copy_only=False), ~pc.utf8_is_alpha(bare).to_numpy(zero_copy_only=False)
+    slot[known] = np.array([_shape(e[1:], e[0] == "a") for e in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+    rest = [(w.isupper(), not w.strip(MARKS).replace("-", "").isalpha(), _shape(w[-3:], w.isalpha())) for w in words.filter(pa.array(~known)).to_pylist()]
+    loud[~known], mixed[~known], slot[~known] = np.array(rest, np.int64).reshape(-1, 3).T
+    return ((letters << 1 | loud & (letters > 1)) << 1 | mixed) * SHAPES + slot
+
+
+def text_matrix(texts: pa.Array) -> np.ndarray:
+    """The text view of every row: shares of characters and words by kind, repetition, word shapes.
+
+    All words count. Each different word of the rows is looked at once.
+    """
+    texts = pc.fill_null(texts, "")
+    rows, offsets = len(texts), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    codes = np.stack([np.bincount(data[a:b], minlength=256) for a, b in zip(offsets, offsets[1:])])
+    long = np.maximum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), 1)
+
+    split = pc.utf8_split_whitespace(texts)
+    words, row = split.flatten(), np.repeat(np.arange(rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    there = pc.not_equal(words, "")  # a text that begins or ends with space has an empty part there
+    coded, row = words.filter(there).dictionary_encode(), row[there.to_numpy(zero_copy_only=False)]
+    at, different = coded.indices.to_numpy(), len(coded.dictionary)
+    kinds = _word_kinds(coded.dictionary)[at]
+    letters, loud, mixed, shape = kinds // SHAPES >> 2, kinds // SHAPES >> 1 & 1, kinds // SHAPES & 1, kinds % SHAPES
+    sums = lambda weights: np.bincount(row, weights, rows)
+    counted = sums(None)
+    n = np.maximum(counted, 1)
+    again = np.bincount(row[1:][(at[1:] == at[:-1]) & (row[1:] == row[:-1])], minlength=rows)
+    pairs = np.sort(row * max(different, 1) + at)
+    vocabulary = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] // max(different, 1), minlength=rows)
+    shapes = np.bincount(row * SHAPES + shape, minlength=rows * SHAPES).reshape(rows, SHAPES)
+
+    lines = codes[:, 10] + 1
+    upper, digits, dots = codes[:, 65:91].sum(axis=1), codes[:, 48:58].sum(axis=1), codes[:, [33, 46, 63]].sum(axis=1)
+    signs = codes[:, 33:48].sum(axis=1) + codes[:, 58:65].sum(axis=1) + codes[:, 91:97].sum(axis=1) + codes[:, 123:127].sum(axis=1)
+    base = [*(c / long for c in (upper, digits, dots, signs, codes[:, 124], codes[:, 33])), sums(loud) / n, sums(mixed) / n, again / n, vocabulary / n]
+    base += [np.log1p(counted) / 10, sums(letters) / n / 10, np.log1p(lines) / 5, lines / n, pc.count_substring(texts, "\n\n").to_numpy(zero_copy_only=False) / lines]
+    return np.hstack([np.stack(base, axis=1), shapes / n[:, None]])
+
+
 def text_features(text: str) -> np.ndarray:
-    """The text view: shares of characters and words by kind, repetition, word shapes."""
-    words = text.split()
-    n = max(len(words), 1)
-    codes = np.bincount(np.frombuffer(text.encode(errors="replace"), np.uint8), minlength=256) / max(len(text), 1)
-    upper, digits = codes[65:91].sum(), codes[48:58].sum()
-    dots = codes[[33, 46, 63]].sum()
-    signs = codes[33:48].sum() + codes[58:65].sum() + codes[91:97].sum() + codes[123:127].sum()
-    times = Counter(words)
-    loud = mixed = letters = 0
-    shapes = np.zeros(SHAPES)
-    for w, t in times.items():
-        letters += t * len(w)
-        loud += t * (len(w) > 1 and w.isupper())
-        mixed += t * (not w.strip(".,;:!?\"'()").replace("-", "").isalpha())
-        shapes[xxhash.xxh32_intdigest(w[-3:].lower() if w.isalpha() else "".join("a" if c.isalpha() else "0" if c.isdigit() else c for c in w[-3:])) % SHAPES] += t
-    same = sum(map(str.__eq__, words, words[1:])) / n
-    lines = text.count("\n") + 1
-    base = [upper, digits, dots, signs, codes[124], codes[33], loud / n, mixed / n, same, len(times) / n, np.log1p(len(words)) / 10, letters / n / 10, np.log1p(lines) / 5, lines / n, text.count("\n\n") / lines]
-    return np.concatenate([base, shapes / max(shapes.sum(), 1)])
-
-
-def metadata_features(lang: str | None, source: str | None, n_chars: float | None, url: str | None = None) -> np.ndarray:
-    """The metadata view: language, source, host and stated length; it does not see the text."""
-    found = re.search(r"://([^/?#]*)", url or "")
-    parts = []
-    for name, value in (("lang", lang), ("source", source), ("host", found and found[1].lower())):
-        hashed = np.zeros(HASHED[name])
-        hashed[xxhash.xxh32_intdigest(f"{name}={value}") % HASHED[name]] = 1
-        parts.append(hashed)
-    known = n_chars is not None and n_chars == n_chars
-    size = np.log2(max(float(n_chars), 0.0) + 1) if known else 0.0
-    return np.concatenate([[float(known), size / 20, *(max(0.0, size - s) / 20 for s in LENGTH_STEPS)], *parts])
+    """The text view of one text."""
+    return text_matrix(pa.array([text], pa.string()))[0]
+
+
+def metadata_matrix(lang: pa.Array, source: pa.Array, n_chars: pa.Array, url: pa.Array) -> np.ndarray:
+    """The metadata view of every row: language, source, host and stated length; it does not see the text."""
+    lengths = n_chars.to_numpy(zero_copy_only=False)
+    known = ~np.isnan(lengths)
+    size = np.log2(np.maximum(np.where(known, lengths, 0.0), 0.0) + 1)
+    parts = [np.stack([known, size / 20, *(np.maximum(0.0, size - s) / 20 for s in LENGTH_STEPS)], axis=1)]
+    host = pc.utf8_lower(pc.struct_field(pc.extract_regex(url, r"://(?P<host>[^/?#]*)"), "host"))
+    for name, values in (("lang", lang), ("source", source), ("host", host)):
+        coded = values.dictionary_encode(null_encoding="encode")
+        slots = np.array([xxhash.xxh32_intdigest(f"{name}={v}") % HASHED[name] for v in coded.dictionary.to_pylist()], np.int64)
+        parts.append(np.eye(HASHED[name])[slots[coded.indices.to_numpy()]])
+    return np.hstack(parts)
 
 
 SEEN = ("text", "lang", "source", "n_chars", "url")
@@ -99,13 +143,20 @@ KINDS = {c: pa.float64() if c == "n_chars" else pa.string() for c in SEEN}
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Both views of a batch, a few rows' texts at a time."""
-    words, meta = [], []
-    for k in range(0, batch.num_rows, 256):
-        columns = [batch.column(c).slice(k, 256).cast(KINDS[c]).to_pylist() if c in batch.schema.names else [None] * 256 for c in SEEN]
-        words += [text_features(t or "") for t in columns[0]]
-        meta += [metadata_features(*m) for _, m in zip(columns[0], zip(*columns[1:]))]
-    return np.array(words).reshape(batch.num_rows, -1), np.array(meta).reshape(batch.num_rows, -1)
+    """Both views of a batch of one row or more."""
+    text, *rest = [batch.column(c).cast(KINDS[c]) if c in batch.schema.names else pa.nulls(batch.num_rows, KINDS[c]) for c in SEEN]
+    return text_matrix(text), metadata_matrix(*rest)
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of so few rows and bytes of text that their words fit in memory; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.string())), 0).to_numpy(zero_copy_only=False)) if "text" in batch.schema.names else np.zeros(batch.num_rows)
+    k = 0
+    while k < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[k - 1] if k else 0) + BYTES_AT_ONCE, side="right"))
+        end = max(k + 1, min(end, k + ROWS_AT_ONCE))
+        yield batch.slice(k, end - k)
+        k = end
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
@@ -250,18 +301,23 @@ def pseudo_weight(p: np.ndarray, kind: int, good: float) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    """A view's rows, which are bytes of floats or lists."""
+    if pa.types.is_binary(column.type):
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + rows + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(rows, -1).astype(float)
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).astype(float)
 
 
 def _logit_bins(views: list[View]):
+    """How many rows of a partition each view's bins hold."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, BINS), np.int64)
         for batch in batches:
             if batch.num_rows:
                 for v, name in enumerate(("words", "meta")):
                     found[v] += np.bincount(_bin(views[v].logit(_matrix(batch.column(name), batch.num_rows))), minlength=BINS)
-        view, bins = np.nonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(view.astype(np.int32)), pa.array(bins.astype(np.int32)), pa.array(found[view, bins])], names=["view", "bin", "n"])
+        yield _sum_rows(dict(enumerate(found)))
 
     return count
 
@@ -280,41 +336,41 @@ def _lessons(views: list[View], limits: list[tuple[int, int]], good: float, widt
                 place, p = _bin(logit), _sigmoid(logit)
                 for kind, at in ((0, place <= limits[v][0]), (1, place >= limits[v][1])):
                     sums[1 - v].add(kind, x[1 - v][at], pseudo_weight(p[at], kind, good))
-        yield _sum_rows(sums)
+        yield _sum_rows({v: s.flat() for v, s in enumerate(sums)})
 
     return gather
 
 
-def _sum_rows(sums: list[Sums]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([s.flat() for s in sums], pa.list_(pa.float64()))], names=["view", "sums"])
+SUMS = "view int, sums array<double>"
 
 
-def _merged(widths: tuple[int, int]):
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [Sums(w) for w in widths]
-        for batch in batches:
-            for v, flat in zip(batch.column("view").to_pylist(), batch.column("sums")):
-                sums[v] = sums[v] + Sums.of(flat.values.to_numpy(), widths[v])
-        yield _sum_rows(sums)
+def _sum_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(float) for x in sums.values()], pa.list_(pa.float64()))], names=["view", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for v, flat in zip(batch.column("view").to_pylist(), batch.column("sums")):
+            sums[v] = sums.get(v, 0.0) + flat.values.to_numpy()
+    yield _sum_rows(sums)
+
 
-    return merge
+def _sums(pool: DataFrame, of: Run, widths: tuple[int, int]) -> list[np.ndarray]:
+    """Both views' sums over all rows: two rows leave a partition, and a few tasks add them up before the driver does."""
+    sums = [np.zeros(w) for w in widths]
+    for r in pool.mapInArrow(released(of), SUMS).repartition(8).mapInArrow(_added, SUMS).collect():
+        sums[r["view"]] += np.array(r["sums"])
+    return sums
 
 
 def teacher(pool: DataFrame, good: float, widths: tuple[int, int]) -> Teach:
     """Labels all rows of ``pool`` (both views) that a view is surest of, on Spark."""
 
     def teach(views: list[View], turn: int) -> list[Sums]:
-        counts = np.zeros((2, BINS), np.int64)
-        # at most BINS rows for each view
-        for r in pool.mapInArrow(released(_logit_bins(views)), "view int, bin int, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).collect():
-            counts[r["view"], r["bin"]] = r["n"]
-        limits = [cuts(c, good, SHARE * (turn + 1)) for c in counts]
-        # two rows leave a partition; a few tasks add them up before the driver does
-        found = pool.mapInArrow(released(_lessons(views, limits, good, widths)), "view int, sums array<double>").repartition(8).mapInArrow(_merged(widths), "view int, sums array<double>")
-        sums = [Sums(w) for w in widths]
-        for r in found.collect():
-            sums[r["view"]] = sums[r["view"]] + Sums.of(np.array(r["sums"]), widths[r["view"]])
-        return sums
+        limits = [cuts(c, good, SHARE * (turn + 1)) for c in _sums(pool, _logit_bins(views), (BINS, BINS))]
+        flat = _sums(pool, _lessons(views, limits, good, widths), tuple(len(Sums(w).flat()) for w in widths))
+        return [Sums.of(f, w) for f, w in zip(flat, widths)]
 
     return teach
 
@@ -325,9 +381,10 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in SEEN])
 
 
-def _lists(x: np.ndarray) -> pa.Array:
-    """A matrix's rows as lists of floats."""
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.astype(np.float32).ravel()))
+def _bytes(x: np.ndarray) -> pa.Array:
+    """A matrix's rows as bytes of floats, which move between Spark and Python as they are."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x, np.float32))])
 
 
 def featured(docs: DataFrame) -> DataFrame:
@@ -335,11 +392,10 @@ def featured(docs: DataFrame) -> DataFrame:
 
     def see(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_lists, _features(part))], names=["doc_id", "words", "meta"])
+            for part in _pieces(batch):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(_bytes, _features(part))], names=["doc_id", "words", "meta"])
 
-    return _rows(docs).mapInArrow(released(see), "doc_id long, words array<float>, meta array<float>")
+    return _rows(docs).mapInArrow(released(see), "doc_id long, words binary, meta binary")
 
 
 def fitted(features: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS) -> Model | None:
@@ -348,28 +404,18 @@ def fitted(features: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     ids = features.select(F.col("doc_id").alias("l_id")).where("l_id is not null").distinct()
     known = durable(told.join(ids, "l_id", "left_semi"))
     # at most labelled_rows ids
-    wanted = hash_sample(known, "l_id", labelled_rows)
+    wanted = durable(hash_sample(known, "l_id", labelled_rows))
     rows = features.join(F.broadcast(wanted), F.col("doc_id") == F.col("l_id")).select("l_id", "quality", "words", "meta")
     found = rows.groupBy("l_id").agg(*[F.any_value(c).alias(c) for c in ("quality", "words", "meta")]).toPandas().sort_values("l_id")
     y = found["quality"].to_numpy(float)
     held = np.array([xxhash.xxh32_intdigest(str(i)) % 4 == 0 for i in found["l_id"]], bool)
     if not all(len(set(part)) == 2 for part in (y[held], y[~held])):
         return None
-    views = [np.array(found[c].to_list(), float) for c in ("words", "meta")]
-    pool = features.where("doc_id is not null").mapInArrow(_outside(found["l_id"].to_numpy()), features.schema)
+    views = [np.stack([np.frombuffer(x, np.float32) for x in found[c]]).astype(float) for c in ("words", "meta")]
+    pool = features.where("doc_id is not null").join(F.broadcast(wanted.select("l_id")), F.col("doc_id") == F.col("l_id"), "left_anti")
     return co_trained((views[0], views[1]), y, held, teacher(pool, float(y.mean()), (views[0].shape[1], views[1].shape[1])), rounds)
 
 
-def _outside(sample: np.ndarray):
-    """The rows whose id is not in ``sample``."""
-
-    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(~np.isin(batch.column("doc_id").to_numpy(), sample)))
-
-    return outside
-
-
 def _scores(model: Model | None, rows: int, views: Callable[[], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.full(rows, 0.5),) * 3 if model is None or not rows else model.score(*views())
 
@@ -394,8 +440,7 @@ def kept(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(k, ROWS_AT_ONCE)
+            for part in _pieces(batch):
                 marks = _scores(model, part.num_rows, lambda b=part: tuple(m.astype(np.float32).astype(float) for m in _features(b)))[2] >= KEEP_FROM
                 yield part.filter(pa.array(marks))
 

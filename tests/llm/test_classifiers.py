@@ -1,11 +1,15 @@
 """Classifiers: held-out accuracy, edge cases, and the pipeline."""
 
+import collections
 import math
 import random
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from sluice.llm import quality, toxicity
 
@@ -64,6 +68,45 @@ def test_word_shapes_count_all_words():
     assert quality.text_features(" ".join(words))[-quality.SHAPES :].tolist() == pytest.approx(want)
 
 
+def features_by_words(text):
+    """The text view, a word at a time."""
+    words, codes, shapes = text.split(), collections.Counter(text.encode()), [0] * quality.SHAPES
+    among = lambda chars: sum(codes[ord(c)] for c in chars) / max(len(text), 1)
+    kind = lambda c: "a" if c.isalpha() else "0" if c.isdigit() else c
+    for w in words:
+        shapes[xxhash.xxh32_intdigest(w[-3:].lower() if w.isalpha() else "".join(map(kind, w[-3:]))) % quality.SHAPES] += 1
+    n, lines = max(len(words), 1), text.count("\n") + 1
+    base = [among(string.ascii_uppercase), among(string.digits), among("!.?"), among(string.punctuation), among("|"), among("!")]
+    base += [sum(len(w) > 1 and w.isupper() for w in words) / n, sum(not w.strip(".,;:!?\"'()").replace("-", "").isalpha() for w in words) / n, sum(a == b for a, b in zip(words, words[1:])) / n]
+    base += [len(set(words)) / n, math.log1p(len(words)) / 10, sum(map(len, words)) / n / 10, math.log1p(lines) / 5, lines / n, text.count("\n\n") / lines]
+    return base + [s / n for s in shapes]
+
+
+def test_text_features_of_many_rows_at_once():
+    """Words are told by script: each kind of characters that Python or Arrow looks at, alone and within words."""
+    rng = random.Random(2)
+    texts = ["", None, " ", "\n\n\n\n", "a", " a", "x y\x1cz\x85w", "a a a b b", "ⅠⅡ ÀÉ ÉÉ ß İi ǅ Aª ²½", "漢字 かな 12年", "A" * 5000, "é " * 30, "a\x00b c", "a\n\nb\n\n\nc"]
+    texts += [" ".join(form.format(chr(c)) for c in range(a, a + 256) for form in ("{}", "A{}B", "a{}b", "-{}.")) for a in range(0, 0x3000, 256)]
+    texts += ["".join(rng.choice("aAbBé漢ß 0½-.,!\n\t  '()|") for _ in range(rng.randrange(200))) for _ in range(300)]
+    batch = pa.record_batch([pa.array(texts)], names=["text"]).slice(1)
+    parts = list(quality._pieces(batch))
+    assert pa.Table.from_batches(parts).column("text").to_pylist() == texts[1:]
+    got = np.concatenate([quality.text_matrix(p.column("text")) for p in parts])
+    assert np.allclose(got, [features_by_words(t or "") for t in texts[1:]], rtol=0, atol=1e-12)
+
+
+def test_each_different_word_of_a_batch_is_looked_at_once(monkeypatch):
+    """Work that grew with each text's words: a batch of equal words asks Python for few shapes, and once for its words."""
+    seen, real = [], quality._word_kinds
+    monkeypatch.setattr(quality, "_word_kinds", lambda words: seen.append(len(words)) or real(words))
+    text = "some words that come again And again"
+    batch = pa.record_batch([pa.array([text] * 2000)], names=["text"])
+    words, meta = quality._features(batch)
+    assert seen == [6] and len(words) == len(meta) == 2000
+    packed = quality._bytes(words)
+    assert packed.type == pa.binary() and (quality._matrix(packed.slice(3), 1997) == words[3:].astype(np.float32)).all()
+
+
 def two_views(n, rng, text_noise, meta_noise):
     """Two views of the same hidden kind, apart from each other."""
     kinds = (rng.random(n) < 0.6).astype(float)
