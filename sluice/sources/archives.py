@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
-from sluice.sources.storage import PIECE, TASK_BYTES, Files, Output, StagedWriter, dealt, listed, opened, pieces, stream
+from sluice.plans.lineage import durable
+from sluice.sources.storage import PIECE, TASK_BYTES, Files, Output, StagedWriter, arrow, batch, batched, dealt, listed, listing, opened, pieces, stream, tasks_for, written
 
 MEMBER = "archive string, member string, size long, compressed long, crc32 long, offset long, problem string, sha256 string"
 #: Bytes from which an archive that is written is ended.
@@ -39,17 +40,6 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-_TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.strip().split(" ") for c in ddl.split(","))])
-
-
 class ZipArchives(DataSource):
     """Members of ZIP archives below ``path``: where they lie, their sizes and checksum, what is wrong, and a digest.
 
@@ -84,16 +74,8 @@ class ZipReader(DataSourceReader):
         return dealt(listed(self.path, "*.zip"), self.task_bytes, split=True)
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        schema = _arrow(MEMBER)
         for file in partition.files:
-            rows = []
-            for row in self._members(file.uri, file.problem, partition.begin, partition.end):
-                rows.append(row)
-                if len(rows) >= 2048:
-                    yield _batch(rows, schema)
-                    rows = []
-            if rows:
-                yield _batch(rows, schema)
+            yield from batched(self._members(file.uri, file.problem, partition.begin, partition.end), MEMBER)
 
     def _members(self, uri: str, refused: str | None, begin: int, end: int | None) -> Iterator[tuple]:
         nothing = (None,) * 5
@@ -199,14 +181,14 @@ def extracted(found: DataFrame, target: str, done: DataFrame | None = None) -> D
     All of them appear, or none if a task fails for good. Members are dealt out by archive and place.
     """
     spark = found.sparkSession
-    register(spark)
     sound = found.where("problem is null")
     if done is not None:
         sound = sound.join(done, ["archive", "member", "size", "crc32"], "left_anti")
     stem = F.regexp_extract("archive", r"([^/]+?)(?:\.zip)?$", 1)
-    named = sound.withColumn("file", F.concat(stem, F.lit("/"), F.regexp_replace("member", r"\\", "/")))
-    dealt_out = named.select("archive", "member", F.col("file").alias("target"), "offset").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    dealt_out.drop("offset").write.format("sluice_zip_extract").mode("append").save(target)
+    named = durable(sound.withColumn("file", F.concat(stem, F.lit("/"), F.regexp_replace("member", r"\\", "/"))))
+    tasks = tasks_for(spark, *named.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
+    dealt_out = named.select("archive", "member", F.col("file").alias("target"), "offset").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
+    written(dealt_out.drop("offset"), ZipExtractor(target))
     return named
 
 
@@ -243,7 +225,7 @@ class InventoryReader(DataSourceReader):
                 digest, problem = digested(file.uri, file.size, file.mtime)
             rows.append((file.path, file.size, file.mtime, digest, problem))
         if rows:
-            yield _batch(rows, _arrow(_INVENTORY))
+            yield batch(rows, arrow(_INVENTORY))
 
 
 def digested(uri: str, size: int, mtime: int) -> tuple[str | None, str | None]:
@@ -261,6 +243,21 @@ def digested(uri: str, size: int, mtime: int) -> tuple[str | None, str | None]:
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*", digest: bool = True) -> DataFrame:
-    """path (below the folder), size, mtime, sha256 and problem of every file, ordered by the bytes of the path."""
-    register(spark)
-    return spark.read.format("sluice_inventory").option("glob", glob).option("digest", str(digest).lower()).load(path).orderBy("path")
+    """path (below the folder), size, mtime, sha256 and problem of every file, ordered by the bytes of the path.
+
+    The rows of ``sluice_inventory``, but tasks list the folders too, so the driver holds no files; each is read once.
+    """
+    files = listing(spark, path, glob)
+    if not digest:
+        return files.select("path", "size", "mtime", F.lit(None).cast("string").alias("sha256"), "problem").orderBy("path")
+    tasks = tasks_for(spark, *files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
+    return durable(files.repartition(tasks).mapInArrow(_digests, _INVENTORY)).orderBy("path")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
+        for some in batches:
+            for uri, path, size, mtime, problem in zip(*(c.to_pylist() for c in some.columns)):
+                yield path, size, mtime, *((None, problem) if problem else digested(uri, size, mtime))
+
+    return batched(rows(), _INVENTORY)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
+from sluice.sources import storage
 from sluice.sources.storage import PIECE, TASK_BYTES, Files, Output, StagedWriter, dealt, listed, stream
 
 SCANNED = "path string, name string, dtype string, shape array<bigint>, finite boolean, counts boolean, problem string"
@@ -46,11 +47,15 @@ class ArrayFiles(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> ArrayWriter:
         if overwrite:
             raise ValueError("array files are never replaced: use mode append")
-        if "path" not in schema.names or len(schema.names) < 2:
-            raise ValueError("rows need path and at least one array")
+        _checked(schema.names)
         return ArrayWriter(self.options["path"], dict(p.split("=") for p in self.options.get("dtypes", "").split(",") if p))
 
 
+def _checked(names: list[str]) -> None:
+    if "path" not in names or len(names) < 2:
+        raise ValueError("rows need path and at least one array")
+
+
 class ArrayReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.task_bytes = options["path"], int(options.get("taskbytes", TASK_BYTES))
@@ -145,7 +150,5 @@ def shaped(value: pa.Scalar, dtype: str | None = None) -> np.ndarray:
 
 def written(rows: DataFrame, target: str, dtypes: dict[str, str] | None = None) -> None:
     """Writes a file for each row of path and arrays, none of which may exist."""
-    from sluice.sources.archives import register
-
-    register(rows.sparkSession)
-    rows.write.format("sluice_arrays").mode("append").option("dtypes", ",".join(f"{k}={v}" for k, v in (dtypes or {}).items())).save(target)
+    _checked(rows.columns)
+    storage.written(rows, ArrayWriter(target, dtypes or {}))

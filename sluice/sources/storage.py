@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import hashlib
 import os
 import re
@@ -11,13 +12,17 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSourceArrowWriter, InputPartition, WriterCommitMessage
 
+from sluice.plans.lineage import durable
+
 #: Schemes that Hadoop and Arrow name differently.
 _SAME = {"s3a": "s3", "s3n": "s3"}
 #: Bytes that are read or written at a time.
@@ -26,6 +31,38 @@ PIECE = 1 << 20
 TASK_BYTES = 128 << 20
 #: What opening a file is worth in bytes where files are dealt out, and files that are moved at a time.
 OPEN_BYTES, MOVERS = 256 << 10, 32
+#: Small files that a task of a Spark job takes, about.
+TASK_FILES = 4096
+
+LISTED = "uri string, path string, size long, mtime long, problem string"
+WRITTEN = "path string, waits string, size long, sha256 string"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def arrow(ddl: str) -> pa.Schema:
+    """The Arrow schema of names and types of Spark."""
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.strip().split(" ") for c in ddl.split(","))])
+
+
+def batched(rows: Iterator[tuple], ddl: str) -> Iterator[pa.RecordBatch]:
+    """Rows in batches, a few at a time."""
+    some: list[tuple] = []
+    for row in rows:
+        some.append(row)
+        if len(some) >= 2048:
+            yield batch(some, arrow(ddl))
+            some = []
+    if some:
+        yield batch(some, arrow(ddl))
+
+
+def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def tasks_for(spark: SparkSession, files: int, size: int) -> int:
+    """The tasks that work on so many files and bytes is dealt out to."""
+    return max(1, min(files, spark.sparkContext.defaultParallelism), files // TASK_FILES + size // TASK_BYTES)
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -105,6 +142,63 @@ def _walked(top: str) -> Iterator[tuple[str, int, int, str | None]]:
             yield f"{folder}/{name}", about.st_size, about.st_mtime_ns, problem
 
 
+def listing(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """uri, path, size, mtime and problem of the files that ``listed`` gives, found by tasks, a level of folders at a time; the driver holds none of them."""
+    store, path = opened(root)
+    about = store.get_file_info(path).type
+    if about == fs.FileType.NotFound:
+        raise FileNotFoundError(root)
+    if about == fs.FileType.File:
+        return spark.createDataFrame([astuple(f) for f in listed(root, glob)], LISTED)
+    found, folders = [], spark.createDataFrame([("",)], "path string")
+    while True:
+        seen = durable(folders.mapInArrow(_entries(root, glob), f"{LISTED}, folder boolean"))
+        found.append(seen.where("not folder").drop("folder"))
+        below = seen.where("folder").select("path")
+        if not (many := below.count()):
+            return functools.reduce(DataFrame.union, found)
+        # opening a folder is worth some files
+        folders = below.repartition(tasks_for(spark, many, many * OPEN_BYTES))
+
+
+def _entries(root: str, glob: str):
+    """What lies in folders below ``root``: files whose names match, and folders."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        store, top = opened(root)
+        top, local = top.rstrip("/"), isinstance(store, fs.LocalFileSystem)
+        for some in batches:
+            for folder in some.column("path").to_pylist():
+                held = _held(f"{top}/{folder}" if folder else top or "/") if local else _held_by(store, f"{top}/{folder}" if folder else top)
+                for name, size, mtime, problem, is_folder in held:
+                    below = f"{folder}/{name}" if folder else name
+                    if name[:1] not in ("_", ".") and (is_folder or fnmatch.fnmatch(name, glob)):
+                        yield f"file://{top}/{below}" if local else f"{root.rstrip('/')}/{below}", below, size, mtime, problem, is_folder
+
+    return lambda batches: batched(rows(batches), f"{LISTED}, folder boolean")
+
+
+def _held(folder: str) -> Iterator[tuple]:
+    try:
+        entries = os.scandir(folder)
+    except FileNotFoundError:  # gone meanwhile
+        return
+    with entries:
+        for entry in entries:
+            try:
+                about = entry.stat(follow_symlinks=False)
+            except FileNotFoundError:
+                continue
+            is_folder = stat.S_ISDIR(about.st_mode)
+            problem = "link" if stat.S_ISLNK(about.st_mode) else None if is_folder or stat.S_ISREG(about.st_mode) else "not a regular file"
+            yield entry.name, about.st_size, about.st_mtime_ns, problem, is_folder
+
+
+def _held_by(store: fs.FileSystem, folder: str) -> Iterator[tuple]:
+    for about in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        yield about.base_name, about.size, about.mtime_ns or 0, None, about.type == fs.FileType.Directory
+
+
 @dataclass
 class Files(InputPartition):
     """Files, or a range of one (``begin`` to ``end``), that a task reads."""
@@ -174,7 +268,8 @@ class StagedWriter(DataSourceArrowWriter):
     that no other attempt uses, and tells the driver paths, sizes and digests
     only. Commit refuses targets that exist or that two tasks wrote, then moves
     every file to its place; abort, and commit at its end, remove the staging
-    folder. Subclasses say with ``put`` what goes into which file.
+    folder. Subclasses say with ``put`` what goes into which file. Files of any
+    number are for ``written``, which tells the driver none of them.
     """
 
     def __init__(self, target: str):
@@ -201,18 +296,39 @@ class StagedWriter(DataSourceArrowWriter):
                 raise FileExistsError(f"not overwritten: {there[:3]}")
             for folder in sorted({os.path.dirname(f"{root}/{n}") for n in names} | {root}):
                 store.create_dir(folder, recursive=True)
-
-            def place(file: Written) -> None:
-                store.move(f"{root}/{file.waits}", f"{root}/{file.path}")
-                if store.get_file_info(f"{root}/{file.path}").size != file.size:
-                    raise OSError(f"{file.path} is not as long as what was written")
-
             with ThreadPoolExecutor(MOVERS) as movers:
-                for _ in movers.map(place, files):
+                for _ in movers.map(lambda f: _placed(store, root, f), files):
                     pass
         finally:
             self._cleared()
 
+    def staged(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task of ``written`` does: files wait in the staging folder, and are its rows."""
+        yield from batched(map(astuple, self.write(batches).files), WRITTEN)
+
+    def there(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of path and times, and whether there is such a file."""
+        store, root = opened(self.target)
+        for some in batches:
+            for k in range(0, some.num_rows, 1000):
+                part = some.slice(k, 1000)
+                about = store.get_file_info([f"{root}/{n}" for n in part.column("path").to_pylist()])
+                yield part.append_column("there", pa.array([i.type != fs.FileType.NotFound for i in about]))
+
+    def places(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Moves the files of a task to their places; a task that comes again finds some of them moved."""
+        store, root = opened(self.target)
+        made, many = set(), 0
+        for some in batches:
+            files = [Written(*f) for f in zip(*(some.column(c).to_pylist() for c in ("path", "waits", "size", "sha256")))]
+            for folder in {os.path.dirname(f"{root}/{f.path}") for f in files} - made:
+                store.create_dir(folder, recursive=True)
+                made.add(folder)
+            # a local move takes no time to wait for
+            with ThreadPoolExecutor(1 if isinstance(store, fs.LocalFileSystem) else MOVERS // 4) as movers:
+                many += sum(1 for _ in movers.map(lambda f: _placed(store, root, f, again=True), files))
+        yield batch([(many,)], arrow("files long"))
+
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._cleared()
 
@@ -222,6 +338,41 @@ class StagedWriter(DataSourceArrowWriter):
             store.delete_dir(f"{root}/{self.staging}")
 
 
+def _placed(store: fs.FileSystem, root: str, file: Written, again: bool = False) -> None:
+    try:
+        store.move(f"{root}/{file.waits}", f"{root}/{file.path}")
+    except FileNotFoundError:
+        if not again:
+            raise
+    if store.get_file_info(f"{root}/{file.path}").size != file.size:
+        raise OSError(f"{file.path} is not as long as what was written")
+
+
+def written(rows: DataFrame, writer: StagedWriter) -> None:
+    """Writes ``rows`` as files of any number: all appear when all are written, and none is replaced.
+
+    What tasks wrote is a table in the shared folder. Tasks look for targets that exist or that two of
+    them wrote, and if there are none, tasks move the files; the driver gets counts only.
+    """
+    store, root = opened(writer.target)
+    try:
+        files = durable(rows.mapInArrow(writer.staged, WRITTEN))
+        many = files.count()
+        tasks = tasks_for(rows.sparkSession, many, 0)
+        named = files.repartition(tasks, "path").groupBy("path").agg(F.count("*").alias("times"))
+        fault = named.mapInArrow(writer.there, "path string, times long, there boolean").agg(*[F.min(F.when(c, F.col("path"))).alias(n) for n, c in (("twice", F.col("times") > 1), ("there", F.col("there")))]).first()
+        if fault["twice"] is not None:
+            raise FileExistsError(f"written twice: {fault['twice']}")
+        if fault["there"] is not None:
+            raise FileExistsError(f"not overwritten: {fault['there']}")
+        store.create_dir(root, recursive=True)
+        moved = files.repartition(tasks).mapInArrow(writer.places, "files long").agg(F.sum("files")).first()[0]
+        if many and moved != many:
+            raise OSError(f"{moved} of {many} files were moved")
+    finally:
+        writer._cleared()
+
+
 class Output:
     """The files of one attempt of a task, one open at a time."""
 

@@ -217,3 +217,58 @@ def test_frames_of_sequences_and_back(spark):
     apart = unstacked(rows, ["id"], "frames")
     assert sorted(tuple(r) for r in apart.collect()) == [("a", 0, [1.0, 2.0]), ("a", 1, [3.0, 4.0])]
     assert [tuple(r) for r in stacked(apart, ["id"], "frame", "values").collect()] == [("a", [[1.0, 2.0], [3.0, 4.0]])]
+
+
+def to_driver(spark):
+    """By stage, the most bytes of results that a task sent to the driver."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(spark._jvm.double, 0), None)
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return {(s.stageId(), s.attemptId()): s.resultSize() / max(s.numTasks(), 1) for s in stages}
+
+
+def test_the_driver_is_told_no_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in "ab":
+        with zipfile.ZipFile(tmp_path / f"in/{name}.zip", "w") as z:
+            for k in range(3000):
+                z.writestr(f"{k}.txt", f"{name}{k}")
+    before = to_driver(spark)
+    target = str(tmp_path / "out")
+    archives.extracted(archives.members(spark, str(tmp_path / "in"), ".txt", digest=False), target)
+    arrays.written(spark.range(2000, numPartitions=1).select(F.concat(F.lit("v/"), "id", F.lit(".npy")).alias("path"), F.array("id").alias("v")), target)
+    found = archives.inventory(spark, target)
+    told = {k: v for k, v in to_driver(spark).items() if k not in before}
+    # range bounds take samples of some hundred rows a task; names and digests of 2,000 files take 400 kB
+    assert told and max(told.values()) < 200_000
+    assert "BatchScan" not in found._jdf.queryExecution().toString()
+    rows = {r["path"]: r["sha256"] for r in found.collect()}
+    assert len(rows) == 8000 and all(rows[f"{n}/{k}.txt"] == hashlib.sha256(f"{n}{k}".encode()).hexdigest() for n in "ab" for k in range(3000))
+
+
+def test_tasks_list_what_the_reader_lists(spark, tmp_path):
+    for name in ("b", "a/a/a", "a/b", "_hidden/c", "a/.d", "a/_e/f", "a/a/\u00e9 x", "g.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    os.symlink(tmp_path / "a", tmp_path / "a/around")
+    os.mkfifo(tmp_path / "a/pipe")
+    archives.register(spark)
+    for root, glob in ((tmp_path, "*"), (f"file://{tmp_path}/", "a*"), (tmp_path / "b", "*")):
+        want = spark.read.format("sluice_inventory").option("glob", glob).load(str(root)).collect()
+        assert archives.inventory(spark, str(root), glob).collect() == sorted(want, key=lambda r: r["path"].encode())
+    assert {r["path"] for r in archives.inventory(spark, str(tmp_path), digest=False).collect()} == {"b", "a/a/a", "a/b", "a/a/\u00e9 x", "g.txt", "a/around", "a/pipe"}
+    (tmp_path / "empty").mkdir()
+    assert archives.inventory(spark, str(tmp_path / "empty")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        archives.inventory(spark, str(tmp_path / "none"))
+
+
+def test_a_task_that_moves_files_may_come_again(tmp_path):
+    writer = arrays.ArrayWriter(str(tmp_path), {})
+    staged = list(writer.staged(iter([pa.record_batch([pa.array(["x/1.npy", "2.npy"]), pa.array([[1.0], [2.0]])], names=["path", "v"])])))
+    for _ in range(2):
+        assert [b.column(0).to_pylist() for b in writer.places(iter(staged))] == [[2]]
+    assert np.load(tmp_path / "x/1.npy").tolist() == [1.0] and np.load(tmp_path / "2.npy").tolist() == [2.0]
+    (tmp_path / "2.npy").unlink()
+    with pytest.raises(OSError, match="not as long"):
+        list(writer.places(iter(staged)))
