@@ -186,8 +186,9 @@ def extracted(found: DataFrame, target: str, done: DataFrame | None = None) -> D
         sound = sound.join(done, ["archive", "member", "size", "crc32"], "left_anti")
     stem = F.regexp_extract("archive", r"([^/]+?)(?:\.zip)?$", 1)
     named = durable(sound.withColumn("file", F.concat(stem, F.lit("/"), F.regexp_replace("member", r"\\", "/"))))
+    # the driver takes samples of the key for its ranges, which a digest keeps short
     tasks = tasks_for(spark, *named.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first())
-    dealt_out = named.select("archive", "member", F.col("file").alias("target"), "offset").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
+    dealt_out = named.select("archive", "member", F.col("file").alias("target"), "offset").repartitionByRange(tasks, F.xxhash64("archive"), "offset").sortWithinPartitions("archive", "offset")
     written(dealt_out.drop("offset"), ZipExtractor(target))
     return named
 
